@@ -41,3 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/bizframe-tmp/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A side of a join is broadcast up to so many narrow rows, and shuffled beyond.
+BROADCAST_ROWS = 400_000
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint where a count shows that df has few rows; df must be cheap to count (a written table)."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -2,8 +2,8 @@
 
 Two texts are equal when their bytes are. Rows meet by MD5 (128 bits); the classes are formed by grouping on the text
 itself next to the hash, so bytes are compared inside every hash group, and copies collapse to one row per task before
-they are shuffled (a text that a third of all rows share costs one row per task). The row-to-class join carries hashes
-only, and Spark can split its hot keys.
+they are shuffled (a text that a third of all rows share costs one row per task). Only classes of several rows are
+joined back, by hashes: broadcast where a count shows them to be few, else by a shuffle whose hot keys Spark can split.
 
 Defined cases: null text counts as empty; all empty texts form one class; a null id is kept only where its class has no
 other id; rows repeated under one id are one document; extra columns are carried untouched whatever their names.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import materialize, small_or_shuffled, whole_text
 
 
 def _keys(text_col: str) -> list:
@@ -47,11 +47,13 @@ def content_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col(id_col), *_keys(text_col))
-    classes = content_classes(df, id_col, text_col, keep)
-    return rows.join(classes, ["__md5", "__sha"]).select(
+    several = materialize(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
+    marked = rows.join(small_or_shuffled(several), ["__md5", "__sha"], "left")
+    marked = marked.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")))
+    return marked.select(
         id_col,
         "keep_id",
-        "group_size",
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("__sha").alias("text_sha256"),
     )
@@ -60,6 +62,8 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """df without the rows whose text another row keeps; all columns of df, in order."""
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *_keys(text_col))
-    classes = content_classes(df, id_col, text_col, keep)
-    stays = keyed.join(classes, ["__md5", "__sha"]).where(F.col("__row")[id_col].eqNullSafe(F.col("keep_id")))
-    return stays.dropDuplicates(["__md5", "__sha"]).select("__row.*")
+    several = materialize(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
+    marked = keyed.join(small_or_shuffled(several), ["__md5", "__sha"], "left")
+    alone = marked.where("group_size is null")
+    best = marked.where(F.col("group_size").isNotNull() & F.col("__row")[id_col].eqNullSafe(F.col("keep_id")))
+    return alone.unionByName(best.dropDuplicates(["__md5", "__sha"])).select("__row.*")

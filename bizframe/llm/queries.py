@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, media, mixing
+from . import bpe, exact_dedup, langid, licenses, media, minhash, mixing, substrings
 from .common import table
 
 #: The vocabulary's place is a parameter; it is never copied.
@@ -65,6 +65,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.mark_near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def remainder(n: int) -> F.Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder(5) == 0)
+    net = langid.fit(docs, ~F.col("held_out"))
+    return langid.predict(docs, net, keep=["doc_id", "held_out"])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -73,12 +88,20 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.label_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
     "op4_mixing": op4_mixing,
+    "op5_minhash": op5_minhash,
+    "op7_langid": op7_langid,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_licenses": op9_licenses,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL = {
