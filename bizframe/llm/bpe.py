@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-#: Entries of each table of remembered words and fragments; a full table is emptied.
-REMEMBER = 500_000
+#: Entries of a table of remembered words or fragments; a full one steps back behind a new one.
+REMEMBER = 80_000
+#: Texts that are turned from and to Arrow together.
+TOGETHER = 500
 #: Longer words are merged by a heap and not remembered.
 LONG = 64
 NONE = 1 << 62
@@ -42,6 +44,26 @@ def _ranges(kind: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
+class Remembered(dict):
+    """What was found last: up to two generations of REMEMBER entries each."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
 @lru_cache(maxsize=1)
 def word_pattern() -> re.Pattern:
     """What the vocabulary's pre-tokenizer calls a word: contractions, letters, single numbers, other signs."""
@@ -70,7 +92,6 @@ class Vocabulary:
         end: str = model["end_of_word_suffix"] or ""
         self.shift = max(ids.values()).bit_length()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in {**ids, **self.special}.items()}
         self.pattern = word_pattern()
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         symbols = byte_symbols()
@@ -82,9 +103,7 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.joins[ids[a] << self.shift | ids[b]] = rank << self.shift | ids[a + b]
         self.inside = {p for t in ids for p in self.pairs_of(t, end, ids)}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.fragments: dict[tuple[int, ...], list[int]] = {}
+        self.chunks, self.words, self.fragments = Remembered(), Remembered(), Remembered()
 
     def pairs_of(self, token: str, end: str, ids: dict[str, int]) -> list[int]:
         """The neighbouring symbols inside a token, as pairs."""
@@ -147,11 +166,10 @@ class Vocabulary:
                 out += self.merge_long(parts[a:b])
                 continue
             key = tuple(parts[a:b])
-            ids = self.fragments.get(key)
+            ids = self.fragments[key]
             if ids is None:
-                if len(self.fragments) >= REMEMBER:
-                    self.fragments.clear()
-                ids = self.fragments[key] = self.merge(list(key))
+                ids = self.merge(list(key))
+                self.fragments.put(key, ids)
             out += ids
         return out
 
@@ -159,13 +177,11 @@ class Vocabulary:
         """The ids of what stands between white space; words never cross it."""
         out: list[int] = []
         for word in self.pattern.findall(lower(chunk)):
-            ids = self.words.get(word)
+            ids = self.words[word]
             if ids is None:
                 ids = self.encode_word(word)
-                if len(self.words) >= REMEMBER:
-                    self.words.clear()
                 if len(word) < LONG:
-                    self.words[word] = ids
+                    self.words.put(word, ids)
             out += ids
         return tuple(out)
 
@@ -177,13 +193,11 @@ class Vocabulary:
             return
         known, put = self.chunks, out.extend
         for chunk in text.split():
-            ids = known.get(chunk)
+            ids = known[chunk]
             if ids is None:
                 ids = self.encode_chunk(chunk)
-                if len(known) >= REMEMBER:
-                    known.clear()
                 if len(chunk) < LONG:
-                    known[chunk] = ids
+                    known.put(chunk, ids)
             put(ids)
 
     def encode(self, text: str | None) -> list[int]:
@@ -196,9 +210,6 @@ class Vocabulary:
         self.encode_plain(text[at:] if at else text, out)
         return out
 
-    def decode(self, ids) -> str:
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
-
 
 def lower(text: str) -> str:
     """Lower case letter by letter: no letter's case depends on its neighbours."""
@@ -208,12 +219,30 @@ def lower(text: str) -> str:
     return out
 
 
+@lru_cache(maxsize=4)
+def token_strings(path: str) -> dict[int, str]:
+    """What decoding needs: the string of every id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def joined(tokens: dict[int, str], ids) -> str:
+    return " ".join([tokens[i] for i in ids if i in tokens])
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         return Vocabulary(json.load(f))
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, TOGETHER):
+            yield b.slice(at, TOGETHER)
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", packed: bool = False) -> DataFrame:
     """df with out_col, the text's token ids, in place of text_col. path: the vocabulary's place on every machine.
 
@@ -225,7 +254,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in parts_of(batches):
             ids = [np.array(v.encode(t), "<u4") for t in b.column(text_col).to_pylist()]
             out = pa.array([x.tobytes() for x in ids], pa.binary()) if packed else pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], out], names=schema.names)
@@ -239,12 +268,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     packed = isinstance(df.schema[ids_col].dataType, BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        for b in batches:
+        tokens = token_strings(path)
+        for b in parts_of(batches):
             ids = b.column(ids_col).to_pylist()
             if packed:
                 ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in ids]
-            texts = [None if x is None else v.decode(x) for x in ids]
+            texts = [None if x is None else joined(tokens, x) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
