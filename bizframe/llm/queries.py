@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, media, minhash, mixing, substrings
+from . import bpe, chat, exact_dedup, langid, licenses, lm, media, minhash, mixing, substrings
 from .common import table
 
 #: The vocabulary's place is a parameter; it is never copied.
@@ -54,6 +54,10 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), remainder(7) == 2, class_col="lang")
+
+
 #: Production parameters of the mix.
 MIX = {"weights": [3.0, 1.0, 2.0], "share": 1.5, "max_repeat": 2, "seed": 0}
 
@@ -69,6 +73,15 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.mark_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    turns = table(spark, sf_dir, "conversations")
+    side = turns.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("chosen", F.col("conv_id") % 2 == 0)
+    out = chat.format_preferences(side, "pair_id", "chosen")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
 def remainder(n: int) -> F.Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -96,8 +109,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
+    "op3_lm": op3_lm,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
+    "op6_chat": op6_chat,
     "op7_langid": op7_langid,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_licenses": op9_licenses,
@@ -105,6 +120,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_chat": """
+        WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
+                          '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
+                   FROM conversations),
+        sizes AS (SELECT pair_id, coalesce(max(n) FILTER (side = 0), 0) AS c, coalesce(max(n) FILTER (side = 1), 0) AS r FROM t GROUP BY 1),
+        differ AS (SELECT a.pair_id, min(a.n) AS n FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1 AND a.n = b.n
+                   WHERE coalesce(a.role, '') <> coalesce(b.role, '') OR coalesce(a.text, '') <> coalesce(b.text, '') GROUP BY 1),
+        common AS (SELECT pair_id, coalesce(n - 1, least(c, r)) AS k FROM sizes LEFT JOIN differ USING (pair_id)),
+        placed AS (SELECT t.*, k, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side ORDER BY n) - length(body) AS here,
+                          coalesce(sum(length(head) + length(body)) FILTER (n <= k) OVER (PARTITION BY pair_id, side), 0) AS shift
+                   FROM t JOIN common USING (pair_id))
+        SELECT pair_id, any_value(k) AS prompt_turns,
+               coalesce(string_agg(head || body, '' ORDER BY n) FILTER (n <= k AND side = 0), '') AS prompt,
+               coalesce(string_agg(head || body, '' ORDER BY n) FILTER (n > k AND side = 0), '') AS chosen,
+               coalesce(string_agg(head || body, '' ORDER BY n) FILTER (n > k AND side = 1), '') AS rejected,
+               coalesce(string_agg((here - shift)::BIGINT || '-' || (here - shift + length(body))::BIGINT, ',' ORDER BY n) FILTER (n > k AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg((here - shift)::BIGINT || '-' || (here - shift + length(body))::BIGINT, ',' ORDER BY n) FILTER (n > k AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+        FROM placed GROUP BY pair_id
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
