@@ -142,7 +142,7 @@ def company_benchmark(per_company: DataFrame, keys: list[str], value: str) -> Da
     n = F.count(value).over(Window.partitionBy(*keys))
     ranked = per_company.where(F.col(value).isNotNull()).withColumns({"__r": rank - 1, "__n": n})
     at = lambda p: F.max(F.when(F.col("__r") == F.floor((F.col("__n") - 1) * p), F.col(value)))
-    g = ranked.groupBy(*keys).agg(F.round(F.avg(value), 4).alias("mean"), F.median(value).alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.count(value).alias("sample_size"))
+    g = ranked.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), at(0.25).alias("p25"), at(0.75).alias("p75"), F.count(value).alias("sample_size"))
     return g.withColumn("confidence", F.when(F.col("sample_size") >= 5, "high").when(F.col("sample_size") >= 2, "medium").otherwise("low"))
 
 

@@ -269,26 +269,26 @@ def scenario_sensitivity(spark, sf_dir):
     return N.sensitivity(metrics(spark, sf_dir), ["n_nationkey"])
 
 
-BENCH_SQL = """SELECT n_regionkey, round(avg(v), 4) AS mean, round(median(v), 2) AS median, list_sort(list(v))[(floor(0.25 * (count(*) - 1)) + 1)::INT] AS p25,
-  list_sort(list(v))[(floor(0.75 * (count(*) - 1)) + 1)::INT] AS p75, count(*) AS sample_size, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence
-  FROM (SELECT c_nationkey, round(avg(c_acctbal), 2) AS v FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
+BENCH_SQL = """SELECT n_regionkey, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(list_sort(list(v))[(floor(0.25 * (count(*) - 1)) + 1)::INT], 6) AS p25,
+  round(list_sort(list(v))[(floor(0.75 * (count(*) - 1)) + 1)::INT], 6) AS p75, count(*) AS sample_size, CASE WHEN count(*) >= 5 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS confidence
+  FROM (SELECT c_nationkey, avg(c_acctbal) AS v FROM customer GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
 
 
 def company_values(spark, sf_dir):
-    v = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
+    v = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("v"))
     return v.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_regionkey", "v")
 
 
 @query(BENCH_SQL)
 def company_benchmark(spark, sf_dir):
-    return N.company_benchmark(company_values(spark, sf_dir), ["n_regionkey"], "v").withColumn("median", F.round("median", 2))
+    return N.company_benchmark(company_values(spark, sf_dir), ["n_regionkey"], "v").withColumns({c: F.round(c, 6) for c in ("mean", "median", "p25", "p75")})
 
 
 @query(f"""SELECT c_nationkey, n_regionkey, round((v - median) / abs(median) * 100, 1) AS gap_pct, CASE WHEN v >= p75 THEN 'top_quartile' WHEN v >= median THEN 'above_median' WHEN v >= p25 THEN 'below_median' ELSE 'bottom_quartile' END AS band
-  FROM (SELECT c_nationkey, n_regionkey, round(avg(c_acctbal), 2) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) JOIN ({BENCH_SQL}) USING (n_regionkey)""")
+  FROM (SELECT c_nationkey, n_regionkey, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) JOIN ({BENCH_SQL}) USING (n_regionkey)""")
 def benchmark_gap(spark, sf_dir):
     v = company_values(spark, sf_dir)
-    b = N.company_benchmark(v, ["n_regionkey"], "v").withColumn("median", F.round("median", 2))
+    b = N.company_benchmark(v, ["n_regionkey"], "v").withColumns({c: F.round(c, 6) for c in ("mean", "median", "p25", "p75")})
     return N.compare_benchmark(v, b, ["n_regionkey"], "v").select("c_nationkey", "n_regionkey", "gap_pct", "band")
 
 

@@ -36,8 +36,11 @@ def header_names(names: list[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
     """Comma or, for .tsv, tab; names normalised, blank rows dropped, all text."""
-    df = spark.read.csv(path, sep="\t" if path.lower().endswith(".tsv") else ",", header=True, inferSchema=False, multiLine=True, escape='"')
-    df = df.toDF(*header_names(df.columns)).dropna("all")
+    separator = "\t" if path.lower().endswith(".tsv") else ","
+    df = spark.read.csv(path, sep=separator, header=True, inferSchema=False, multiLine=True, escape='"')
+    head = spark.read.text(path).first()  # Spark renames columns of equal names
+    names = next(csv.reader([head[0]], delimiter=separator)) if head else []
+    df = df.toDF(*header_names(names if len(names) == len(df.columns) else df.columns)).dropna("all")
     return df if max_rows is None else df.limit(max_rows)
 
 

@@ -22,20 +22,25 @@ def arriving_rows(spark: SparkSession, path: str, schema: StructType, pattern: s
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
+def _timed(events: DataFrame, ts: str) -> DataFrame:
+    """Event time with a zone, which watermarks ask for."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def once_each(events: DataFrame, id_col: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Events delivered several times, once: by id within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([id_col])
+    return _timed(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([id_col])
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], value: str, every: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts and sums per window of event time; rows later than the watermark are left out."""
     window = F.window(ts, every, slide) if slide else F.window(ts, every)
-    g = events.withWatermark(ts, late).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    g = _timed(events, ts).withWatermark(ts, late).groupBy(window, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    g = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
+    g = _timed(events, ts).withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), key, "n")
 
 
