@@ -161,22 +161,23 @@ def find_anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, KEYED)
 
 
-def in_buckets(rows: DataFrame, found: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
-    """found(bucket, part, id, at, known) over whole buckets in order, as many together as an Arrow batch holds."""
+def in_buckets(rows: DataFrame, keys: list[str], found: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
+    """found(bucket, part, id, at, known) over all rows of a key in order, as many keys together as an Arrow batch holds.
+    keys: bucket, or bucket and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for b in batches:
             cols = [np.asarray(b.column(i)) for i in range(4)] + [np.asarray(b.column(4).cast(pa.int8())) == 1]
             cols = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            cut = int(np.flatnonzero(run_starts(cols[0]))[-1]) if len(cols[0]) else 0
+            cut = int(np.flatnonzero(run_starts(*cols[: len(keys)]))[-1]) if len(cols[0]) else 0
             held = [c[cut:] for c in cols]
             if cut and (out := found(*[c[:cut] for c in cols])) is not None:
                 yield out
         if held is not None and len(held[0]) and (out := found(*held)) is not None:
             yield out
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "part", "id", "at").mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions("bucket", "part", "id", "at").mapInArrow(run, schema)
 
 
 PLACES = "id long, bucket long, at long, known boolean"
@@ -244,9 +245,9 @@ def find_strings(docs: DataFrame, going: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """id, ranges: for each document with repeats, the starts and ends of runs of repeated strings, one long each."""
-    places = materialize(in_buckets(find_anchors(docs), refine_runs, PLACES), "places")
+    places = materialize(in_buckets(find_anchors(docs), ["bucket"], refine_runs, PLACES), "places")
     going = places.where("not known").groupBy("id").agg(F.collect_list(F.struct("bucket", "at")).alias("places"))
-    strings = in_buckets(find_strings(docs, going), refine_strings, PLACES)
+    strings = in_buckets(find_strings(docs, going), ["bucket", "part"], refine_strings, PLACES)
     first = F.shiftright("at", 32) - F.shiftright("at", 25).bitwiseAND(127)
     last = first + F.shiftright("at", 18).bitwiseAND(127)
     ranges = places.where("known").unionByName(strings).select("id", (F.shiftleft(first, 32) + last + LENGTH).alias("range"))
@@ -265,7 +266,9 @@ def merged(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay; a cut may split a character)."""
-    named = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # an alias of a column to its own name would keep Spark from shuffling the texts once for both joins
+    text = F.col("text") if text_col == "text" else F.col(text_col).alias("text")
+    named = df.select(F.col(id_col).cast("long").alias("id"), text)
     docs = named.where("id is not null")
     rows = docs.join(repeats(docs), "id", "left").select("id", "text", "ranges")
     rows = rows.unionByName(named.where("id is null").select("id", "text", F.lit(None).cast("array<long>").alias("ranges")))
