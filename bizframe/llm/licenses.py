@@ -48,8 +48,8 @@ TEMPLATES = {
 }
 
 
-def template_grams(spark, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """gram, template, label, base, t_pos, t_grams: the k-grams of all templates by position."""
+def gram_rows(phrases: dict[str, str], templates: dict[str, str], k: int) -> list[tuple[str, str, str, bool, int, int]]:
+    """gram, template, label, base, position in the template, the template's number of grams."""
     rows = []
     for base, texts in ((True, phrases), (False, templates)):
         for label, text in texts.items():
@@ -58,7 +58,12 @@ def template_grams(spark, phrases: dict[str, str] = PHRASES, templates: dict[str
             if not grams:
                 raise ValueError(f"{text!r} has fewer than {k} words")
             rows += [(g, f"{'p' if base else 't'}:{label}", label, base, i, len(grams)) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram string, template string, label string, base boolean, t_pos int, t_grams int")
+    return rows
+
+
+def template_grams(spark, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
+    """The k-grams of all templates by position: some hundreds of rows, whatever the data."""
+    return spark.createDataFrame(gram_rows(phrases, templates, k), "gram string, template string, label string, base boolean, t_pos int, t_grams int")
 
 
 def rolling_grams(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:

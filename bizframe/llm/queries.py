@@ -119,7 +119,51 @@ QUERIES = {
     "op10_substrings": op10_substrings,
 }
 
+def _grams_sql() -> str:
+    """The licence templates' k-grams as SQL values."""
+    rows = licenses.gram_rows(licenses.PHRASES, licenses.TEMPLATES, licenses.K)
+    return ", ".join(f"('{g}', '{t}', '{label}', {base}, {i}, {n})" for g, t, label, base, i, n in rows)
+
+
 ORACLE_SQL = {
+    "op4_mixing": r"""
+        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        w AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
+                     (sum(sum(size)) OVER ())::DOUBLE * 1.5 AS mix FROM s GROUP BY source),
+        v AS (SELECT *, (mix - coalesce(sum(source_size * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+              FROM w WINDOW o AS (ORDER BY source_size * 2 / w, source NULLS LAST)),
+        t AS (SELECT source, source_size, mix, coalesce(source, '') || (source IS NULL)::VARCHAR AS key, round(mix / 32)::BIGINT AS blocks, greatest(1, ceil(sqrt(source_size / 512)))::BIGINT AS shards,
+                     least(source_size * 2, w * (SELECT arg_min(level, source_size * 2 / w) FROM v WHERE level * w <= source_size * 2))::DOUBLE AS target FROM v),
+        won AS (SELECT key, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS rank, blocks
+                FROM (SELECT *, unnest(range((target * blocks / mix)::BIGINT + (SELECT count(*) FROM t))) AS k FROM t WHERE target > 0)),
+        quota AS (SELECT key, count(*) AS q FROM won WHERE rank <= blocks GROUP BY 1),
+        d AS (SELECT s.*, t.key, t.source_size, t.target, coalesce(q, 0) AS q, (((doc_id % 2147483648) * 2654435761 % 4294967296) // 65536) % shards AS shard
+              FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN quota USING (key)),
+        g AS (SELECT key, shard, sum(size)::BIGINT AS votes, any_value(source_size) AS total, any_value(q) AS q FROM d GROUP BY 1, 2),
+        won2 AS (SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY votes / (2 * k + 1) DESC, shard) AS rank, q
+                 FROM (SELECT *, unnest(range((votes * q / total)::BIGINT + (SELECT max(shards) FROM t))) AS k FROM g WHERE votes > 0)),
+        quota2 AS (SELECT key, shard, count(*) AS n FROM won2 WHERE rank <= q GROUP BY 1, 2),
+        laid AS (SELECT d.*, coalesce(n, 0) * 32 AS words, sum(size) OVER (PARTITION BY key, shard) AS span,
+                        coalesce(sum(size) OVER (PARTITION BY key, shard ORDER BY md5('0:' || doc_id), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                 FROM d LEFT JOIN quota2 USING (key, shard)),
+        p AS (SELECT *, CASE WHEN span > 0 THEN words // span ELSE 0 END AS passes FROM laid)
+        SELECT doc_id, size, source_size, target, least(passes * size + least(size, greatest(0, words - passes * span - before)), size * 2)::BIGINT AS taken FROM p
+    """,
+    "op9_licenses": r"""
+        WITH known(gram, template, label, base, t_pos, t_grams) AS (VALUES """ + _grams_sql() + r"""),
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        grams AS (SELECT doc_id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram, i AS pos FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM w)),
+        diagonals AS (SELECT doc_id, template, label, base, t_grams, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS covered FROM grams JOIN known USING (gram) GROUP BY ALL),
+        runs AS (SELECT *, sum(CASE WHEN diagonal - last > 4 OR last IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
+                 FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS last FROM diagonals WHERE NOT base)),
+        spans AS (SELECT doc_id, label, base, diagonal AS start, 1.0 AS cover FROM diagonals WHERE base AND len(covered) = t_grams
+                  UNION ALL SELECT doc_id, label, false, min(diagonal), len(list_distinct(flatten(list(covered)))) / any_value(t_grams) FROM runs GROUP BY doc_id, template, label, run
+                  HAVING len(list_distinct(flatten(list(covered)))) / any_value(t_grams) >= 0.6),
+        found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+                         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM spans GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN found USING (doc_id)
+    """,
     "op6_chat": """
         WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
