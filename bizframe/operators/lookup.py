@@ -96,11 +96,13 @@ def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, t
 
 
 def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -> DataFrame:
-    """Rows whose text holds an example's needle as whole tokens: joined by the needle's first token, then compared."""
-    words = df.withColumn("__w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]+"), F.lit(0)))))
-    keyed = examples.withColumn("__first", F.regexp_extract(F.lower(F.col(needle)), "[a-z0-9_]+", 0)).where("__first <> ''")
-    hit = (F.col("__w") == F.col("__first")) & F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))
-    return words.join(keyed, hit).drop("__w", "__first")
+    """Rows whose text holds an example's needle: joined by the needle's longest token, which stands whole in the text, then compared."""
+    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}0-9_]+"), F.lit(0))
+    words = df.withColumn("__w", F.explode(F.array_distinct(found(F.col(text)))))
+    longest = F.array_max(F.transform(found(F.col(needle)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    keyed = examples.withColumn("__key", longest).where("__key is not null")
+    hit = (F.col("__w") == F.col("__key")) & F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))
+    return words.join(keyed, hit).drop("__w", "__key")
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
