@@ -14,6 +14,7 @@ from .functions import text as T
 from .models import registry, table, units
 from .operators import access as A
 from .operators import analytics as N
+from .operators import documents as D
 from .operators import extract as X
 from .operators import ingest as I
 from .operators import ledger as L
@@ -698,6 +699,42 @@ def layout_lines(spark, sf_dir):
     return X.word_lines(layout(spark, sf_dir), ["s_suppkey"]).groupBy("s_suppkey", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Documents ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN starts_with(c_mktsegment, 'B') OR starts_with(c_mktsegment, 'M') THEN 'industry' WHEN starts_with(c_mktsegment, 'H') THEN 'home' ELSE 'other' END AS bucket FROM customer) GROUP BY 1")
+def prefix_buckets(spark, sf_dir):
+    return D.bucket_by_prefix(table(spark, sf_dir, "customer").select("c_mktsegment"), "c_mktsegment", {"industry": ["B", "M"], "home": ["H"]}).select("bucket", "n")
+
+
+@query("SELECT o_orderkey, min(l_shipdate)::VARCHAR AS planned FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' GROUP BY 1")
+def planned_dates(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("kind", F.when(F.col("l_returnflag") == "R", "line_note"))
+    planned = D.planned_min(li, "l_orderkey", "l_shipdate", "kind").where("planned is not null")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return o.join(planned, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("planned").cast("string").alias("planned"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'approval' ELSE 'create' END AS action FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 <> 0")
+def follow_ups(spark, sf_dir):
+    late = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    done = late.where("o_orderkey % 5 = 0").select(T.idempotency_key(F.lit("call"), "o_orderkey", F.lit("late"), F.lit("")).alias("key"))
+    return D.follow_ups(late, done, "call", "o_orderkey", F.lit("late"), F.col("o_totalprice") > 400000).select("o_orderkey", "action")
+
+
+@query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+def merged_bundles(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("kinds"))
+    return D.merge_bundles(e, "user_id", "kinds").select("user_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("SELECT l_orderkey, any_value(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING count(*) = 1")
+def single_lines(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    several = Q.duplicates(li, ["l_orderkey"]).select("l_orderkey")
+    return li.join(several, "l_orderkey", "left_anti").select("l_orderkey", F.col("l_quantity").alias("q"))
+
+
 # Events as windows, as the streaming job has them -------------------------------------------------------------------
 
 
