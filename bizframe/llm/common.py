@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, for sizes and language models: anything between ASCII white space.
@@ -43,10 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, count: Column | None = None) -> tuple[DataFrame, int]:
+    """materialize(), and the number of rows (where count holds), observed while writing: no job of its own."""
+    seen = Observation()
+    rows = F.count(F.lit(1)) if count is None else F.count_if(count)
+    out = materialize(df.observe(seen, rows.alias("n")), name)
+    return out, seen.get.get("n", 0)  # nothing is observed where the plan is found to be empty
+
+
 #: A side of a join is broadcast up to so many narrow rows, and shuffled beyond.
 BROADCAST_ROWS = 400_000
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where a count shows that df has few rows; df must be cheap to count (a written table)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small_or_shuffled(df: DataFrame, n: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, of n narrow rows as counted, with a broadcast hint where they are few."""
+    return F.broadcast(df) if n <= rows else df

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_shuffled, whole_text
+from .common import materialize_counted, small_or_shuffled, whole_text
 
 
 def _keys(text_col: str) -> list:
@@ -47,8 +47,8 @@ def content_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col(id_col), *_keys(text_col))
-    several = materialize(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
-    marked = rows.join(small_or_shuffled(several), ["__md5", "__sha"], "left")
+    several = materialize_counted(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
+    marked = rows.join(small_or_shuffled(*several), ["__md5", "__sha"], "left")
     marked = marked.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")))
     return marked.select(
         id_col,
@@ -62,8 +62,8 @@ def mark_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """df without the rows whose text another row keeps; all columns of df, in order."""
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *_keys(text_col))
-    several = materialize(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
-    marked = keyed.join(small_or_shuffled(several), ["__md5", "__sha"], "left")
+    several = materialize_counted(content_classes(df, id_col, text_col, keep).where("group_size > 1"), "classes")
+    marked = keyed.join(small_or_shuffled(*several), ["__md5", "__sha"], "left")
     alone = marked.where("group_size is null")
     best = marked.where(F.col("group_size").isNotNull() & F.col("__row")[id_col].eqNullSafe(F.col("keep_id")))
     return alone.unionByName(best.dropDuplicates(["__md5", "__sha"])).select("__row.*")

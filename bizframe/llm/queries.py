@@ -63,8 +63,8 @@ MIX = {"weights": [3.0, 1.0, 2.0], "share": 1.5, "max_repeat": 2, "seed": 0}
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, **MIX).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.text_size().alias("words"))
+    return mixing.mix(docs, size=F.col("words"), **MIX).select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken")
     )
 
