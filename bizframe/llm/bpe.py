@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
+from .common import map_batches, pieces
+
 #: Entries of a table of remembered words or fragments; a full one steps back behind a new one.
 REMEMBER = 80_000
-#: Texts that are turned from and to Arrow together.
-TOGETHER = 500
 #: Longer words are merged by a heap and not remembered.
 LONG = 64
 NONE = 1 << 62
@@ -237,12 +237,6 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary(json.load(f))
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, TOGETHER):
-            yield b.slice(at, TOGETHER)
-
-
 def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", packed: bool = False) -> DataFrame:
     """df with out_col, the text's token ids, in place of text_col. path: the vocabulary's place on every machine.
 
@@ -254,12 +248,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in parts_of(batches):
+        for b in pieces(batches, text_col):
             ids = [np.array(v.encode(t), "<u4") for t in b.column(text_col).to_pylist()]
             out = pa.array([x.tobytes() for x in ids], pa.binary()) if packed else pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], out], names=schema.names)
 
-    return df.select(*[f"`{c}`" for c in rest], text_col).mapInArrow(run, schema)
+    return map_batches(df.select(*[f"`{c}`" for c in rest], text_col), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -269,11 +263,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_strings(path)
-        for b in parts_of(batches):
+        for b in pieces(batches, ids_col) if packed else batches:
             ids = b.column(ids_col).to_pylist()
             if packed:
                 ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in ids]
             texts = [None if x is None else joined(tokens, x) for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

@@ -6,14 +6,44 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word, for sizes and language models: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that a task turns from and to Arrow together.
+PIECE = 1 << 20
+
+
+#: Bytes of an Arrow batch where the session sets no bound: Spark's own default lets 10,000 rows of long texts meet.
+BATCH = 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow() with batches bounded in bytes, whatever the rows are; a bound of the session's own stands."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], col: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows that hold about size bytes in col, so that memory follows that and not a batch."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = [*np.flatnonzero(np.diff(ends // size, prepend=-1)).tolist(), b.num_rows]
+        for first, end in zip(edges, edges[1:]):
+            yield b.slice(first, end - first)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

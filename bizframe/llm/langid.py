@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import map_batches, pieces
+
 SPAN = 64
 HIDDEN = 8
 TOGETHER = 4096
@@ -206,9 +208,9 @@ def predict(df: DataFrame, net: Network | None, text_col: str = "text", keep: li
     schema = StructType([*[df.schema[c] for c in keep], StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, text_col):
             texts = b.column(text_col).to_pylist()
             lang, score = ([UNKNOWN] * len(texts), [0.0] * len(texts)) if net is None else predict_batch(net, texts)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), run, schema)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .common import map_batches
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 16
 WIDTH = 576
@@ -160,7 +162,7 @@ def to_media(df: DataFrame, payload_col: str, out_col: str = "media", width: int
             media = pa.array([None if v is None else encode_png(v, width) for v in values], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, media], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def from_media(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -180,4 +182,4 @@ def from_media(df: DataFrame, media_col: str = "media", keep: list[str] | None =
             arrays = [pa.array(payload, pa.binary()), pa.array(feature, pa.string()), pa.array(height, pa.int64()), b.column(media_col)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *arrays], names=schema.names)
 
-    return df.select(*keep, media_col).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, media_col), run, schema)

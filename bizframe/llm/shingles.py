@@ -13,7 +13,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text that are handled together.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 ROUNDS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
