@@ -195,9 +195,16 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     """A network learned from at most per_label documents of each label, of the rows where learn holds."""
     text, size = F.col(text_col), F.length(text_col)
     parts = F.concat_ws("\n", *[F.substring(text, F.lit(1) + (F.greatest(size - piece, F.lit(0)) * k / 2).cast("int"), F.lit(piece)) for k in range(3)])
-    rows = df.where(learn & F.col(label_col).isNotNull() & text.isNotNull()).select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order"), parts.alias("text"))
+    labelled = df.where(learn & F.col(label_col).isNotNull())
+    often = labelled.groupBy(F.col(label_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    if not often:
+        return None
+    # the first by hash lie below this mark but for a chance beyond any count, so a label's task sorts as few rows at any size
+    below = {r["lang"]: (3 * per_label + 100) / r["count"] * 2.0**64 - 2.0**63 for r in often}
+    mark = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col("lang")]
+    rows = labelled.where(text.isNotNull()).select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order"), parts.alias("text"))
     first = Window.partitionBy("lang").orderBy("order", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label)
+    sample = rows.where(F.col("order") <= mark).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label)
     found = sorted((r["lang"], r["order"], r["text"]) for r in sample.limit(per_label * MAX_LABELS).collect())
     return train([t for _, _, t in found], [x for x, _, _ in found], seed=seed)
 
