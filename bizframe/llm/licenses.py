@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import materialize, whole_text
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -91,6 +91,7 @@ def scan(
     diagonals = hits.groupBy("__id", "template", "label", "base", "t_grams", (F.col("__pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.collect_set("t_pos").alias("__covered")
     )
+    diagonals = materialize(diagonals, "diagonals")  # few rows; else the k-grams would be built for each branch below
     exact = diagonals.where(F.col("base") & (F.size("__covered") == F.col("t_grams")))
     along = Window.partitionBy("__id", "template").orderBy("diagonal")
     loose = diagonals.where(~F.col("base"))
