@@ -10,12 +10,13 @@ Classes, without listing the pairs of a group:
    member that stands in the fullest buckets (the text that a group's copies were made from), and each such link is
    verified by the exact similarity of the two texts;
 3. verified links give classes (smallest label, with pointer jumping, until nothing changes);
-4. a bucket of at most FEW members that still holds several classes has all pairs across them verified; in a larger
-   one the members outside the pivot's class are dealt anew by pairs of bands, then triples, and so on, which again have
-   pivots and links, until nobody is left over or DEPTH bands agree.
-So a link is looked for between any two members of a small bucket, and between pivots and members of every bucket; what
-can be missed is a link, in a large bucket, of a text outside a class to one inside that is no pivot in any of their
-common buckets. No step lists more than FEW partners for a member of a bucket.
+4. in a bucket whose other members are still of several classes, the members are cut into blocks of about FEW, and block
+   by block each is compared with all members of other classes that stand in the same or a later block. Rounds go on
+   until every bucket has one class or no block left; links found in a round spare the later ones.
+So any two texts that share a band are in one class at the end or have been compared. Two are passed over only where
+that is certain without reading them: 1 - similarity is a metric (it is the chance that a register differs), so texts
+whose distances to their pivot differ by more than 1 - `similarity` are not similar. What remains to be missed is a pair
+that agrees in no band. Large buckets of many texts that are near each other but not similar cost pairs by the square.
 
 Counts, joins and candidates are keyed by bucket or id; hot buckets are pre-aggregated (2), and their joins can be split.
 
@@ -37,8 +38,8 @@ from .common import map_batches, materialize, materialize_counted, pieces, small
 from .shingles import WORDS, blocks, mixed, odd_constants, probability_jaccard, shingle_hashes, weighted
 
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
-#: Largest bucket whose pairs are listed; bands that are joined to deal large buckets anew, and partners tried for each.
-FEW, DEPTH, NEXT = 32, 3, 6
+#: Members of a block; pairs from which on a round takes fewer blocks; members of a bucket that one salt stands for.
+FEW, LISTED, SPREAD = 32, 200_000, 2_000
 SALT = 0xD1B54A32D192ED03
 ALL = (1 << 64) - 1
 
@@ -89,8 +90,8 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
-    """Of pairs (a, b), a written table, those whose texts reach the similarity. texts: id, text."""
+def compared(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b), a written table, with the similarity of their texts. texts: id, text."""
     needed = materialize_counted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
     kept = texts.join(small_or_shuffled(*needed), "id", "left_semi")
     both = pairs.join(kept.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
@@ -104,15 +105,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int =
         last, of_last = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
-            ok = []
+            found = []
             for i in range(batch.num_rows):
                 if last != b[i].as_py():  # the rows of one pivot mostly stand together
                     last, of_last = b[i].as_py(), shingles_of(tb[i].as_py())
-                ok.append(probability_jaccard(shingles_of(ta[i].as_py()), of_last) >= similarity - 1e-12)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+                found.append(probability_jaccard(shingles_of(ta[i].as_py()), of_last))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    return map_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long")
+    return map_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -131,22 +131,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links (a, b), a written table: components of the classes that these link."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
+    found = components(materialize(ends.select("a", "b").distinct(), "ends"))
+    lower = found.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    kept = labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return materialize(kept.unionByName(found.join(labels, "node", "left_anti")), "labels")
+
+
 def with_pivots(members: DataFrame) -> DataFrame:
-    """Members (bucket, rep, band, central) of the buckets that have several, with the bucket's size and pivot."""
+    """Members (bucket, rep, central) of the buckets that have several, with the bucket's size and pivot."""
     order = F.struct("central", -F.col("rep"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(order).alias("top")).where("size > 1")
     buckets = buckets.select("bucket", "size", (-F.col("top")["col2"]).alias("pivot"))
-    return materialize(members.join(buckets, "bucket").select("bucket", "rep", "band", "central", "size", "pivot"), "placed")
+    return materialize(members.join(buckets, "bucket").select("bucket", "rep", "size", "pivot"), "placed")
 
 
-def across_classes(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their own and their pivot's class, of the buckets of more than two that hold several classes."""
+def of_several_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of rows (bucket, rep, ...) those of the buckets that hold several classes, with their class as label."""
     own = labels.select(F.col("node").alias("rep"), "label")
-    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("of_pivot"))
-    rows = placed.where("size > 2").join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    several = rows.groupBy("bucket", "pivot").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    several = several.join(of_pivot, "pivot", "left").select("bucket", F.coalesce("of_pivot", "pivot").alias("of_pivot"))
-    return rows.join(several, "bucket").select("bucket", "rep", "band", "central", "size", "pivot", "label", "of_pivot")
+    rows = rows.drop("label").join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return rows.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def across(rows: DataFrame, end: int, distance: float) -> DataFrame:
+    """a < b: the pairs of different classes in one bucket whose earlier member is in a block below end. Both sides
+    are dealt by bucket and salt: a member has one salt as the later of a pair, and as the earlier one each of its bucket."""
+    salts = F.ceil(F.col("size") / SPREAD).cast("int")
+    later = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    early = rows.where(F.col("block") < end).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    early = early.select("bucket", "salt", F.col("rep").alias("a"), F.col("label").alias("of_a"), F.col("distance").alias("far"))
+    meet = early.join(later, ["bucket", "salt"]).where((F.col("block") >= end) | (F.col("rep") > F.col("a")))
+    meet = meet.where((F.col("label") != F.col("of_a")) & (F.abs(F.col("distance") - F.col("far")) <= distance + 1e-9))
+    return meet.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -155,37 +176,36 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
     found = materialize(sketches(df, id_col, text_col, bands, rows, words), "sketches")
     copies = found.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count(F.lit(1)).alias("n"))
     copies = materialize(copies, "copies")
-    members = copies.select("rep", F.posexplode("keys").alias("band", "bucket")).select("rep", F.xxhash64("band", "bucket").alias("bucket"), "band")
+    members = copies.select("rep", F.posexplode("keys").alias("band", "bucket")).select("rep", F.xxhash64("band", "bucket").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(members.join(sizes, "bucket"), "buckets")
     central = shared.groupBy("rep").agg(F.sum("size").alias("central"))
     placed = with_pivots(shared.drop("size").join(central, "rep"))
-    pairs = placed.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = materialize(pairs, "pairs")
-    links = materialize(verified(tried, texts, similarity, words), "links")
-    labels = components(links)
-
-    for depth in range(1, DEPTH + 1):
-        mixed_, n = materialize_counted(across_classes(placed, labels), "mixed")
+    tried = materialize(placed.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    stars = materialize(compared(tried, texts, words), "stars")
+    similar = F.col("similarity") >= similarity - 1e-12
+    labels = components(stars.where(similar))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    rest = of_several_classes(placed.where("size > 2 and rep <> pivot"), labels)  # a pivot has been compared with all
+    far = stars.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("distance"))
+    blocks_ = F.ceil(F.col("size") / FEW)
+    rest = rest.join(far, ["rep", "pivot"]).select("bucket", "rep", "size", "distance", "label", F.pmod(F.xxhash64("rep", "bucket"), blocks_).alias("block"))
+    end, width = 0, 1
+    while True:
+        rest, n = materialize_counted(rest, "mixed")
         if not n:
             break
-        small, large = mixed_.where(F.col("size") <= FEW), mixed_.where(F.col("size") > FEW)
-        other = small.select("bucket", F.col("rep").alias("b"), F.col("label").alias("of_b"))
-        meet = small.join(other, "bucket").where("rep < b and label <> of_b").select(F.col("rep").alias("a"), "b")
-        deeper = F.explode(F.sequence(F.lit(1), F.lit(NEXT)))
-        keys = copies.select("rep", "keys")
-        left = large.where("label <> of_pivot").select("bucket", "rep", "band", "central", deeper.alias("on")).join(keys, "rep")
-        band = (F.col("band") + F.col("on")) % bands
-        left = left.select("rep", "central", band.alias("band"), F.xxhash64("bucket", band, F.get("keys", band.cast("int"))).alias("bucket"))
-        placed = with_pivots(left)
-        stars = placed.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        new = meet.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = materialize(new.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        more, n = materialize_counted(verified(new, texts, similarity, words), "links")
-        tried = tried.unionByName(new)
-        if n:
-            links = links.unionByName(more)
-            labels = components(links)
+        end += width
+        new = across(rest, end, 1 - similarity).join(tried, ["a", "b"], "left_anti")
+        new, pairs = materialize_counted(new, "pairs")
+        if pairs:
+            tried = tried.unionByName(new)
+            more, n = materialize_counted(compared(new, texts, words).where(similar).select("a", "b"), "links")
+            if n:
+                labels = joined(labels, more)
+        rest = of_several_classes(rest.where(F.col("block") >= end), labels)
+        width = width * 2 if pairs < LISTED else max(1, width // 2)
 
     owned = copies.select("fp1", "fp2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("class_id"))
     sizes = owned.groupBy("class_id").agg(F.sum("n").alias("class_size"))

@@ -257,6 +257,32 @@ def test_large_bucket(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def classes_by_bands(df, texts, **how):
+    """Classes by comparing all pairs that share a band."""
+    keys = {r["id"]: list(r["keys"]) for r in minhash.sketches(df, **how).collect()}
+    bags = [minhash.weighted(*shingles.shingle_hashes([t.lower().encode()]))[1:] for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            meet = any(x == y for x, y in zip(keys[i], keys[j]))
+            if meet and label[i] != label[j] and shingles.probability_jaccard(bags[i], bags[j]) >= 0.8 - 1e-12:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label, max(Counter((b, k) for x in keys.values() for b, k in enumerate(x)).values())
+
+
+def test_chain_in_one_bucket(spark):
+    """Each text is near the next ones only: most are near members of the pivot's class and not near the pivot."""
+    core, drift = [f"c{i}" for i in range(100)], [f"d{i}" for i in range(1000)]
+    texts = [" ".join(core + drift[9 * i : 9 * i + 70]) for i in range(100)]
+    random.Random(6).shuffle(texts)
+    df, how = simple(spark, texts), {"bands": 1, "rows": 1}
+    want, largest = classes_by_bands(df, texts, **how)
+    assert largest > minhash.FEW
+    got = {r["id"]: r["class_id"] for r in minhash.classes(df, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_sketch_estimates(spark):
     a, b = " ".join(f"x{i}" for i in range(400)), " ".join(f"x{i}" for i in range(100, 480))
     owner, hashes, weight = shingles.weighted(*shingles.shingle_hashes([a.encode(), b.encode()]))
