@@ -283,6 +283,21 @@ def test_chain_in_one_bucket(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_outsiders_of_one_template(spark):
+    """Pairs of near copies that are too far from all others, in buckets that most texts of the template share."""
+    rng, core = random.Random(7), [f"c{i}" for i in range(100)]
+    texts = []
+    for k in range(60):
+        own = [f"o{k}_{i}" for i in range(30)]
+        texts += [" ".join(core + own), " ".join(core + own[:-1] + ["x"])]
+    rng.shuffle(texts)
+    df, how = simple(spark, texts), {"bands": 3, "rows": 1}
+    want, largest = classes_by_bands(df, texts, **how)
+    assert largest > minhash.FEW and len(set(want)) < len(texts) * 2 // 3
+    got = {r["id"]: r["class_id"] for r in minhash.classes(df, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_sketch_estimates(spark):
     a, b = " ".join(f"x{i}" for i in range(400)), " ".join(f"x{i}" for i in range(100, 480))
     owner, hashes, weight = shingles.weighted(*shingles.shingle_hashes([a.encode(), b.encode()]))
