@@ -349,6 +349,15 @@ def unique_match(spark, sf_dir):
     return J.unique_match(table(spark, sf_dir, "part"), s, "p_size", "k", "s_suppkey").select("p_partkey", "match_id", "match_error")
 
 
+@query("""SELECT p_partkey, CASE WHEN n = 1 THEN id END AS match_id, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' END AS match_error
+  FROM part LEFT JOIN (SELECT s_suppkey - s_suppkey % (1 + s_suppkey % 3) AS k, min(s_suppkey) AS id, count(*) AS n FROM supplier GROUP BY 1) ON p_partkey // 20 = k""")
+def unique_match_whole(spark, sf_dir):
+    """Over all suppliers, by a key that one, two or three of them share, or none has."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey - s_suppkey % (1 + s_suppkey % 3) AS k")
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey div 20 AS ours")
+    return J.unique_match(p, s, "ours", "k", "s_suppkey").select("p_partkey", "match_id", "match_error")
+
+
 RULES = "SELECT * FROM VALUES (1, 'all', NULL, '400', 20, true), (2, 'BUILDING', NULL, '410', 10, true), (3, 'BUILDING', NULL, '411', 10, true), (4, 'MACHINERY', NULL, '420', 5, false) AS t(rule_id, scope, source_key, target_key, sequence, active)"
 
 
@@ -375,6 +384,16 @@ def resolve_many(spark, sf_dir):
     return found.select("l_orderkey", F.array_join(F.array_sort("ids"), ",").alias("ids"), F.size("missing").cast("long").alias("n_missing"))
 
 
+@query("""SELECT l_orderkey, coalesce(string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR), '') AS ids, count(DISTINCT l_partkey) FILTER (p_partkey IS NULL) AS n_missing
+  FROM lineitem LEFT JOIN part ON p_partkey = 2 * l_partkey GROUP BY 1""")
+def resolve_many_whole(spark, sf_dir):
+    """Over all parts; doubled keys lack a target where they pass the last part."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(2 * F.col("l_partkey")).alias("keys"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("t"))
+    found = J.resolve_many(li, "l_orderkey", F.col("keys"), p, "p_partkey", "t")
+    return found.select("l_orderkey", F.array_join(F.array_sort("ids"), ",").alias("ids"), F.size("missing").cast("long").alias("n_missing"))
+
+
 @query("""WITH k AS (SELECT o_orderkey, list_sort(list(DISTINCT l_partkey)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
   SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM k a JOIN k b ON a.s = b.s WHERE a.o_orderkey < b.o_orderkey""")
 def set_equality(spark, sf_dir):
