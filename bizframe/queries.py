@@ -232,6 +232,18 @@ def health_warnings(spark, sf_dir):
     return N.warnings(N.domain_scores(metrics(spark, sf_dir)), ["n_nationkey"]).where("domain in ('fulfillment', 'execution')")
 
 
+@query(f"""WITH m AS ({HEALTH_SQL}), s AS (SELECT n_nationkey, late_deliveries, overdue_activities,
+  round(CASE WHEN ar_total > 0 THEN greatest(0.0, 100.0 - overdue_ar / greatest(ar_total, 1) * 200) ELSE 75 END, 1) AS liquidity,
+  round(CASE WHEN revenue_same_month_last_year > 0 THEN greatest(0, least(100, 50.0 + (revenue_mtd - revenue_same_month_last_year) / revenue_same_month_last_year * 100)) WHEN revenue_mtd > 0 THEN 50 ELSE 30 END, 1) AS growth,
+  round(CASE WHEN open_opportunities > 0 AND pipeline_value > 0 THEN least(100, 50.0 + open_opportunities / 10.0 + pipeline_value / 10000.0) ELSE 30 END, 1) AS pipeline FROM m)
+  SELECT n_nationkey, 'liquidity' AS domain, 'high' AS severity FROM s WHERE liquidity < 40 UNION ALL SELECT n_nationkey, 'growth', 'high' FROM s WHERE growth < 30
+  UNION ALL SELECT n_nationkey, 'fulfillment', 'medium' FROM s WHERE late_deliveries > 5 UNION ALL SELECT n_nationkey, 'execution', 'low' FROM s WHERE overdue_activities > 10
+  UNION ALL SELECT n_nationkey, 'pipeline', 'medium' FROM s WHERE pipeline < 35""")
+def health_warnings_whole(spark, sf_dir):
+    """Every rule's warnings."""
+    return N.warnings(N.domain_scores(metrics(spark, sf_dir)), ["n_nationkey"])
+
+
 @query("SELECT n_nationkey, round(avg(DATE '2001-06-15' - o_orderdate::DATE), 1) AS ar_days FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' AND o_orderdate < DATE '2001-06-15' GROUP BY 1")
 def receivable_age(spark, sf_dir):
     o = company_orders(spark, sf_dir).where((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") < F.lit(AS_OF)))
