@@ -96,13 +96,17 @@ def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, t
 
 
 def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -> DataFrame:
-    """Rows whose text holds an example's needle: joined by the needle's longest token, which stands whole in the text, then compared."""
-    found = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}0-9_]+"), F.lit(0))
-    words = df.withColumn("__w", F.explode(F.array_distinct(found(F.col(text)))))
-    longest = F.array_max(F.transform(found(F.col(needle)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    keyed = examples.withColumn("__key", longest).where("__key is not null")
-    hit = (F.col("__w") == F.col("__key")) & F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))
-    return words.join(keyed, hit).drop("__w", "__key")
+    """Rows whose text holds an example's needle. Joined by the needle's longest token with a border on both sides in the
+    needle, which stands whole in every such text, then compared; needles without one are compared with every text."""
+    token = r"[\p{L}0-9_]+"
+    found = lambda c, pattern: F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
+    inner = found(F.col(needle), rf"(?<=[^\p{{L}}0-9_]){token}(?=[^\p{{L}}0-9_])")
+    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    keyed = examples.withColumn("__key", longest)
+    holds = F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))
+    words = df.withColumn("__w", F.explode(F.array_distinct(found(F.col(text), token))))
+    by_token = words.join(keyed.where("__key is not null"), (F.col("__w") == F.col("__key")) & holds).drop("__w", "__key")
+    return by_token.union(df.join(keyed.where("__key is null").drop("__key"), holds))
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -155,3 +155,12 @@ def test_forecast_needs_two(spark):
 def test_allocation_stops_at_target(spark):
     lines = spark.createDataFrame([("d", 1, 5.0, 8.0), ("d", 2, 5.0, 8.0), ("d", 3, 5.0, 8.0)], "d string, n int, open double, target double")
     assert rows(R.allocate(lines, ["d"], "open", "target", ["n"]).select("n", "allocated")) == [(1, 5.0), (2, 3.0)]
+
+
+def test_contains_match_without_word_borders(spark):
+    texts = ["bench passagesX", "a??b", "Xone inner twoY", "inner", "", None]
+    needles = ["bench passages", "??", "one inner two", "passages", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, body string")
+    examples = spark.createDataFrame(list(enumerate(needles)), "e int, needle string")
+    got = sorted((r["d"], r["e"]) for r in J.contains_match(docs, "body", examples, "needle").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, n in enumerate(needles) if t is not None and n is not None and n in t.lower())
