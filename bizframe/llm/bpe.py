@@ -2,15 +2,17 @@
 
 The vocabulary file gives the merges. A pair of neighbouring symbols that occurs inside no vocabulary token can never
 end up inside one token, so it marks a certain cut: every word is split at all such pairs, the fragments are encoded
-independently (by their merges, lowest rank first) and the ids are concatenated. Fragments repeat far more often than
-words, and both are remembered per task in tables of bounded size.
+independently (by their merges, lowest rank first) and the ids are concatenated. The fragments of all words that a piece
+of texts has and the task does not remember are merged together, in numpy: each round joins in every fragment its pair
+of the lowest rank, the leftmost of several. Words are remembered in a table of bounded size.
 
-Text is prepared as the vocabulary asks: special tokens are taken out first as they stand, the rest is put in NFC and cut
-at white space (which no word holds), letters are lower-cased, words are taken by pattern, and bytes are written as the vocabulary's
-printable symbols. Decoding joins the tokens' strings with blanks, as a vocabulary without a decoder does.
+Text is prepared as the vocabulary asks: special tokens are taken out first as they stand, the rest is put in NFC,
+letters are lower-cased, words are taken by pattern, and bytes are written as the vocabulary's printable symbols. Decoding joins the tokens' strings with blanks, as a vocabulary without a decoder does.
 
-Every row is handled alone, so nothing is shuffled. Defined cases: null text is empty and gives no ids; an id outside
-the vocabulary decodes to nothing; extra columns stay untouched.
+Every row is handled alone, so nothing is shuffled; memory follows the size of a piece, or the longest text. Defined
+cases: null and empty texts give no ids; texts of any length are encoded whole; repeated rows are encoded each for
+itself; an empty table gives an empty table; an id outside the vocabulary decodes to nothing; extra columns stay
+untouched, and one that has the name of the new column is an error that says so.
 """
 
 from __future__ import annotations
@@ -24,58 +26,75 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from .common import map_batches, pieces
 
-#: Entries of a table of remembered words or fragments; a full one steps back behind a new one.
-REMEMBER = 80_000
-#: Longer words are merged by a heap and not remembered.
+#: Words that a task remembers before it starts afresh.
+REMEMBER = 200_000
+#: Longer fragments are merged by a heap, each for itself; longer words are not remembered.
 LONG = 64
-NONE = 1 << 62
+#: Words that are merged together.
+TOGETHER = 50_000
+NONE = (1 << 31) - 1
 
 
-def _ranges(kind: str) -> str:
-    """The letters (L) or numbers (N) of Unicode, as ranges for a character class."""
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind]
+def _ranges(kind: str, upto: int) -> str:
+    """The letters (L) or numbers (N) of Unicode below upto, as ranges for a character class."""
+    points = [c for c in range(upto) if unicodedata.category(chr(c))[0] == kind]
     starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
     ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
-class Remembered(dict):
-    """What was found last: up to two generations of REMEMBER entries each."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self) >= REMEMBER:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
-@lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """What the vocabulary's pre-tokenizer calls a word: contractions, letters, single numbers, other signs."""
-    letters, numbers = _ranges("L"), _ranges("N")
+class Joins:
+    """A hash table in numpy: pair of ids -> rank and joined id. Slots are tried in a row until one is free."""
+
+    def __init__(self, pairs: np.ndarray, ranks: np.ndarray, ids: np.ndarray):
+        self.bits = max(4, int(len(pairs) * 4).bit_length())
+        size = 1 << self.bits
+        self.keys, self.ranks, self.ids = np.full(size, -1, np.int64), np.full(size, NONE, np.int32), np.zeros(size, np.int32)
+        left, slot = np.arange(len(pairs)), self.first(pairs)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, own = np.unique(slot[free], return_index=True)
+            put = np.flatnonzero(free)[own]
+            self.keys[slot[put]], self.ranks[slot[put]], self.ids[slot[put]] = pairs[left[put]], ranks[left[put]], ids[left[put]]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, slot = left[on], (slot[on] + 1) & (size - 1)
+
+    def first(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (NONE for pairs that do not join) and joined id."""
+        pairs = a.astype(np.int64) << 32 | b
+        slot = self.first(pairs)
+        at = self.keys[slot]
+        left = np.flatnonzero((at != pairs) & (at >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            at = self.keys[slot[left]]
+            left = left[(at != pairs[left]) & (at >= 0)]
+        return self.ranks[slot], self.ids[slot]
+
+
+#: Beyond the plane whose character classes Python looks up in one step.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@lru_cache(maxsize=2)
+def word_pattern(upto: int) -> re.Pattern:
+    """What the vocabulary's pre-tokenizer calls a word, in texts of characters below upto: contractions, letters,
+    single numbers, other signs."""
+    letters, numbers = _ranges("L", upto), _ranges("N", upto)
     space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
 
-#: str.split() takes these for white space and the vocabulary does not.
-NOT_SPACE = re.compile("[\x1c-\x1f]")
-
-
 def byte_symbols() -> list[str]:
     """The printable symbol of each byte: itself where it prints in Latin-1, else the next free one from 256 on."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -84,57 +103,45 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """A BPE vocabulary with an end-of-word suffix, as its file describes it. Pairs of ids are kept as one integer."""
+    """A BPE vocabulary with an end-of-word suffix, as its file describes it. A symbol is a byte, or 256 more at a word's end."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
         ids: dict[str, int] = dict(model["vocab"])
         end: str = model["end_of_word_suffix"] or ""
-        self.shift = max(ids.values()).bit_length()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pattern = word_pattern()
         self.cut_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         symbols = byte_symbols()
-        self.first = [ids[c] for c in symbols]
-        self.last = [ids[c + end] for c in symbols]
-        #: pair -> rank and the joined token's id
-        self.joins: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.first = np.array([*[ids[c] for c in symbols], *[ids[c + end] for c in symbols]], np.int32)
+        pairs, made = [], []
+        for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.joins[ids[a] << self.shift | ids[b]] = rank << self.shift | ids[a + b]
-        self.inside = {p for t in ids for p in self.pairs_of(t, end, ids)}
-        self.chunks, self.words, self.fragments = Remembered(), Remembered(), Remembered()
-
-    def pairs_of(self, token: str, end: str, ids: dict[str, int]) -> list[int]:
-        """The neighbouring symbols inside a token, as pairs."""
-        body = token[: -len(end)] if end and token.endswith(end) and token != end else token
-        parts = [ids[c] for c in body]
-        if body != token:
-            parts[-1] = ids[body[-1] + end]
-        return [a << self.shift | b for a, b in zip(parts, parts[1:])]
-
-    def merge(self, parts: list[int]) -> list[int]:
-        """Joins the pair of the lowest rank, leftmost first, until no pair is known."""
-        shift, mask, get = self.shift, (1 << self.shift) - 1, self.joins.get
-        pairs = [get(a << shift | b, NONE) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) != NONE:
-            i, new = pairs.index(best), best & mask
-            parts[i : i + 2] = [new]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(parts[i - 1] << shift | new, NONE)
-            if i < len(pairs):
-                pairs[i] = get(new << shift | parts[i + 1], NONE)
-        return parts
+            pairs.append(ids[a] << 32 | ids[b])
+            made.append(ids[a + b])
+        self.ranked = {p: (rank, new) for rank, (p, new) in enumerate(zip(pairs, made))}
+        distinct = np.array(list(self.ranked), np.int64)
+        ranks, joined_ids = np.array(list(self.ranked.values()), np.int32).reshape(-1, 2).T
+        self.joins = Joins(distinct, ranks, joined_ids)
+        self.inside = np.zeros(512 * 512, bool)
+        byte_of = {c: b for b, c in enumerate(symbols)}
+        for token in ids:
+            body = token[: -len(end)] if end and token.endswith(end) and token != end else token
+            if all(c in byte_of for c in body):
+                parts = [byte_of[c] for c in body]
+                if body != token:
+                    parts[-1] += 256
+                self.inside[[a * 512 + b for a, b in zip(parts, parts[1:])]] = True
+        self.specials = {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        self.known = dict(self.specials)
 
     def merge_long(self, parts: list[int]) -> list[int]:
-        """merge() for long fragments: a heap of pairs over a linked list, n log n."""
-        shift, mask, n = self.shift, (1 << self.shift) - 1, len(parts)
+        """The ids of one long fragment: a heap of pairs over a linked list, n log n."""
+        n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def entry(i: int, j: int):
-            found = self.joins.get(parts[i] << shift | parts[j])
-            return None if found is None else (found >> shift, i, parts[i], parts[j], found & mask)
+            found = self.ranked.get(parts[i] << 32 | parts[j])
+            return None if found is None else (found[0], i, parts[i], parts[j], found[1])
 
         heap = [e for i in range(n - 1) if (e := entry(i, i + 1))]
         heapq.heapify(heap)
@@ -151,63 +158,95 @@ class Vocabulary:
                     heapq.heappush(heap, e)
         return [p for p in parts if p >= 0]
 
-    def encode_word(self, word: str) -> list[int]:
-        """A word's ids: cut where a pair is inside no token, each fragment encoded for itself."""
-        data = word.encode()
-        parts = [self.first[b] for b in data]
-        parts[-1] = self.last[data[-1]]
-        shift, inside = self.shift, self.inside
-        cuts = [i for i, (a, b) in enumerate(zip(parts, parts[1:]), 1) if a << shift | b not in inside]
-        if not cuts:
-            return self.merge(parts) if len(parts) < LONG else self.merge_long(parts)
-        out: list[int] = []
-        for a, b in zip([0, *cuts], [*cuts, len(parts)]):
-            if b - a >= LONG:
-                out += self.merge_long(parts[a:b])
-                continue
-            key = tuple(parts[a:b])
-            ids = self.fragments[key]
-            if ids is None:
-                ids = self.merge(list(key))
-                self.fragments.put(key, ids)
-            out += ids
+    def merge(self, ids: np.ndarray, fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids, each with its fragment's number (ascending), after all merges; finished fragments are set aside."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, new = np.full(len(ids), NONE, np.int32), np.zeros(len(ids), np.int32)
+        fresh = np.flatnonzero(fragment[1:] == fragment[:-1])
+        while True:
+            rank[fresh], new[fresh] = self.joins.find(ids[fresh], ids[fresh + 1])
+            starts = np.flatnonzero(np.diff(fragment, prepend=-1))
+            if not len(starts):
+                break
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(starts, append=len(ids))
+            on = np.repeat(least < NONE, sizes)
+            done.append((ids[~on], fragment[~on]))
+            ids, fragment, rank, new = ids[on], fragment[on], rank[on], new[on]
+            least = np.repeat(least[least < NONE], sizes[least < NONE])
+            at = np.flatnonzero(rank == least)
+            at = at[np.diff(fragment[at], prepend=-1) != 0]
+            ids[at] = new[at]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, fragment, rank, new = ids[stays], fragment[stays], rank[stays], new[stays]
+            at -= np.arange(len(at))  # each merge moves what follows by one
+            rank[at] = NONE
+            fresh = np.concatenate([at[at > 0] - 1, at[at + 1 < len(ids)]])
+            fresh = fresh[fragment[fresh] == fragment[fresh + 1]]
+        fragment = np.concatenate([f for _, f in done])
+        order = np.argsort(fragment, kind="stable")
+        return np.concatenate([x for x, _ in done])[order], fragment[order]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Every word's ids, four bytes each: cut where a pair is inside no token, each fragment encoded for itself."""
+        if not words:
+            return []
+        data = [w.encode() for w in words]
+        ends = np.cumsum([len(x) for x in data])
+        symbols = np.frombuffer(b"".join(data), np.uint8).astype(np.int32)
+        symbols[ends - 1] += 256
+        cut = np.ones(len(symbols), bool)
+        cut[1:] = ~self.inside[symbols[:-1] * 512 + symbols[1:]]
+        cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        fragment = np.cumsum(cut, dtype=np.int32) - 1
+        ids, sizes = self.first[symbols], np.diff(starts, append=len(symbols))
+        long = sizes >= LONG
+        if long.any():
+            apart = np.repeat(long, sizes)
+            out, of = self.merge(ids[~apart], fragment[~apart])
+            more = [self.merge_long(ids[starts[k] : starts[k] + sizes[k]].tolist()) for k in np.flatnonzero(long)]
+            of = np.concatenate([of, np.repeat(np.flatnonzero(long), [len(m) for m in more])])
+            order = np.argsort(of, kind="stable")
+            ids, of = np.concatenate([out, *[np.array(m, np.int32) for m in more]])[order], of[order]
+        else:
+            ids, of = self.merge(ids, fragment)
+        upto = np.searchsorted(of, fragment[ends - 1], side="right") * 4
+        flat = ids.astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
+
+    def words_of(self, text: str | None) -> list[str]:
+        """A text's special tokens, and the words of what stands between them."""
+        out: list[str] = []
+        text, at = text or "", 0
+        for m in self.cut_special.finditer(text):
+            out += self.plain_words(text[at : m.start()])
+            out.append(m[0])
+            at = m.end()
+        out += self.plain_words(text[at:] if at else text)
         return out
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """The ids of what stands between white space; words never cross it."""
-        out: list[int] = []
-        for word in self.pattern.findall(lower(chunk)):
-            ids = self.words[word]
-            if ids is None:
-                ids = self.encode_word(word)
-                if len(word) < LONG:
-                    self.words.put(word, ids)
-            out += ids
-        return tuple(out)
-
-    def encode_plain(self, text: str, out: list[int]) -> None:
+    def plain_words(self, text: str) -> list[str]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        if NOT_SPACE.search(text):
-            out.extend(self.encode_chunk(text))
-            return
-        known, put = self.chunks, out.extend
-        for chunk in text.split():
-            ids = known[chunk]
-            if ids is None:
-                ids = self.encode_chunk(chunk)
-                if len(chunk) < LONG:
-                    known.put(chunk, ids)
-            put(ids)
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        text, at = text or "", 0
-        for m in self.cut_special.finditer(text):
-            self.encode_plain(text[at : m.start()], out)
-            out.append(self.special[m[0]])
-            at = m.end()
-        self.encode_plain(text[at:] if at else text, out)
+        return word_pattern(0x110000 if ASTRAL.search(text) else 0x10000).findall(lower(text))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Every text's ids, four bytes each, little-endian."""
+        parts = [self.words_of(t) for t in texts]
+        new = list(set().union(*parts) - self.known.keys())
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            self.known.update(zip(some, self.encode_words(some)))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, p)) for p in parts]
+        if len(self.known) > REMEMBER:
+            self.known = dict(self.specials)
+        else:
+            for w in new:
+                if len(w) >= LONG:
+                    del self.known[w]
         return out
 
 
@@ -220,15 +259,24 @@ def lower(text: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def token_strings(path: str) -> dict[int, str]:
-    """What decoding needs: the string of every id."""
+def token_strings(path: str) -> pa.Array:
+    """What decoding needs: the string of every id, null where there is none."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    of = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return pa.array([of.get(i) for i in range(max(of) + 1)], pa.string())
 
 
-def joined(tokens: dict[int, str], ids) -> str:
-    return " ".join([tokens[i] for i in ids if i in tokens])
+def joined(tokens: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The token strings of runs of ids of the given sizes, joined with blanks; ids without a string are left out."""
+    known = ids < len(tokens)
+    if tokens.null_count:
+        known[known] = tokens.is_valid().to_numpy(zero_copy_only=False)[ids[known]]
+    ends = np.cumsum(sizes)
+    if not known.all():
+        ends, ids = np.concatenate([[0], np.cumsum(known)])[ends], ids[known]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), tokens.take(pa.array(ids.astype(np.int64))))
+    return pc.binary_join(lists, " ")
 
 
 @lru_cache(maxsize=4)
@@ -243,31 +291,39 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     packed: ids as binary, four bytes each, little-endian and unsigned, instead of an array of ints.
     """
     rest = [c for c in df.columns if c != text_col]
+    free_name(rest, out_col)
     kind = BinaryType() if packed else ArrayType(IntegerType(), False)
     schema = StructType([*[df.schema[c] for c in rest], StructField(out_col, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in pieces(batches, text_col):
-            ids = [np.array(v.encode(t), "<u4") for t in b.column(text_col).to_pylist()]
-            out = pa.array([x.tobytes() for x in ids], pa.binary()) if packed else pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], out], names=schema.names)
+        for b in pieces(batches, len(rest)):
+            ids = v.encode(b.column(len(rest)).to_pylist())
+            out = pa.array(ids, pa.binary()) if packed else pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], out], names=schema.names)
 
     return map_batches(df.select(*[f"`{c}`" for c in rest], text_col), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with out_col, the text that the ids (an array, or packed) stand for; null ids decode to null."""
+    free_name(df.columns, out_col)
     schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
-    packed = isinstance(df.schema[ids_col].dataType, BinaryType)
+    packed, at = isinstance(df.schema[ids_col].dataType, BinaryType), df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_strings(path)
-        for b in pieces(batches, ids_col) if packed else batches:
-            ids = b.column(ids_col).to_pylist()
-            if packed:
-                ids = [None if x is None else np.frombuffer(x, "<u4").tolist() for x in ids]
-            texts = [None if x is None else joined(tokens, x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=schema.names)
+        for b in pieces(batches, at) if packed else batches:
+            column = b.column(at)
+            rows = column.to_pylist()
+            flat = [np.zeros(0, np.uint32) if x is None else np.frombuffer(x, "<u4") if packed else np.array(x, np.uint32) for x in rows]
+            texts = joined(tokens, np.concatenate([np.zeros(0, np.uint32), *flat]), np.array([len(x) for x in flat], np.int64))
+            texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=schema.names)
 
     return map_batches(df, run, schema)
+
+
+def free_name(columns: list[str], new: str) -> None:
+    if new.lower() in (c.lower() for c in columns):
+        raise ValueError(f"there is a column {new!r} already: choose another out_col")

@@ -35,7 +35,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], col: str, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], col: str | int, size: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows that hold about size bytes in col, so that memory follows that and not a batch."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

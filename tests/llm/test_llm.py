@@ -94,9 +94,29 @@ def test_bpe_is_the_library(spark, sf):
 def test_bpe_cuts_only_where_nothing_joins():
     v = bpe.vocabulary(queries.tokenizer_path())
     for word in ("internationalization", "zqxjkvb", "é" * 80):
-        parts = [v.first[b] for b in word.encode()]
-        parts[-1] = v.last[word.encode()[-1]]
-        assert v.encode_word(word) == v.merge(list(parts)) == v.merge_long(list(parts))
+        data = np.frombuffer(word.encode(), np.uint8).astype(np.int64)
+        data[-1] += 256
+        parts = v.first[data]
+        whole, _ = v.merge(parts, np.zeros(len(parts), np.int32))
+        assert v.encode_words([word]) == [whole.astype("<u4").tobytes()] and whole.tolist() == v.merge_long(parts.tolist())
+
+
+def test_bpe_defined_cases(spark):
+    path = queries.tokenizer_path()
+    empty = frame(spark, [])
+    assert bpe.decode(bpe.encode(empty, path), path).count() == 0
+    rows = bpe.decode(bpe.encode(frame(spark, [(1, "same words", "s")] * 3 + [(2, "a" * 300_000, "s"), (3, "The end. " * 40_000, "s")]), path, packed=True), path).collect()
+    assert len({(bytes(r["ids"]), r["decoded"]) for r in rows if r["doc_id"] == 1}) == 1 and {r["source"] for r in rows} == {"s"}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    for r in rows:
+        text = {1: "same words", 2: "a" * 300_000, 3: "The end. " * 40_000}[r["doc_id"]]
+        assert list(np.frombuffer(r["ids"], "<u4")) == library.encode(text, add_special_tokens=False).ids
+    ids = spark.createDataFrame([([5, 10**8, 6],), (None,), ([],)], "ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(ids, path).collect()] == [library.decode([5, 6], skip_special_tokens=False), None, ""]
+    with pytest.raises(ValueError):
+        bpe.encode(empty.withColumnRenamed("label", "ids"), path)
 
 
 # Language model
@@ -467,5 +487,5 @@ def test_pipeline(spark, tmp_path):
     v = bpe.vocabulary(queries.tokenizer_path())
     by_id = {d[0]: d[1] for d in docs}
     for r in out[:20]:
-        ids_ = v.encode(by_id[r["doc_id"]])
-        assert r["n_tokens"] == len(ids_) and r["ids_sha256"] == hashlib.sha256(np.array(ids_, "<u4").tobytes()).hexdigest()
+        ids_ = v.encode([by_id[r["doc_id"]]])[0]
+        assert r["n_tokens"] * 4 == len(ids_) and r["ids_sha256"] == hashlib.sha256(ids_).hexdigest()
