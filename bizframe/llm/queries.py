@@ -156,9 +156,11 @@ ORACLE_SQL = {
         diagonals AS (SELECT doc_id, template, label, base, t_grams, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS covered FROM grams JOIN known USING (gram) GROUP BY ALL),
         runs AS (SELECT *, sum(CASE WHEN diagonal - last > 4 OR last IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run
                  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS last FROM diagonals WHERE NOT base)),
+        chain AS (SELECT *, t_pos > coalesce(max(t_pos) OVER (PARTITION BY doc_id, template, run ORDER BY diagonal + t_pos, t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS on_chain
+                  FROM (SELECT *, unnest(covered) AS t_pos FROM runs)),
         spans AS (SELECT doc_id, label, base, diagonal AS start, 1.0 AS cover FROM diagonals WHERE base AND len(covered) = t_grams
-                  UNION ALL SELECT doc_id, label, false, min(diagonal), len(list_distinct(flatten(list(covered)))) / any_value(t_grams) FROM runs GROUP BY doc_id, template, label, run
-                  HAVING len(list_distinct(flatten(list(covered)))) / any_value(t_grams) >= 0.6),
+                  UNION ALL SELECT doc_id, label, false, min(diagonal), count(*) FILTER (on_chain) / any_value(t_grams) FROM chain GROUP BY doc_id, template, label, run
+                  HAVING count(*) FILTER (on_chain) / any_value(t_grams) >= 0.6),
         found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
                          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM spans GROUP BY 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
