@@ -117,9 +117,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 def newest_versions(df: DataFrame, version_col: str, keep: int) -> DataFrame:
     """The rows of the newest `keep` versions."""
-    rank = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col(version_col).desc()))
-    wanted = df.select(version_col).distinct().withColumn("__rank", rank).where(F.col("__rank") <= keep)
-    return df.join(wanted, version_col, "left_semi")
+    wanted = df.select(version_col).where(F.col(version_col).isNotNull()).distinct().orderBy(F.col(version_col).desc()).limit(keep)
+    return df.join(F.broadcast(wanted) if keep <= 10_000 else wanted, version_col, "left_semi")
 
 
 def model_ranking(models: DataFrame, score: Column, order: str = "sequence", key: str = "model", limit: int = 5) -> DataFrame:

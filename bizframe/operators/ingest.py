@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.convert import header_get, transform
+from ..functions.convert import header_get, normal_headers, transform
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,9 @@ class Field:
 def mapped(rows: DataFrame, fields: list[Field], values: str = "values", row: str = "row_number") -> DataFrame:
     """row, source values, typed target columns, and errors: an array of (field, code) with 'required' and 'invalid'."""
     out, errors = {}, []
+    rows = rows.withColumn("__heads", normal_headers(F.col(values)))  # once a row, not once a field
     for f in sorted(fields, key=lambda f: f.sequence):
-        raw = F.nullif(F.trim(header_get(F.col(values), f.header)), F.lit(""))
+        raw = F.nullif(F.trim(header_get(F.col(values), f.header, F.col("__heads"))), F.lit(""))
         value = transform(raw, f.kind)
         out[f.target] = value if f.default is None else F.coalesce(value, F.lit(f.default))
         code = F.when(raw.isNotNull() & value.isNull(), "invalid")

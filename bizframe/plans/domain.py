@@ -7,6 +7,7 @@ hierarchy. Leaves with an unknown field or operator are an error; `lenient` drop
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,18 +46,29 @@ def compare(c: Column, op: str, value, strict_null: bool = False) -> Column:
     }[op]()
 
 
-def closure(df: DataFrame, id_col: str, parent_col: str, most: int = 64) -> DataFrame:
-    """ancestor, id for every row and all rows above it, itself included; rounds of joins until no new pair appears."""
+#: Levels of a hierarchy; a deeper one is an error.
+MAX_DEPTH = 100_000
+
+
+def closure(df: DataFrame, id_col: str, parent_col: str, start: list | None = None, down: bool = False) -> DataFrame:
+    """ancestor, id: every row (or those in start) with all rows above it, itself included; down: with all rows below.
+    The recursion begins at the asked rows and ends in a cycle where it comes back to a row that it has passed."""
     spark = df.sparkSession
-    view = f"hierarchy_{abs(hash((id_col, parent_col, id(df))))}"
+    view = f"hierarchy_{uuid.uuid4().hex}"
     df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {most} AS (
-            SELECT id AS ancestor, id, 0 AS depth FROM {view}
+    first = spark.table(view).select("id")
+    first = first if start is None else first.where(F.col("id").isin(*start))
+    first.createOrReplaceTempView(f"{view}_start")
+    step, on = ("h.id", "h.parent = up.here") if down else ("h.parent", "h.id = up.here")
+    pairs = spark.sql(f"""
+        WITH RECURSIVE up MAX RECURSION LEVEL {MAX_DEPTH} AS (
+            SELECT id AS root, id AS here, array(id) AS passed FROM {view}_start
             UNION ALL
-            SELECT h.parent, up.id, depth + 1 FROM up JOIN {view} h ON up.ancestor = h.id WHERE h.parent IS NOT NULL AND depth < {most - 1}
-        ) SELECT DISTINCT ancestor, id FROM up
+            SELECT up.root, {step}, array_append(passed, {step}) FROM up JOIN {view} h ON {on} WHERE {step} IS NOT NULL AND NOT array_contains(passed, {step})
+        ) SELECT DISTINCT root, here FROM up
     """)
+    ancestor, here = ("root", "here") if down else ("here", "root")
+    return pairs.select(F.col(ancestor).alias("ancestor"), F.col(here).alias("id"))
 
 
 def apply(registry: Registry, model: str, domain: list, operators: tuple[str, ...] = TOOL_OPERATORS, lenient: bool = False, strict_null: bool = False) -> DataFrame:
@@ -72,21 +84,21 @@ def apply(registry: Registry, model: str, domain: list, operators: tuple[str, ..
                 return None
             raise ValueError(f"operator {op!r} is not allowed")
         if operators is GATEWAY_OPERATORS and isinstance(value, (list, tuple)):
-            value = list(value)[:GATEWAY_VALUES]
+            if len(value) > GATEWAY_VALUES:
+                raise ValueError(f"a list of more than {GATEWAY_VALUES} values is not allowed")
         m = registry.models[model]
         if op in ("child_of", "parent_of"):
             target, key = (m, m.id) if field == m.id else (registry.models[m.relations[field].model], m.relations[field].key)
-            pairs = closure(registry.frame(target.name), target.id, target.parent)
-            near, far = ("ancestor", "id") if op == "child_of" else ("id", "ancestor")
             values = list(value) if isinstance(value, (list, tuple)) else [value]
-            ids = pairs.where(F.col(near).isin(*values)).select(F.col(far).alias("__k")).distinct()
+            pairs = closure(registry.frame(target.name), target.id, target.parent, values, down=op == "child_of")
+            ids = pairs.select(F.col("id" if op == "child_of" else "ancestor").alias("__k")).distinct()
             return mark(ids, F.col(key))
         first, _, rest = field.partition(".")
         if rest:
             r = m.relations[first]
             there = apply(registry, r.model, [[rest, op, value]], operators, lenient, strict_null)
             if r.kind == "many2one":
-                return mark(there.select(F.col(registry.models[r.model].id).alias("__k")), F.col(r.key))
+                return mark(there.select(F.col(registry.models[r.model].id).alias("__k")).distinct(), F.col(r.key))
             return mark(there.select(F.col(r.key).alias("__k")).distinct(), F.col(m.id))
         if field not in own:
             if lenient:

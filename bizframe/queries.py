@@ -19,6 +19,7 @@ from .operators import extract as X
 from .operators import ingest as I
 from .operators import ledger as L
 from .operators import lookup as J
+from .operators import mirror as W
 from .operators import quality as Q
 from .operators import recon as R
 from .operators import sync as S
@@ -779,3 +780,175 @@ def windowed_events(spark, sf_dir):
 @query("SELECT DISTINCT event_id, user_id FROM events")
 def events_once(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id").dropDuplicates(["event_id"])
+
+
+# Mirrored documents and settlement gates ----------------------------------------------------------------------------
+
+
+def mirrored_lines(spark, sf_dir):
+    """Invoice lines with the flags of their rules, and what products and accounts map to."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_orderkey * 10 + l_linenumber AS line_id", "concat_ws('-', l_orderkey, l_linenumber) AS line_key", "l_linenumber * 10 AS sequence", "concat('line ', l_partkey) AS name",
+        "CASE WHEN l_linenumber % 4 = 0 THEN 'line_note' ELSE 'product' END AS display_type", "l_partkey AS product_id", "l_quantity AS quantity", "l_extendedprice AS price_unit", "l_discount AS discount",
+        "l_suppkey % 5 AS account_id", "1 AS version", "l_returnflag = 'R' AS sync_quantities", "l_linestatus = 'F' AS sync_discounts",
+    )
+    products = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").selectExpr("p_partkey AS source_id", "p_partkey + 1000000 AS target_id")
+    accounts = spark.sql("SELECT * FROM VALUES (0L, 100L), (1L, 101L), (2L, 102L) AS t(source_id, target_id)")
+    return lines, products, accounts
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS origin_line_id, l_orderkey || '-' || l_linenumber AS line_key, (l_linenumber * 10)::INT AS sequence, 'line ' || l_partkey AS name,
+  CASE WHEN note THEN 'line_note' ELSE 'product' END AS display_type, 2::INT AS version, CASE WHEN NOT note AND known THEN l_partkey + 1000000 END AS product_id, CASE WHEN NOT note THEN CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 1.0 END END::DOUBLE AS quantity,
+  CASE WHEN NOT note THEN l_extendedprice END AS price_unit, CASE WHEN NOT note THEN CASE WHEN l_linestatus = 'F' THEN l_discount ELSE 0.0 END END::DOUBLE AS discount,
+  CASE WHEN NOT note THEN CASE WHEN l_suppkey % 5 < 3 THEN l_suppkey % 5 + 100 ELSE l_suppkey % 5 END END::BIGINT AS account_id, CASE WHEN NOT note AND NOT known THEN 'no_product' END AS error
+  FROM (SELECT *, l_linenumber % 4 = 0 AS note, l_partkey % 10 <> 0 AND l_partkey IN (SELECT p_partkey FROM part) AS known FROM lineitem)""")
+def mirror_invoice_lines(spark, sf_dir):
+    return W.invoice_lines(*mirrored_lines(spark, sf_dir))
+
+
+def ordered_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) AS line_key", "l_linenumber AS sequence", "concat('line ', l_partkey) AS name", "CASE WHEN l_linenumber = 7 THEN 'line_section' END AS display_type",
+        "l_partkey AS product_id", "CASE WHEN l_linenumber % 3 = 0 THEN 12.0D ELSE 1.0D END AS ratio", "l_quantity AS q", "l_extendedprice AS price_unit", "l_discount AS discount", "date(l_shipdate) AS ship",
+        "l_returnflag = 'R' AS sync_descriptions", "l_linestatus = 'F' AS sync_discounts", "l_returnflag = 'A' AS own_prices", "l_linestatus = 'O' AS sync_planned_dates",
+    )
+    products = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").selectExpr("p_partkey AS source_id", "p_partkey + 1 AS target_id", "p_name AS target_name", "CASE WHEN p_size % 2 = 0 THEN 6.0D ELSE 1.0D END AS target_ratio")
+    return lines, products
+
+
+ORDER_LINES = """SELECT l_orderkey || '-' || l_linenumber AS line_key, l_linenumber AS sequence, CASE WHEN head THEN 'line_section' END AS display_type, CASE WHEN head OR l_returnflag = 'R' THEN 'line ' || l_partkey ELSE p_name END AS name,
+  CASE WHEN NOT head THEN p_partkey + 1 END AS product_id, CASE WHEN NOT head THEN round(l_quantity * scale, 4) END AS {quantity}, CASE WHEN NOT head AND l_returnflag <> 'A' THEN round(l_extendedprice / scale, 4) END AS price_unit,
+  CASE WHEN NOT head AND l_linestatus = 'F' THEN l_discount END AS discount{planned}, CASE WHEN NOT head AND p_partkey IS NULL THEN 'no_product' END AS error
+  FROM (SELECT *, l_linenumber = 7 AS head, CASE WHEN l_linenumber % 3 = 0 THEN 12.0 ELSE 1.0 END::DOUBLE / CASE WHEN p_size % 2 = 0 THEN 6.0 WHEN p_size IS NOT NULL THEN 1.0 END::DOUBLE AS scale
+        FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 10 <> 0) ON p_partkey = l_partkey)"""
+
+
+@query(ORDER_LINES.format(quantity="product_qty", planned=", CASE WHEN NOT head AND l_linestatus = 'O' THEN l_shipdate::DATE END AS date_planned"))
+def mirror_sale_to_purchase(spark, sf_dir):
+    return W.order_lines(*ordered_lines(spark, sf_dir), "q", "product_qty", "ship")
+
+
+@query(ORDER_LINES.format(quantity="product_uom_qty", planned=""))
+def mirror_purchase_to_sale(spark, sf_dir):
+    return W.order_lines(*ordered_lines(spark, sf_dir), "q", "product_uom_qty")
+
+
+@query("""WITH bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber % 4 <> 0 AND (l_partkey % 10 = 0 OR l_partkey NOT IN (SELECT p_partkey FROM part)))
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'skip' WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 THEN 'update' ELSE 'create' END AS action,
+  CASE WHEN o_orderstatus = 'P' THEN 'skipped' WHEN l_orderkey IS NOT NULL THEN 'failed' ELSE 'success' END AS outcome, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 THEN o_orderkey + 1 END AS counterpart_id,
+  CASE WHEN o_orderstatus <> 'P' AND l_orderkey IS NOT NULL THEN 'no_product' END AS error FROM orders LEFT JOIN bad ON l_orderkey = o_orderkey""")
+def mirror_driver(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    existing = orders.where("o_orderkey % 3 = 0").selectExpr("o_orderkey", "o_orderkey + 1 AS counterpart_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'cancel' ELSE 'draft' END AS state")
+    lines, products, accounts = mirrored_lines(spark, sf_dir)
+    errors = W.invoice_lines(lines, products, accounts).select(F.floor(F.col("origin_line_id") / 10).alias("o_orderkey"), "error")
+    return W.sync_documents(orders.select("o_orderkey", "o_orderstatus"), existing, errors, "o_orderkey", F.col("o_orderstatus") != "P")
+
+
+@query("""SELECT coalesce(o_custkey, c_custkey) AS k, o_custkey + 0 AS left_id, c_custkey * 2 AS right_id, CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_custkey IS NULL THEN 'right_only' ELSE 'linked' END AS link
+  FROM (SELECT DISTINCT o_custkey FROM orders) FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey""")
+def mirror_link_back(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("left_id", F.col("k"))
+    right = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").selectExpr("c_custkey AS k", "c_custkey * 2 AS right_id")
+    return W.link_back(left, right, "k")
+
+
+@query("""SELECT p_partkey AS move_id, p_partkey + 5 AS product_id, CASE WHEN same THEN q END AS quantity, CASE WHEN p_size % 2 = 0 THEN 'lot' || l_linenumber END AS lot_name,
+  CASE WHEN p_size % 3 = 0 THEN l_suppkey END AS owner_id, CASE WHEN p_size % 5 = 0 THEN l_orderkey END AS package, CASE WHEN NOT same THEN 'unit' END AS error
+  FROM (SELECT *, p_size % 11 <> 0 AS same, round(l_quantity * 1.0 / CASE WHEN p_size % 2 = 0 THEN 8.0 ELSE 1.0 END, 2)::DOUBLE AS q FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE NOT same OR q <> 0""")
+def mirror_move_lines(spark, sf_dir):
+    done = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS move_id", "l_quantity AS quantity", "1.0D AS ratio", "'unit' AS category", "concat('lot', l_linenumber) AS lot_name", "l_suppkey AS owner_id", "l_orderkey AS package")
+    moves = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS move_id", "p_partkey + 5 AS target_product", "CASE WHEN p_size % 2 = 0 THEN 8.0D ELSE 1.0D END AS target_ratio", "CASE WHEN p_size % 11 = 0 THEN 'weight' ELSE 'unit' END AS target_category",
+        "p_size % 2 = 0 AS sync_lots", "p_size % 3 = 0 AS sync_owners", "p_size % 5 = 0 AS sync_packages",
+    )
+    return W.move_lines(done, moves)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_returnflag <> 'A' AND l_suppkey % 3 < 2 AND (l_linestatus <> 'F' OR abs(l_discount) >= 0.005)""")
+def open_items(spark, sf_dir):
+    kinds = "CASE l_suppkey % 3 WHEN 0 THEN 'asset_receivable' WHEN 1 THEN 'liability_payable' ELSE 'expense' END AS account_type"
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "CASE WHEN l_returnflag = 'A' THEN 'draft' ELSE 'posted' END AS parent_state", kinds, "l_linestatus = 'F' AS reconciled", "l_discount AS amount_residual")
+    return W.open_items(lines).select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_custkey % 3 AS a, o_custkey % 5 AS b, o_orderkey % 4 AS c, o_orderkey % 9 AS d, o_orderstatus AS s, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)
+  SELECT o_orderkey, "check" FROM (
+    SELECT o_orderkey, 'source_company_is_the_rules' AS "check" FROM m WHERE a <> 1 UNION ALL SELECT o_orderkey, 'destination_company_is_the_rules' FROM m WHERE b <> 2 UNION ALL SELECT o_orderkey, 'source_move_is_the_companys' FROM m WHERE c = 3
+    UNION ALL SELECT o_orderkey, 'both_posted' FROM m WHERE s = 'P' UNION ALL SELECT o_orderkey, 'source_kind' FROM m WHERE d = 0 UNION ALL SELECT o_orderkey, 'lines_on_both_sides' FROM m WHERE n = 0 UNION ALL SELECT o_orderkey, 'destination_lines_are_the_moves' FROM m WHERE d = 5)""")
+def match_integrity(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    m = table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").selectExpr(
+        "o_orderkey", "o_custkey % 3 AS source_company", "1 AS rule_source_company", "o_custkey % 5 AS destination_company", "2 AS rule_destination_company",
+        "CASE WHEN o_orderkey % 4 = 3 THEN -1 ELSE o_custkey % 3 END AS source_move_company", "o_custkey % 5 AS destination_move_company", "'posted' AS source_state", "CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'posted' END AS destination_state",
+        "CASE WHEN o_orderkey % 9 = 0 THEN 'entry' ELSE 'out_invoice' END AS source_kind", "'in_refund' AS destination_kind", "coalesce(n, 0) AS source_lines", "1 AS destination_lines", "0 AS source_foreign_lines", "CASE WHEN o_orderkey % 9 = 5 THEN 2 ELSE 0 END AS destination_foreign_lines",
+    )
+    return W.violations(m, "o_orderkey", W.match_checks())
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'disabled' WHEN o_orderstatus = 'P' THEN 'final' WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'no_lines'
+  WHEN o_orderkey % 2 = 0 AND NOT (o_custkey % 2 = 0 AND o_custkey % 3 = 0) THEN 'dual_approval' WHEN o_orderkey % 2 <> 0 AND NOT (o_custkey % 2 = 0 OR o_custkey % 3 = 0 OR o_custkey % 7 = 0) THEN 'approval' END AS reason FROM orders""")
+def settlement_gate(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"))
+    s = table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").selectExpr(
+        "o_orderkey", "o_orderkey % 10 <> 0 AS enabled", "CASE WHEN o_orderstatus = 'P' THEN 'posted' ELSE 'draft' END AS state", "n_lines", "o_orderkey % 2 = 0 AS dual",
+        "o_custkey % 2 = 0 AS source_approved", "o_custkey % 3 = 0 AS destination_approved", "o_custkey % 7 = 0 AS manager",
+    )
+    return s.select("o_orderkey", W.ready_to_post().alias("reason"))
+
+
+@query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS account_type, CASE WHEN count(DISTINCT l_returnflag) <> 1 THEN 'account_types' END AS error FROM lineitem GROUP BY 1""")
+def account_type_guard(spark, sf_dir):
+    return W.single_account_type(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("account_type")), ["l_orderkey"])
+
+
+@query("""WITH s AS (SELECT c_nationkey AS n, sum(o_totalprice) AS t, sum(o_custkey) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), a AS (SELECT c_nationkey AS n, round(avg(o_orderkey % 90), 1) AS d FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' GROUP BY 1),
+  st AS (SELECT s_nationkey AS n, sum(s_suppkey) AS v FROM supplier GROUP BY 1), mv AS (SELECT s_nationkey AS n, sum(l_quantity) AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), e AS (SELECT c_nationkey AS n, count(*) AS k FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
+  SELECT * FROM (SELECT n_nationkey::BIGINT AS company_id, unnest(['revenue', 'margin', 'ar_days', 'inventory_turns', 'employee_count']) AS metric,
+    unnest([round(t, 2), CASE WHEN t <> 0 THEN round((t - x) / t * 100, 2) END, d, CASE WHEN v <> 0 THEN round(coalesce(c, 0) / v, 2) END, k::DOUBLE]) AS value
+    FROM nation LEFT JOIN s ON s.n = n_nationkey LEFT JOIN a ON a.n = n_nationkey LEFT JOIN st ON st.n = n_nationkey LEFT JOIN mv ON mv.n = n_nationkey LEFT JOIN e ON e.n = n_nationkey) WHERE value IS NOT NULL""")
+def internal_baselines(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("company_id"))
+    o = table(spark, sf_dir, "orders").join(c, "o_custkey")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l_suppkey", "CAST(s_nationkey AS LONG) AS company_id")
+    moves = table(spark, sf_dir, "lineitem").join(s, "l_suppkey").select("company_id", F.col("l_quantity").alias("cost"))
+    companies = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS LONG) AS company_id")
+    out = W.internal_metrics(
+        companies, o.select("company_id", F.col("o_totalprice").alias("amount_total"), F.col("o_custkey").cast("double").alias("amount_tax")), o.where("o_orderstatus = 'O'").selectExpr("company_id", "o_orderkey % 90 AS days"),
+        s.select("company_id", F.col("l_suppkey").cast("double").alias("value")), moves, c.where("o_custkey % 2 = 0").select("company_id"),
+    )
+    return out.withColumn("value", F.round("value", 2))
+
+
+@query("""WITH l AS (SELECT event_type AS category, user_id AS series, max(ts)::DATE AS period_date, count(*) AS value, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'DE' ELSE 'FR' END AS country, CASE WHEN user_id % 2 = 0 THEN 'retail' END AS industry FROM events GROUP BY 1, 2)
+  SELECT category, series, period_date, value FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY period_date DESC, series) AS n FROM l WHERE category IN ('click', 'view', 'purchase') AND coalesce(country, 'DE') = 'DE' AND industry IS NULL AND period_date IS NOT NULL) WHERE n = 1""")
+def benchmark_context(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category"), F.col("user_id").alias("series")).agg(F.max("ts").cast("date").alias("period_date"), F.count(F.lit(1)).alias("value"))
+    e = e.selectExpr("*", "CASE WHEN series % 3 = 1 THEN 'DE' WHEN series % 3 = 2 THEN 'FR' END AS country", "CASE WHEN series % 2 = 0 THEN 'retail' END AS industry")
+    return W.benchmark_context(e, ["click", "view", "purchase"], "DE", None).select("category", "series", "period_date", "value")
+
+
+@query("""WITH r(rule_id, sequence, status, priority, client) AS (VALUES (1, 20, 'F', NULL, NULL), (2, 10, 'F', '1-URGENT', NULL), (3, 5, 'F', NULL, 7), (4, 10, 'O', NULL, 3), (5, 30, 'O', NULL, NULL))
+  SELECT o_orderkey, arg_min(rule_id, sequence * 100 + rule_id) AS rule_rule_id FROM orders LEFT JOIN r ON status = o_orderstatus AND (priority IS NULL OR priority = o_orderpriority) AND (client IS NULL OR client = o_custkey % 10) GROUP BY 1""")
+def rule_selection(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderstatus AS status", "o_orderpriority AS priority", "CAST(o_custkey % 10 AS INT) AS client")
+    rules = spark.sql("SELECT * FROM VALUES (1, 20, 'F', NULL, NULL), (2, 10, 'F', '1-URGENT', NULL), (3, 5, 'F', NULL, 7), (4, 10, 'O', NULL, 3), (5, 30, 'O', NULL, NULL) AS t(rule_id, sequence, status, priority, client)")
+    return W.first_fitting(docs, rules, "o_orderkey", ["status"], ["priority", "client"], ["sequence", "rule_id"]).select("o_orderkey", "rule_rule_id")
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000 UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def record_union(spark, sf_dir):
+    return W.union_of(table(spark, sf_dir, "customer").where("c_acctbal > 5000").selectExpr("c_custkey AS id"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").selectExpr("o_custkey AS id"))
+
+
+@query("SELECT s_suppkey, printf('%s: %+.1f%% %s', s_name, round(s_acctbal / 100) / 2, CASE WHEN round(s_acctbal / 100) >= 0 THEN 'above' ELSE 'below' END) AS text FROM supplier")
+def gap_texts(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", W.gap_text(F.col("s_name"), F.round(F.col("s_acctbal") / 100) / 2).alias("text"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+  w AS (SELECT doc_id, line, lower(concat_ws(' ', text, lead(text, 1) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o)) AS t FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line))
+  SELECT doc_id, min(line)::INT AS line FROM w WHERE contains(t, 'there')::INT + contains(t, 'ing ')::INT + contains(t, 'est')::INT + contains(t, 'ment')::INT >= 3 GROUP BY 1""")
+def narrative_heads(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return W.narrative_heads(lines, ["doc_id"], ["there", "ing ", "est", "ment"])

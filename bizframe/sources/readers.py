@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import importlib
 import io
 import re
 import zipfile
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Fixed limits of uploaded tables.
+#: Fixed limits of tables that are uploaded to a chat, for read_workbooks(); other readers have none.
 MAX_TABLES, MAX_ROWS = 5, 500
 #: Which reader a file's extension has.
 KINDS = {"csv": "csv", "tsv": "csv", "xlsx": "excel", "xlsm": "excel", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "txt": "text", "md": "text", "json": "json"}
@@ -68,6 +69,14 @@ def _column_number(ref: str) -> int:
     return n - 1
 
 
+def column_letters(i: int) -> str:
+    """A, B, ..., Z, AA, ... for 0, 1, ..."""
+    out = ""
+    while i >= 0:
+        out, i = chr(65 + i % 26) + out, i // 26 - 1
+    return out
+
+
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """sheet, row number from 1, cells as text, of the values of an .xlsx workbook."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -96,8 +105,9 @@ def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]
                     yield sheet.get("name"), int(row.get("r") or i), [cells.get(k) for k in range(max(cells) + 1)]
 
 
-def read_workbooks(found: DataFrame, max_tables: int | None = MAX_TABLES, max_rows: int | None = MAX_ROWS, header_row: int = 1) -> DataFrame:
-    """files() of workbooks as rows: path, sheet, row_number, values (by header, and by column letter), blank rows left out."""
+def read_workbooks(found: DataFrame, max_tables: int | None = None, max_rows: int | None = None, header_row: int = 1) -> DataFrame:
+    """files() of workbooks as rows: path, sheet, row_number, values (by header, and by column letters), blank rows left out. Limits on the
+    sheets of a file and the rows of a sheet only where given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +121,7 @@ def read_workbooks(found: DataFrame, max_tables: int | None = MAX_TABLES, max_ro
                     if n <= header_row or (max_tables and len(taken) >= max_tables and sheet not in taken) or (max_rows and taken.get(sheet, 0) >= max_rows):
                         continue
                     taken[sheet] = taken.get(sheet, 0) + 1
-                    letters = {chr(65 + i): x for i, x in enumerate(cells[:26])}
+                    letters = {column_letters(i): x for i, x in enumerate(cells)}
                     out.append((path, sheet, n, letters | dict(zip(heads.get(sheet, []), cells))))
                 cols = list(zip(*out)) or [[], [], [], []]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string())]
@@ -143,44 +153,54 @@ def series_points(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     return points.select(*keys, when.try_cast("date").alias("period_date"), value.try_cast("double").alias("value")).where("period_date is not null and value is not null")
 
 
+def backend_of(options: dict):
+    """The connector that an option names as 'module:attribute'; a class is made without arguments."""
+    module, _, attribute = options["backend"].partition(":")
+    found = getattr(importlib.import_module(module), attribute)
+    return found() if isinstance(found, type) else found
+
+
 class KeysetReader(DataSourceReader):
-    """Pages of a remote table by id: each partition is a range of ids, read by the backend's search."""
+    """A remote table by ranges of its ids, each read page by page: the next page begins behind the last id of the one before."""
 
     def __init__(self, schema: StructType, options: dict):
         self.names, self.options = [f.name for f in schema], options
 
     def partitions(self) -> list[InputPartition]:
-        backend = BACKENDS[self.options["backend"]]
-        last, top, batch = int(self.options.get("after", 0)), backend.top(), int(self.options.get("batch", 500))
-        return [InputPartition((a, min(a + batch, top))) for a in range(last, top, batch)]
+        last, top, n = int(self.options.get("after", 0)), backend_of(self.options).top(), int(self.options.get("partitions", 8))
+        edges = [last + (max(top, last) - last) * k // n for k in range(n + 1)]
+        return [InputPartition((a, b)) for a, b in zip(edges, edges[1:]) if a < b] or [InputPartition((last, last))]
 
     def read(self, partition: InputPartition):
-        backend = BACKENDS[self.options["backend"]]
-        for row in backend.search(*partition.value):
-            yield tuple(row.get(n) for n in self.names)
+        backend, batch, id_name = backend_of(self.options), int(self.options.get("batch", 500)), self.options.get("id", "id")
+        after, upto = partition.value
+        while after < upto and (page := backend.search(after, upto, batch)):
+            for row in page:
+                yield tuple(row.get(n) for n in self.names)
+            after = page[-1][id_name]
 
 
 class KeysetSource(DataSource):
-    """format('keyset'): options backend (a registered name), after (watermark), batch."""
+    """format('keyset'): options backend (module:attribute, importable on every machine), id, after (watermark), batch, partitions.
+
+    A backend has schema() -> DDL text, top() -> largest id, and search(after, upto, limit) -> the rows with
+    after < id <= upto as dictionaries, the smallest ids first, at most limit."""
 
     @classmethod
     def name(cls) -> str:
         return "keyset"
 
     def schema(self):
-        return BACKENDS[self.options["backend"]].schema()
+        return backend_of(self.options).schema()
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return KeysetReader(schema, self.options)
 
 
-#: Remote connectors by name: schema() -> DDL, top() -> largest id, search(after, upto) -> rows as dictionaries.
-BACKENDS: dict[str, object] = {}
-
-
-def connect(spark: SparkSession, backend: str, after: int = 0, batch: int = 500) -> DataFrame:
+def connect(spark: SparkSession, backend: str, after: int = 0, batch: int = 500, partitions: int = 8, id_name: str = "id") -> DataFrame:
     spark.dataSource.register(KeysetSource)
-    return spark.read.format("keyset").option("backend", backend).option("after", after).option("batch", batch).load()
+    options = {"backend": backend, "after": after, "batch": batch, "partitions": partitions, "id": id_name}
+    return spark.read.format("keyset").options(**options).load()
 
 
 def csv_text(rows: list[list[str]]) -> str:
