@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import convert as C
 from .functions import money as M
 from .functions import text as T
-from .models import registry, table, units
+from .models import MODELS, registry, table, units
 from .operators import access as A
 from .operators import analytics as N
 from .operators import documents as D
@@ -23,7 +23,7 @@ from .operators import mirror as W
 from .operators import quality as Q
 from .operators import recon as R
 from .operators import sync as S
-from .plans.registry import Policy
+from .plans.registry import Policy, role_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,17 +161,24 @@ def newest_versions(spark, sf_dir):
 # Catalog (rows depend on the registry, not on data) -----------------------------------------------------------------
 
 
-@query()
+def catalog_sql(row) -> str:
+    """SQL that makes row(model, its columns as a subquery) for every model; the tree of units is made by us and has three."""
+    columns = lambda m: "(SELECT unnest(['id', 'parent_id', 'name']) AS column_name)" if m.table == "units" else f"(SELECT column_name FROM (DESCRIBE {m.table}))"
+    return " UNION ALL ".join(f"SELECT {row(m, columns(m))}" for m in MODELS)
+
+
+@query(catalog_sql(lambda m, columns: f"""'{m.name}' AS model, '{m.table}' AS "table", '{role_of(m.name)}' AS role, (SELECT count(*) FROM {columns})::INT AS n_fields, {len(m.relations)}::INT AS n_relations"""))
 def catalog_models(spark, sf_dir):
     return registry(spark, sf_dir).catalog(spark)
 
 
-@query()
+@query("""SELECT (row_number() OVER () - 1)::INT AS position, column_name AS field, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(column_type) END AS type,
+  CASE column_name WHEN 'o_custkey' THEN 'res.partner' END AS relation, CASE column_name WHEN 'o_orderpriority' THEN 'title' WHEN 'o_totalprice' THEN 'amount' WHEN 'o_orderdate' THEN 'date' WHEN 'o_orderstatus' THEN 'state' END AS semantic FROM (DESCRIBE orders)""")
 def catalog_describe(spark, sf_dir):
     return registry(spark, sf_dir).describe(spark, "sale.order")
 
 
-@query()
+@query(catalog_sql(lambda m, columns: f"'{m.name}' AS model, (SELECT count(*) FROM {columns}) AS n_fields, (SELECT count(*) FROM {columns} WHERE column_name IN ({', '.join(repr(r.key) for r in m.relations.values()) or 'NULL'})) AS n_relations"))
 def catalog_counts(spark, sf_dir):
     return registry(spark, sf_dir).counts(spark)
 
@@ -223,7 +230,7 @@ def domain_scores(spark, sf_dir):
     return N.domain_scores(metrics(spark, sf_dir)).select("n_nationkey", "liquidity", "growth", "execution", "pipeline", "fulfillment", "receivable")
 
 
-@query()
+@query(f"SELECT n_nationkey, overall, {' '.join(['CASE', *[f'WHEN overall >= {limit} THEN {letter!r}' for limit, letter in N.GRADES], 'ELSE', repr('F'), 'END'])} AS grade FROM (SELECT n_nationkey, round({' + '.join(f'{k} * {w}::DOUBLE' for k, w in N.WEIGHTS.items())}, 1) AS overall FROM ({ORACLE_SQL['domain_scores']}))")
 def health_grade(spark, sf_dir):
     return N.domain_scores(metrics(spark, sf_dir)).select("n_nationkey", "overall", "grade")
 
@@ -952,3 +959,206 @@ def gap_texts(spark, sf_dir):
 def narrative_heads(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return W.narrative_heads(lines, ["doc_id"], ["there", "ing ", "est", "ment"])
+
+
+# Conversions and small operators over the supplied tables -----------------------------------------------------------
+
+
+def raw_numbers(spark, sf_dir):
+    """Numbers and dates of orders as they are typed: with thousands, units, commas, and junk."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "CASE o_orderkey % 5 WHEN 0 THEN concat(' $', o_custkey, ',000.50 ') WHEN 1 THEN concat(o_custkey, '.25') WHEN 2 THEN 'n/a' WHEN 3 THEN concat('-', o_custkey + 1) END AS plain",
+        "CASE o_orderkey % 4 WHEN 0 THEN concat('1.', 100 + o_custkey % 900, ',25 EUR') WHEN 1 THEN concat(o_custkey, ',5') WHEN 2 THEN concat(o_custkey, '.5') ELSE 'x' END AS euro",
+        "CASE o_orderkey % 4 WHEN 0 THEN ' Yes' WHEN 1 THEN 'off' WHEN 2 THEN 'done' END AS flag",
+        "CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'dd.MM.yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 2 THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE 'soon' END AS day",
+        "o_custkey", "o_orderdate",
+    )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_custkey * 1000 + 0.5 WHEN 1 THEN o_custkey + 0.25 WHEN 3 THEN -o_custkey - 1 ELSE 0.0 END::DOUBLE AS plain,
+  CASE o_orderkey % 4 WHEN 0 THEN 1100 + o_custkey % 900 + 0.25 WHEN 1 THEN o_custkey + 0.5 WHEN 2 THEN o_custkey + 0.5 END::DOUBLE AS euro, CASE o_orderkey % 5 WHEN 1 THEN o_custkey + 0.25 WHEN 3 THEN -o_custkey - 1 ELSE -1.0 END::DOUBLE AS safe,
+  CASE o_orderkey % 5 WHEN 1 THEN o_custkey WHEN 3 THEN -o_custkey - 1 END::BIGINT AS whole FROM orders""")
+def typed_numbers(spark, sf_dir):
+    c = F.col
+    return raw_numbers(spark, sf_dir).select("o_orderkey", C.to_float_plain(c("plain")).alias("plain"), C.to_float_european(c("euro")).alias("euro"), C.to_float_safe(c("plain"), -1.0).alias("safe"), C.to_integer(c("plain")).alias("whole"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 4 IN (0, 2) AS plain, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS strict, CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate::DATE END AS day FROM orders""")
+def typed_flags_and_dates(spark, sf_dir):
+    return raw_numbers(spark, sf_dir).select("o_orderkey", C.to_bool(F.col("flag")).alias("plain"), C.to_bool_strict(F.col("flag")).alias("strict"), C.to_date(F.col("day")).alias("day"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' ELSE 'P' END AS state, o_orderstatus <> 'F' AS numeric, string_split(o_orderpriority, '-') AS parts, substr(o_orderpriority, 1, 4) AS short FROM orders""")
+def typed_text(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("label", F.expr("CASE o_orderstatus WHEN 'F' THEN 'finished ' WHEN 'O' THEN 'O' ELSE 'P' END"))
+    value = F.when(F.col("o_orderstatus") == "F", "12 pieces").otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(",000")))
+    return o.select("o_orderkey", C.selection_key(F.col("label"), {"F": "Finished", "O": "Open"}).alias("state"), C.looks_like_number(value).alias("numeric"), C.split_trim(F.col("o_orderpriority"), "-").alias("parts"), C.truncate(F.col("o_orderpriority"), 4).alias("short"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'column_' || p_partkey ELSE trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_') END AS header, CASE WHEN p_size = floor(p_size / 2.0) * 2 THEN p_size::VARCHAR ELSE p_size || '.5' END AS shown FROM part""")
+def header_names(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lit(" -- ")).otherwise(F.concat(F.lit(" "), "p_name", F.lit("?")))
+    value = F.col("p_size") + F.when(F.col("p_size") % 2 == 0, 0.0).otherwise(0.5)
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_header(name, F.col("p_partkey")).alias("header"), C.format_number(value).alias("shown"))
+
+
+@query(r"""SELECT p_partkey, 'PO-' || p_partkey AS best, 7.0::DOUBLE AS score FROM part""")
+def preferred_references(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    best = T.preferred_reference(F.lit("DATE"), F.concat(k, F.lit(".50")), F.concat(F.lit("PO-"), k), F.concat(F.lit("0000000"), k), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", best.alias("best"), T.reference_score(best).alias("score"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '1.234,50' ELSE p_partkey::VARCHAR END AS last, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS merged,
+  CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || p_brand ELSE p_name END AS texts, 'sale:' || p_partkey AS key FROM part""")
+def merged_values(spark, sf_dir):
+    c, even = F.col, F.col("p_partkey") % 2 == 0
+    line = F.concat(F.when(c("p_partkey") % 4 == 0, F.lit("7 1.234,50 of ")).otherwise(F.lit("3 ")), c("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.last_amount(line).alias("last"), T.merge_first(c("p_brand"), F.when(even, c("p_name")).otherwise("")).alias("merged"),
+        T.merge_texts(c("p_name"), F.when(even, c("p_brand")).otherwise(F.substring("p_name", 1, 3))).alias("texts"), T.business_key(F.lit("sale"), c("p_partkey")).alias("key"),
+    )
+
+
+@query(r"""SELECT doc_id, len(list_filter(['license', 'the'], lambda w: regexp_matches(lower(text), '\b' || w || '\b')))::INT + CASE WHEN regexp_matches(lower(text), '\bin\s+the\b') THEN 2 ELSE 0 END AS score FROM documents""")
+def keyword_scores(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.keyword_score(F.col("text"), ["license", "the", "in the"]).alias("score"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE + 2 WHEN o_orderkey % 3 = 1 THEN o_orderdate::DATE ELSE DATE '2001-06-15' END AS rate_day, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 1 ELSE o_orderdate::DATE + (o_custkey % 9)::INT END AS planned,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'manual' WHEN o_orderkey % 4 = 2 THEN 'source' WHEN o_orderkey % 4 = 1 THEN 'destination' ELSE 'none' END AS winner FROM orders""")
+def date_rules(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("*", "CAST(o_orderdate AS DATE) AS d", "CASE WHEN o_orderkey % 3 = 0 THEN date_add(o_orderdate, 2) END AS invoice", "CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate AS DATE) END AS accounting",
+                                                  "CASE WHEN o_orderkey % 2 = 0 THEN date_add(o_orderdate, 1) END AS committed", "CAST(o_custkey % 9 AS INT) AS lead", "o_orderkey % 4 >= 2 AS s", "o_orderkey % 2 = 1 AS t")
+    at = lambda flag: F.when(F.col(flag), F.lit(2)).otherwise(0)
+    day = M.conversion_date("invoice_date", F.col("invoice"), F.col("accounting"), F.lit(None).cast("date"), F.lit(AS_OF))
+    return o.select("o_orderkey", day.alias("rate_day"), M.planned_date(F.col("committed"), F.col("d"), F.col("lead")).alias("planned"), R.conflict(at("s"), at("t"), F.lit(1), "manual").alias("winner"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'currency' WHEN least(o_totalprice, o_custkey) <= 0 THEN 'nothing_open' WHEN o_totalprice <> o_custkey THEN 'partial_not_allowed' END AS error, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 ELSE o_custkey % 2 = 0 OR o_custkey % 3 = 0 END AS approved,
+  CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN o_orderkey % 3 = 0 THEN 'settled' WHEN o_orderkey % 5 = 0 THEN 'proposed' WHEN o_totalprice > 1000 THEN 'mismatch' ELSE 'draft' END AS state, CASE WHEN o_custkey % 2 = 0 AND o_custkey % 3 = 0 THEN 'posted' WHEN o_custkey % 2 = 0 THEN 'partially_posted' ELSE 'failed' END AS outcome FROM orders""")
+def settlement_states(spark, sf_dir):
+    c = F.col
+    o = table(spark, sf_dir, "orders").selectExpr("*", "CASE WHEN o_orderkey % 7 = 0 THEN 'USD' ELSE 'EUR' END AS ccy", "o_custkey % 2 = 0 AS a", "o_custkey % 3 = 0 AS b")
+    _, error = R.proposal(c("o_totalprice"), c("o_custkey").cast("double"), c("ccy"), F.lit("EUR"), False)
+    state = R.match_state(c("o_orderstatus") == "P", c("o_orderkey") % 3 == 0, c("o_orderkey") % 5 == 0, c("o_totalprice") > 1000)
+    return o.select("o_orderkey", error.alias("error"), R.approved(c("a"), c("b"), c("o_orderkey") % 2 == 0).alias("approved"), state.alias("state"), R.post_outcome(c("a"), c("b")).alias("outcome"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'in_invoice' WHEN 1 THEN 'out_invoice' WHEN 2 THEN 'in_refund' ELSE 'out_refund' END AS kind, o_custkey % 5 AS source, o_custkey % 3 AS target, o_orderpriority AS origin, CASE WHEN o_orderkey % 4 < 2 THEN 'source_invoice' ELSE 'source_refund' END AS role FROM orders""")
+def counterpart_headers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 4 WHEN 0 THEN 'out_invoice' WHEN 1 THEN 'in_invoice' WHEN 2 THEN 'out_refund' ELSE 'in_refund' END AS kind", "o_custkey % 3 AS source", "o_custkey % 5 AS target", "o_orderpriority AS ref")
+    out = R.counterpart(o, "ref", "kind", "source", "target")
+    return out.select("o_orderkey", "kind", "source", "target", "origin", R.document_role(F.lit("source"), F.col("kind")).alias("role"))
+
+
+@query("""WITH e AS (SELECT o_custkey, max(o_orderkey) AS id, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+  SELECT c_custkey, id AS counterpart, CASE WHEN id IS NULL THEN 'create' WHEN s = 'F' THEN 'read_only' ELSE 'link' END AS action FROM customer LEFT JOIN e ON o_custkey = c_custkey""")
+def created_or_linked(spark, sf_dir):
+    existing = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderkey AS id", "CASE o_orderstatus WHEN 'P' THEN 'cancel' WHEN 'F' THEN 'posted' ELSE 'draft' END AS state")
+    return R.create_or_link(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), existing.withColumnRenamed("k", "key"), "key", "id", "state").withColumnRenamed("key", "c_custkey")
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 4 < 3 THEN ts + INTERVAL 15 MINUTE END AS next_retry_at, (user_id % 4 + CASE WHEN user_id % 4 < 3 THEN 1 ELSE 0 END)::INT AS retry_count, CASE event_type WHEN 'click' THEN 'done' WHEN 'view' THEN 'warning' ELSE 'failed' END AS outcome,
+  CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'expired' WHEN event_type = 'error' THEN 'active' ELSE 'off' END AS token FROM events""")
+def retry_plan(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "CAST(user_id % 4 AS INT) AS retry_count", "3 AS max_retry_count", "CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN 'warning' ELSE 'no' END AS result",
+                                                  "CASE WHEN event_type = 'error' THEN 'active' ELSE 'off' END AS token", "CASE WHEN user_id % 3 = 0 THEN 1 ELSE 9 END AS until")
+    out = L.expire(L.schedule_retry(e, F.col("ts"), F.lit(15)), "token", "until", F.lit(5))
+    return out.select("event_id", "next_retry_at", "retry_count", L.retry_outcome(F.col("result")).alias("outcome"), "token")
+
+
+@query("""SELECT user_id, bool_or(event_type IN ('error', 'signup') AND event_id % 2 <> 0) AS open_issue FROM events GROUP BY 1""")
+def open_issue_flags(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", "false AS resolved", "CAST(NULL AS TIMESTAMP) AS resolved_at")
+    done = e.where("event_id % 2 = 0").select("event_id")
+    return L.open_issues(L.resolve_events(e, done, "event_id", F.lit("2024-02-01").cast("timestamp")), "user_id", "event_type", ["error", "signup"])
+
+
+@query("""SELECT user_id::VARCHAR AS user_id, nullif(string_agg(DISTINCT issue, '; ' ORDER BY issue), '') AS message, CASE WHEN count(issue) = 0 THEN 'healthy' ELSE 'warning' END AS health FROM (SELECT user_id, CASE WHEN event_type = 'error' AND value > 20 THEN 'costly' END AS issue FROM events
+  UNION ALL SELECT user_id, CASE WHEN event_type = 'signup' AND value IS NULL THEN 'empty' END FROM events UNION ALL SELECT user_id, CASE WHEN event_type = 'view' AND value < 1 THEN 'low' END FROM events) GROUP BY 1""")
+def health_states(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    issues = L.health_issues({"costly": e.where("event_type = 'error' AND value > 20"), "empty": e.where("event_type = 'signup' AND value IS NULL"), "low": e.where("event_type = 'view' AND value < 1")}, "user_id")
+    return L.health_state(issues, e, "user_id").select("user_id", "message", "health")
+
+
+@query("""SELECT 'orders' AS job, max(o_orderkey) AS last_source_id, count(*) AS n_read FROM orders WHERE o_orderkey > 100""")
+def watermark(spark, sf_dir):
+    return S.checkpoint(S.after(table(spark, sf_dir, "orders"), "o_orderkey", 100), "o_orderkey", "orders")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS k, count(*) FILTER (c_custkey % 2 = 0) AS mapped, count(*) FILTER (c_custkey % 2 <> 0) AS waiting FROM customer GROUP BY 1) SELECT k, mapped::BIGINT AS mapped, waiting FROM m""")
+def applied_queue(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    old, new = c.where("c_custkey % 3 = 0"), c.where("c_custkey % 3 <> 0 OR c_custkey % 6 = 0")
+    items = lambda df: df.groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_list(F.col("c_custkey").cast("string"))).alias("items"))
+    known = c.where("c_custkey % 2 = 0").select(F.lit("partner").alias("source_model"), F.col("c_custkey").cast("string").alias("source_record_id"), F.lit("x").alias("target_model"), F.col("c_custkey").alias("target_record_id"), F.lit(True).alias("active"))
+    return S.apply_queue(S.queue(items(old), items(new), ["k"], "items"), known, ["k"], "items", "partner").select("k", F.size("ids").cast("long").alias("mapped"), "waiting")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS record, unnest(['en', 'de']) AS lang, unnest([n_name, lower(n_name)]) AS name FROM nation""")
+def translations_pivoted(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name_en"), F.lower("n_name").alias("name_de"))
+    long = S.unpivot_translations(n, "nation", "n_nationkey", {"name_en": ("name", "en"), "name_de": ("name", "de")})
+    return S.pivot_translations(long, ["name"]).select("record", "lang", "name")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice ELSE coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 END, p_retailprice) END AS price, p_brand AS brand FROM part""")
+def upserted_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice AS price", "p_brand AS brand")
+    changes = p.where("p_partkey % 3 <> 0").selectExpr("p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN price + 1 END AS price")
+    return S.upsert_fields(p, changes, ["p_partkey"])
+
+
+@query("""SELECT c_custkey, n_name, CASE WHEN c_custkey % 5 = 0 THEN c_custkey ELSE r END AS parent FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS r FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey""")
+def parents_resolved(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey AS line", "CASE WHEN c_custkey % 5 = 0 THEN c_custkey END AS direct").join(table(spark, sf_dir, "nation").selectExpr("n_nationkey AS line", "n_name"), "line")
+    parents = table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS line", "s_suppkey AS key")
+    return D.parent_of(lines, parents, "direct", "line", "key").select("c_custkey", "n_name", "parent")
+
+
+@query("""SELECT l_partkey AS move, l_quantity AS qty, false AS synthetic FROM lineitem WHERE l_linenumber % 2 = 0 AND l_quantity <> 0 UNION ALL SELECT p_partkey, p_size::DOUBLE, true FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber % 2 = 0 AND l_quantity <> 0)""")
+def done_or_planned(spark, sf_dir):
+    moves = table(spark, sf_dir, "part").selectExpr("p_partkey AS move", "CAST(p_size AS DOUBLE) AS planned")
+    return D.done_or_planned(moves, table(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 0").selectExpr("l_partkey AS move", "l_quantity AS qty"), "move", "planned", "qty")
+
+
+@query("""SELECT o_custkey, coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderkey % 2 = 0 AND o_orderstatus = 'F'), []) AS source_invoice, coalesce(list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderkey % 2 <> 0 AND o_orderstatus = 'O'), []) AS destination_refund FROM orders GROUP BY 1""")
+def sets_of_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_custkey", "CASE WHEN o_orderkey % 2 = 0 THEN 'source' ELSE 'destination' END AS side", "CASE o_orderstatus WHEN 'F' THEN 'invoice' WHEN 'O' THEN 'refund' ELSE 'payment' END AS kind", "o_orderkey")
+    return D.document_sets(d, "o_custkey", "side", "kind", "o_orderkey").select("o_custkey", "source_invoice", "destination_refund")
+
+
+@query("""SELECT s_suppkey, k, round(sum(v), 2) AS v FROM (SELECT s_suppkey, unnest([CASE WHEN s_suppkey % 2 = 0 THEN 'z' ELSE 'a' END, 'b']) AS k, unnest([60.0, 40.0])::DOUBLE AS v FROM supplier) GROUP BY 1, 2""")
+def shares_remapped(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.expr("map('x', 35.0D, 'y', 25.0D, 'b', 40.0D)")).otherwise(F.expr("map('a', 60.0D, 'b', 40.0D)")).alias("shares"))
+    mapping = spark.sql("SELECT * FROM VALUES ('x', 'z'), ('y', 'z') AS t(source_key, target_key)")
+    return J.remap_shares(s, "s_suppkey", "shares", mapping).select("s_suppkey", F.explode("shares").alias("k", "v"))
+
+
+@query("""SELECT event_id, event_type = 'error' AND value > 10 AS skip_row, CASE WHEN event_type = 'error' AND value > 10 THEN 'costly error' END AS skip_reason, coalesce(upper(event_type), '?') AS label FROM events WHERE value IS NOT NULL""")
+def row_hooks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value is not null")
+    return I.with_hooks(I.skip_where(e, "event_type = 'error' AND value > 10", "costly error"), {"label": "coalesce(upper(event_type), '?')"}).select("event_id", "skip_row", "skip_reason", "label")
+
+
+@query("""SELECT doc_id, (line + 1)::INT AS line, regexp_extract(text, '^[A-Za-z]+') AS head FROM (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS text FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+[.]') AS x FROM documents))""")
+def rule_lines(spark, sf_dir):
+    out = X.rule_lines(table(spark, sf_dir, "documents"), "text", "doc_id", "([A-Z][a-z]+) ([a-z]+)[.]", ["head", "rest"])
+    return out.select("doc_id", (F.col("line") + 1).cast("int").alias("line"), "head")
+
+
+@query("""SELECT p_partkey, 'Acme ' || p_partkey || ' GmbH' AS vendor_name, CASE WHEN p_partkey % 2 = 0 THEN 'Q-' || p_partkey END AS quotation_number, '01.02.2024' AS quotation_date, '15.03.2024' AS valid_until, 'USD' AS currency FROM part""")
+def extract_quotation(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    number = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Quotation No: Q-"), k)).otherwise(F.lit("Quotation"))
+    text = F.concat(number, F.lit("\nVendor: Acme "), k, F.lit(" GmbH Invoice Date 01.02.2024 valid 15.03.2024 Total $ 5.00"))
+    return X.quotation(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t", "p_partkey")
+
+
+@query("""SELECT p_partkey, 'Buyer ' || p_partkey || ' Ltd' AS customer_name, 'PO/' || p_partkey AS po_number, '2024-01-05' AS order_date, '2024-02-06' AS expected_delivery_date FROM part""")
+def extract_purchase_order(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("Purchase Order # PO/"), k, F.lit(" Customer: Buyer "), k, F.lit(" Ltd Order Date 2024-01-05 Delivery 2024-02-06"))
+    return X.purchase_order(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t", "p_partkey")
