@@ -30,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import map_batches, pieces
+from .common import map_batches, new_names, pieces
 
 #: Words that a task remembers before it starts afresh.
-REMEMBER = 200_000
+REMEMBER = 120_000
 #: Longer fragments are merged by a heap, each for itself; longer words are not remembered.
 LONG = 64
 #: Words that are merged together.
@@ -291,7 +291,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     packed: ids as binary, four bytes each, little-endian and unsigned, instead of an array of ints.
     """
     rest = [c for c in df.columns if c != text_col]
-    free_name(rest, out_col)
+    new_names(rest, out_col)
     kind = BinaryType() if packed else ArrayType(IntegerType(), False)
     schema = StructType([*[df.schema[c] for c in rest], StructField(out_col, kind)])
 
@@ -305,9 +305,29 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     return map_batches(df.select(*[f"`{c}`" for c in rest], text_col), run, schema)
 
 
+def joined_lists(tokens: pa.Array, ids: list[np.ndarray]) -> pa.Array:
+    return joined(tokens, np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64))
+
+
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """encode() to packed ids and decode() of these in one go: df with ids_col and decoded_col in place of text_col."""
+    rest = [c for c in df.columns if c != text_col]
+    new_names(rest, ids_col, decoded_col)
+    schema = StructType([*[df.schema[c] for c in rest], StructField(ids_col, BinaryType()), StructField(decoded_col, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, tokens = vocabulary(path), token_strings(path)
+        for b in pieces(batches, len(rest)):
+            ids = v.encode(b.column(len(rest)).to_pylist())
+            texts = joined_lists(tokens, [np.frombuffer(x, "<u4") for x in ids])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(ids, pa.binary()), texts], names=schema.names)
+
+    return map_batches(df.select(*[f"`{c}`" for c in rest], text_col), run, schema)
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with out_col, the text that the ids (an array, or packed) stand for; null ids decode to null."""
-    free_name(df.columns, out_col)
+    new_names(df.columns, out_col)
     schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
     packed, at = isinstance(df.schema[ids_col].dataType, BinaryType), df.columns.index(ids_col)
 
@@ -317,13 +337,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
             column = b.column(at)
             rows = column.to_pylist()
             flat = [np.zeros(0, np.uint32) if x is None else np.frombuffer(x, "<u4") if packed else np.array(x, np.uint32) for x in rows]
-            texts = joined(tokens, np.concatenate([np.zeros(0, np.uint32), *flat]), np.array([len(x) for x in flat], np.int64))
+            texts = joined_lists(tokens, flat)
             texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=schema.names)
 
     return map_batches(df, run, schema)
-
-
-def free_name(columns: list[str], new: str) -> None:
-    if new.lower() in (c.lower() for c in columns):
-        raise ValueError(f"there is a column {new!r} already: choose another out_col")

@@ -9,7 +9,8 @@ built-in expressions.
 
 Defined cases: null roles and texts count as empty; a pair that lacks a side has no common prefix and an empty
 completion there; turns of one number are ordered by role and text; turns of a null pair are left out; a common prefix
-may be all of one side, whose completion is then empty; extra columns are ignored.
+may be all of one side, whose completion is then empty; turns repeated in one conversation all count; an empty table
+gives an empty table; a conversation of any length is one row; extra columns are ignored.
 """
 
 from __future__ import annotations

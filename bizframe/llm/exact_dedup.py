@@ -6,7 +6,9 @@ they are shuffled (a text that a third of all rows share costs one row per task)
 joined back, by hashes: broadcast where a count shows them to be few, else by a shuffle whose hot keys Spark can split.
 
 Defined cases: null text counts as empty; all empty texts form one class; a null id is kept only where its class has no
-other id; rows repeated under one id are one document; extra columns are carried untouched whatever their names.
+other id; rows repeated under one id are one document, and where it stays one of its rows does, any of them; an empty
+table gives an empty table; texts of any length are hashed and compared whole; extra columns are carried untouched
+whatever their names.
 """
 
 from __future__ import annotations

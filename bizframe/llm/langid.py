@@ -2,13 +2,17 @@
 
 Texts are read as UTF-8 bytes, cut into spans of SPAN bytes that share no state. Two gated recurrent layers, one from
 either end, label every byte of every span; a document's probabilities are the means over all its bytes. Training runs
-backpropagation through time with Adam on a bounded, documented sample: for each label the `per_label` documents that
-come first by a seeded hash of the id, three pieces of `piece` characters each. Prediction reads whole texts, a batch at
-a time, and shuffles nothing.
-
-Defined cases: a null text or one without a letter is 'und' with score 0; rows whose label is null are not learned from;
-without any labelled row everything is 'und'; extra columns are dropped by predict() except those in `keep`; repeated
-rows are predicted each for itself; ties between languages go to the first by name.
+backpropagation through time with Adam on a bounded, documented sample: for each label the `per_label` documents with
+text that come first by a seeded hash of the id (fewer where there are so many labels that they would be more than `most`
+documents, one at least). Of a sampled document three pieces of `piece` characters are learned from, its start, middle
+and end, since the sample is gathered on the driver and a text may have any length; training draws spans of SPAN bytes
+from them. Every label is learned. Prediction reads whole texts, a batch at a time, and shuffles nothing.
+
+Defined cases: a null or empty text or one without a letter (Unicode's categories L) is 'und' with score 0; rows whose
+label or text is null are not learned from; without any such row everything is 'und'; an empty table gives an empty
+table; a text of any length is read whole, in spans; extra columns are dropped by predict() except those in `keep`, and
+one of these that has the name of a new column is an error that says so; repeated rows are predicted each for itself;
+ties between languages go to the first by name.
 """
 
 from __future__ import annotations
@@ -23,15 +27,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import map_batches, pieces
+from .common import map_batches, new_names, pieces
 
 SPAN = 64
 HIDDEN = 8
 TOGETHER = 4096
 UNKNOWN = "und"
+#: Letters, and a few numerals that has_letter() tells from them.
 LETTER = re.compile(r"[^\W\d_]")
-#: Bound of what is learned from: documents of each label, characters of each of a document's three pieces, labels.
-PER_LABEL, PIECE, MAX_LABELS = 600, 160, 400
+#: Bounds of what is learned from: documents of each label, characters of each of a document's three pieces, documents.
+PER_LABEL, PIECE, MOST = 600, 160, 240_000
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
 @dataclass
@@ -171,7 +180,7 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int =
 
 
 def predict_batch(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    kept = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    kept = [i for i, t in enumerate(texts) if has_letter(t)]
     data = [texts[i].encode() for i in kept]
     total = np.zeros((len(net.labels), len(data)))
     cells, length, owner = spans(data)
@@ -191,27 +200,29 @@ def predict_batch(net: Network, texts: list[str | None]) -> tuple[list[str], lis
     return lang, score
 
 
-def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, piece: int = PIECE, seed: int = 7) -> Network | None:
+def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, piece: int = PIECE, most: int = MOST, seed: int = 7) -> Network | None:
     """A network learned from at most per_label documents of each label, of the rows where learn holds."""
     text, size = F.col(text_col), F.length(text_col)
     parts = F.concat_ws("\n", *[F.substring(text, F.lit(1) + (F.greatest(size - piece, F.lit(0)) * k / 2).cast("int"), F.lit(piece)) for k in range(3)])
-    labelled = df.where(learn & F.col(label_col).isNotNull())
-    often = labelled.groupBy(F.col(label_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    labelled = df.where(learn & F.col(label_col).isNotNull() & text.isNotNull())
+    often = labelled.groupBy(F.col(label_col).alias("lang")).count().collect()  # the labels are the network's outputs
     if not often:
         return None
+    per_label = max(1, min(per_label, most // len(often)))
     # the first by hash lie below this mark but for a chance beyond any count, so a label's task sorts as few rows at any size
     below = {r["lang"]: (3 * per_label + 100) / r["count"] * 2.0**64 - 2.0**63 for r in often}
     mark = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col("lang")]
-    rows = labelled.where(text.isNotNull()).select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order"), parts.alias("text"))
+    rows = labelled.select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order"), parts.alias("text"))
     first = Window.partitionBy("lang").orderBy("order", "text")
     sample = rows.where(F.col("order") <= mark).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label)
-    found = sorted((r["lang"], r["order"], r["text"]) for r in sample.limit(per_label * MAX_LABELS).collect())
+    found = sorted((r["lang"], r["order"], r["text"]) for r in sample.collect())
     return train([t for _, _, t in found], [x for x, _, _ in found], seed=seed)
 
 
 def predict(df: DataFrame, net: Network | None, text_col: str = "text", keep: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """The columns in keep (all by default) with the predicted language and its probability."""
     keep = df.columns if keep is None else keep
+    new_names(keep, lang_out, score_out)
     schema = StructType([*[df.schema[c] for c in keep], StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

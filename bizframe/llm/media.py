@@ -8,7 +8,9 @@ transform, and compares the low frequencies with their median.
 Every row is handled alone, a batch at a time, so nothing is shuffled and memory is bounded by one batch and one text.
 
 Defined cases: a null payload gives null media and null features; a payload whose length is not a positive multiple of
-the width is an error (pad_bytes makes it one); an empty table gives an empty table; extra columns stay untouched.
+the width is an error (pad_bytes makes it one); a payload of any length is one image, handled whole; repeated rows are
+handled each for itself; an empty table gives an empty table; extra columns stay untouched, and one that has the name of
+a new column is an error that says so.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import map_batches
+from .common import map_batches, new_names
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 16
@@ -154,6 +156,7 @@ def cosine_hash(image: np.ndarray, grid: int = GRID, low: int = LOW) -> bytes:
 
 def to_media(df: DataFrame, payload_col: str, out_col: str = "media", width: int = WIDTH) -> DataFrame:
     """Adds out_col, the payload as a PNG."""
+    new_names(df.columns, out_col)
     schema = StructType([*df.schema.fields, StructField(out_col, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +172,7 @@ def from_media(df: DataFrame, media_col: str = "media", keep: list[str] | None =
     """keep columns, payload (binary, read back), feature (hexadecimal cosine hash), height, media (as stored)."""
     keep = [c for c in df.columns if c != media_col] if keep is None else keep
     added = [StructField("payload", BinaryType()), StructField("feature", StringType()), StructField("height", LongType()), StructField("media", BinaryType())]
+    new_names(keep, *[f.name for f in added])
     schema = StructType([*[df.schema[c] for c in keep], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,8 @@ stay small as the data grow, and a source that holds a third of all rows is spre
 
 Defined cases: null text is of size 0 and never taken; a null source is a source of its own, ordered last; an empty
 table gives an empty mix; equal seeds give equal mixes; repeated rows are documents of their own, ties in the seeded
-order broken by id and size.
+order broken by id and size; ids are integers; a long text is cut where a block ends and never taken more often than
+max_repeat; extra columns go along.
 """
 
 from __future__ import annotations

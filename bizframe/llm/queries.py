@@ -44,9 +44,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path()
-    both = bpe.decode(bpe.encode(docs, path, packed=True), path)
-    return both.select(
+    return bpe.round_trip(docs, tokenizer_path()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

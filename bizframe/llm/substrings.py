@@ -20,7 +20,8 @@ others as repeats, so a passage that a third of all documents share costs a few
 id, to meet the positions found.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing; a null id stays whole and takes no
-part; rows repeated under one id are one document and do not repeat each other; an empty table gives an empty table.
+part; rows repeated under one id are one document and do not repeat each other; an empty table gives an empty table; ids
+are integers; a text longer than a block is a block of its own; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 from .shingles import BASE, mixed, odd_constants, powers
 
 LENGTH, GRAM = 100, 25
@@ -158,7 +159,7 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                 if len(p):
                     yield combined(bucket, part, ids[first + text], packed(p, back, more, tags))
 
-    return docs.mapInArrow(run, KEYED)
+    return map_batches(docs, run, KEYED)
 
 
 def in_buckets(rows: DataFrame, keys: list[str], found: Callable[..., pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -177,7 +178,7 @@ def in_buckets(rows: DataFrame, keys: list[str], found: Callable[..., pa.RecordB
         if held is not None and len(held[0]) and (out := found(*held)) is not None:
             yield out
 
-    return rows.repartition(*keys).sortWithinPartitions("bucket", "part", "id", "at").mapInArrow(run, schema)
+    return map_batches(rows.repartition(*keys).sortWithinPartitions("bucket", "part", "id", "at"), run, schema)
 
 
 PLACES = "id long, bucket long, at long, known boolean"
@@ -240,7 +241,7 @@ def find_strings(docs: DataFrame, going: DataFrame) -> DataFrame:
             if got:
                 yield combined(*[np.concatenate(x) for x in zip(*got)])
 
-    return docs.join(going, "id").select("id", "text", "places").mapInArrow(run, KEYED)
+    return map_batches(docs.join(going, "id").select("id", "text", "places"), run, KEYED)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -290,5 +291,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             arrays = [b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = map_batches(rows, run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)

@@ -277,6 +277,31 @@ def test_large_bucket(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_buckets_of_several_blocks(spark, monkeypatch):
+    """Buckets that are cut into many blocks find what a single block finds."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "PIECE", 3000)
+    core, drift = [f"c{i}" for i in range(60)], [f"d{i}" for i in range(900)]
+    texts = [" ".join(core + drift[8 * i : 8 * i + 60]) for i in range(70)] + [" ".join(core + [f"o{k}_{i}" for i in range(30)] + [e]) for k in range(15) for e in ("x", "y")]
+    random.Random(8).shuffle(texts)
+    df, how = simple(spark, texts), {"bands": 2, "rows": 1}
+    want, largest = classes_by_bands(df, texts, **how)
+    assert largest > minhash.BLOCK * 2
+    got = {r["id"]: r["class_id"] for r in minhash.classes(df, **how).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_similarities_are_the_exact_ones():
+    rng = random.Random(9)
+    data = [" ".join(rng.choices("abcdef", k=rng.randint(0, 30))).encode() for _ in range(60)] + [" ".join(f"w{rng.randint(0, 60)}" for _ in range(40)).encode() for _ in range(40)]
+    found = shingles.weighted(*shingles.shingle_hashes(data))
+    bag = lambda i: tuple(x[found[0] == i] for x in found[1:])
+    a, b = np.array([rng.randrange(100) for _ in range(800)]), np.array([rng.randrange(100) for _ in range(800)])
+    got = shingles.similarities(a, b, 100, *found)
+    assert got == pytest.approx([shingles.probability_jaccard(bag(x), bag(y)) for x, y in zip(a, b)])
+
+
 def classes_by_bands(df, texts, **how):
     """Classes by comparing all pairs that share a band."""
     keys = {r["id"]: list(r["keys"]) for r in minhash.sketches(df, **how).collect()}
