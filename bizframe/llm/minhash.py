@@ -10,19 +10,21 @@ Classes, without listing the pairs of a group:
    member that stands in the fullest buckets (the text that a group's copies were made from), and each such link is
    verified by the exact similarity of the two texts;
 3. verified links give classes (smallest label, with pointer jumping, until nothing changes);
-4. in a bucket whose other members are still of several classes, the members are cut into blocks of about FEW, and block
-   by block each is compared with all members of other classes that stand in the same or a later block. Rounds go on
-   until every bucket has one class or no block left; links found in a round spare the later ones.
+4. in a bucket whose other members are still of several classes, all members of different classes are compared: in a
+   bucket of FEW members as pairs, in a larger one block by block inside tasks, which return similar pairs only.
 So any two texts that share a band are in one class at the end or have been compared. Two are passed over only where
 that is certain without reading them: 1 - similarity is a metric (it is the chance that a register differs), so texts
 whose distances to their pivot differ by more than 1 - `similarity` are not similar. What remains to be missed is a pair
-that agrees in no band. Large buckets of many texts that are near each other but not similar cost pairs by the square.
+that agrees in no band. Large buckets of many texts that are near each other but not similar cost comparisons by the
+square, and rows by the square over BLOCK.
 
 Counts, joins and candidates are keyed by bucket or id; hot buckets are pre-aggregated (2), and their joins can be split.
 
 Defined cases: null text counts as empty; texts without words are copies of each other; texts shorter than a shingle
 agree only where all words do; rows with a null id stay, each in a class of its own (class_id null); rows repeated under
-one id count once each in class_size and share their fate; an empty table gives an empty table.
+one id count once each in class_size and share their fate; an empty table gives an empty table; ids are integers; ties
+go to the smallest id; extra columns stay out of the way, whatever their names. A long text is read in one task.
+Intermediate tables go to the shared folder; all but the two that the result reads are deleted when it is planned.
 """
 
 from __future__ import annotations
@@ -31,15 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, materialize_counted, pieces, small_or_shuffled
-from .shingles import WORDS, blocks, mixed, odd_constants, probability_jaccard, shingle_hashes, weighted
+from .common import PIECE, discard, map_batches, materialize, materialize_counted, pieces, small_or_shuffled
+from .shingles import WORDS, blocks, mixed, odd_constants, shingle_hashes, similarities, weighted
 
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
-#: Members of a block; pairs from which on a round takes fewer blocks; members of a bucket that one salt stands for.
-FEW, LISTED, SPREAD = 32, 200_000, 2_000
+#: Members of a bucket whose pairs become rows; members of a block of a larger bucket.
+FEW, BLOCK = 32, 512
 SALT = 0xD1B54A32D192ED03
 ALL = (1 << 64) - 1
 
@@ -90,64 +93,68 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), run, schema)
 
 
-def compared(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Pairs (a, b), a written table, with the similarity of their texts. texts: id, text."""
-    needed = materialize_counted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+def compared(pairs: DataFrame, texts: DataFrame, n_texts: int, words: int = WORDS) -> DataFrame:
+    """Pairs (a, b), a written table, with the similarity of their texts. texts: id, text, of n_texts rows."""
+    needed = materialize_counted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes", at_most=n_texts)
     kept = texts.join(small_or_shuffled(*needed), "id", "left_semi")
     both = pairs.join(kept.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
         kept.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
     )
 
-    def shingles_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return weighted(*shingle_hashes([(text or "").lower().encode()], words))[1:]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
-            found = []
-            for i in range(batch.num_rows):
-                if last != b[i].as_py():  # the rows of one pivot mostly stand together
-                    last, of_last = b[i].as_py(), shingles_of(tb[i].as_py())
-                found.append(probability_jaccard(shingles_of(ta[i].as_py()), of_last))
+            at: dict[int, int] = {}
+            data: list[bytes] = []
+            sides = []
+            for ids, column in ((a.to_pylist(), ta), (b.to_pylist(), tb)):
+                for i, x in enumerate(ids):
+                    if x not in at:  # a batch has few texts and many pairs of them
+                        at[x] = len(data)
+                        data.append((column[i].as_py() or "").lower().encode())
+                sides.append(np.array([at[x] for x in ids], np.int64))
+            found = similarities(*sides, len(data), *weighted(*shingle_hashes(data, words)))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return map_batches(both.select("a", "b", "ta", "tb"), run, "a long, b long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, for the nodes of links (a, b), a written table."""
+def components(links: DataFrame, nodes: int) -> DataFrame:
+    """node, label: the smallest node of its component, for the nodes (at most so many) of links (a, b), a written table."""
     sides = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sides = materialize(sides.unionByName(sides.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "sides")
-    labels = sides.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label"))
+    sides = materialize(sides.unionByName(sides.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "sides", at_most=2 * nodes)
+    labels, old = sides.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), None
     while True:
         near = sides.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
-        moved, changes = materialize_counted(moved, "labels", F.col("label") != F.col("old"))
-        labels = moved.select("node", "label")
+        moved, changes = materialize_counted(moved, "labels", F.col("label") != F.col("old"), at_most=nodes)
+        if old is not None:
+            discard(old)
+        labels, old = moved.select("node", "label"), moved
         if not changes:
+            discard(sides)
             return labels
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
     """labels (node, label) after more links (a, b), a written table: components of the classes that these link."""
     ends = links
     for side in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(side), "label"), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
-    found = components(materialize(ends.select("a", "b").distinct(), "ends"))
+    found = components(materialize(ends.select("a", "b").distinct(), "ends", at_most=nodes), nodes)
     lower = found.select(F.col("node").alias("label"), F.col("label").alias("lower"))
     kept = labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
-    return materialize(kept.unionByName(found.join(labels, "node", "left_anti")), "labels")
+    return materialize(kept.unionByName(found.join(labels, "node", "left_anti")), "labels", at_most=nodes)
 
 
-def with_pivots(members: DataFrame) -> DataFrame:
+def with_pivots(members: DataFrame, at_most: int) -> DataFrame:
     """Members (bucket, rep, central) of the buckets that have several, with the bucket's size and pivot."""
     order = F.struct("central", -F.col("rep"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max(order).alias("top")).where("size > 1")
     buckets = buckets.select("bucket", "size", (-F.col("top")["col2"]).alias("pivot"))
-    return materialize(members.join(buckets, "bucket").select("bucket", "rep", "size", "pivot"), "placed")
+    return materialize(members.join(buckets, "bucket").select("bucket", "band", "rep", "size", "pivot"), "placed", at_most)
 
 
 def of_several_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,58 +165,88 @@ def of_several_classes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def across(rows: DataFrame, end: int, distance: float) -> DataFrame:
-    """a < b: the pairs of different classes in one bucket whose earlier member is in a block below end. Both sides
-    are dealt by bucket and salt: a member has one salt as the later of a pair, and as the earlier one each of its bucket."""
-    salts = F.ceil(F.col("size") / SPREAD).cast("int")
-    later = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
-    early = rows.where(F.col("block") < end).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    early = early.select("bucket", "salt", F.col("rep").alias("a"), F.col("label").alias("of_a"), F.col("distance").alias("far"))
-    meet = early.join(later, ["bucket", "salt"]).where((F.col("block") >= end) | (F.col("rep") > F.col("a")))
-    meet = meet.where((F.col("label") != F.col("of_a")) & (F.abs(F.col("distance") - F.col("far")) <= distance + 1e-9))
-    return meet.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+def listed(rows: DataFrame, distance: float) -> DataFrame:
+    """a < b: the pairs of different classes that share one of the buckets of rows, which hold FEW members at most."""
+    one = rows.select("bucket", F.col("rep").alias("a"), F.col("label").alias("of_a"), F.col("distance").alias("far"))
+    meet = one.join(rows, "bucket").where((F.col("rep") > F.col("a")) & (F.col("label") != F.col("of_a")))
+    return meet.where(F.abs(F.col("distance") - F.col("far")) <= distance + 1e-9).select("a", F.col("rep").alias("b")).distinct()
+
+
+def in_blocks(rows: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """a < b: the similar pairs of different classes that share one of the buckets of rows. A bucket's members are cut into
+    blocks of about BLOCK, each task holds two of them and compares their pairs in numpy, and only similar ones become rows.
+    Of the buckets that two texts share, the one of the first band compares them. texts: id, text. keys: rep, keys."""
+    needed = materialize_counted(rows.select(F.col("rep").alias("id")).distinct(), "nodes")
+    kept = texts.join(small_or_shuffled(*needed), "id", "left_semi").withColumnRenamed("id", "rep")
+    held = rows.join(kept, "rep").join(keys, "rep")
+    blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
+    held = held.withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks_).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    held = held.select("bucket", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"), "block", "band", "rep", "label", "distance", "text", "keys")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        block, label, far, rep = (np.asarray(group[c]) for c in ("block", "label", "distance", "rep"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+        on = (label[a] != label[b]) & (np.abs(far[a] - far[b]) <= 1 - similarity + 1e-9)
+        if i == j:
+            on &= a < b
+        a, b = a[on], b[on]
+        of_band = np.asarray(pc.list_flatten(group["keys"])).reshape(group.num_rows, -1)
+        for band in range(group["band"][0].as_py()):
+            apart = of_band[a, band] != of_band[b, band]
+            a, b = a[apart], b[apart]
+        texts = group["text"].combine_chunks()
+        run_of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+        runs = run_of[a] << 32 | run_of[b]
+        found = np.zeros(len(a), bool)
+        for r in np.unique(runs):  # long texts: two runs of about PIECE bytes at a time
+            on = np.flatnonzero(runs == r)
+            both, at = np.unique(np.concatenate([a[on], b[on]]), return_inverse=True)
+            data = [(texts[int(k)].as_py() or "").lower().encode() for k in both]
+            at = at.reshape(2, -1)
+            found[on] = similarities(at[0], at[1], len(data), *weighted(*shingle_hashes(data, words))) >= similarity - 1e-12
+        x, y = rep[a[found]], rep[b[found]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return held.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """id, class_id (the smallest id of its near-duplicates, itself included), class_size; one row per row of df with an id."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    found = materialize(sketches(df, id_col, text_col, bands, rows, words), "sketches")
+    found, n_texts = materialize_counted(sketches(df, id_col, text_col, bands, rows, words), "sketches")
     copies = found.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.count(F.lit(1)).alias("n"))
-    copies = materialize(copies, "copies")
-    members = copies.select("rep", F.posexplode("keys").alias("band", "bucket")).select("rep", F.xxhash64("band", "bucket").alias("bucket"))
+    copies, n = materialize_counted(copies, "copies", at_most=8 * n_texts)  # rows of bands are wider
+    members = copies.select("rep", F.posexplode("keys").alias("band", "bucket")).select("rep", "band", F.xxhash64("band", "bucket").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(members.join(sizes, "bucket"), "buckets")
+    shared, n_shared = materialize_counted(members.join(sizes, "bucket"), "buckets", at_most=bands * n)
     central = shared.groupBy("rep").agg(F.sum("size").alias("central"))
-    placed = with_pivots(shared.drop("size").join(central, "rep"))
-    tried = materialize(placed.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    stars = materialize(compared(tried, texts, words), "stars")
+    placed = with_pivots(shared.drop("size").join(central, "rep"), n_shared)
+    tried = materialize(placed.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs", at_most=n_shared)
+    stars = materialize(compared(tried, texts, n, words), "stars")
     similar = F.col("similarity") >= similarity - 1e-12
-    labels = components(stars.where(similar))
+    labels = components(stars.where(similar), n)
+    used = [copies, shared, placed, tried, stars]
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     rest = of_several_classes(placed.where("size > 2 and rep <> pivot"), labels)  # a pivot has been compared with all
     far = stars.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (1 - F.col("similarity")).alias("distance"))
-    blocks_ = F.ceil(F.col("size") / FEW)
-    rest = rest.join(far, ["rep", "pivot"]).select("bucket", "rep", "size", "distance", "label", F.pmod(F.xxhash64("rep", "bucket"), blocks_).alias("block"))
-    end, width = 0, 1
-    while True:
-        rest, n = materialize_counted(rest, "mixed")
-        if not n:
-            break
-        end += width
-        new = across(rest, end, 1 - similarity).join(tried, ["a", "b"], "left_anti")
-        new, pairs = materialize_counted(new, "pairs")
-        if pairs:
-            tried = tried.unionByName(new)
-            more, n = materialize_counted(compared(new, texts, words).where(similar).select("a", "b"), "links")
-            if n:
-                labels = joined(labels, more)
-        rest = of_several_classes(rest.where(F.col("block") >= end), labels)
-        width = width * 2 if pairs < LISTED else max(1, width // 2)
+    rest, n_rest = materialize_counted(rest.join(far, ["rep", "pivot"]).select("bucket", "band", "rep", "size", "distance", "label"), "mixed", at_most=n_shared)
+    used.append(rest)
+    if n_rest:
+        pairs = materialize(listed(rest.where(F.col("size") <= FEW), 1 - similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        large = in_blocks(rest.where(F.col("size") > FEW), texts, copies.select("rep", "keys"), similarity, words)
+        found_links = compared(pairs, texts, n, words).where(similar).select("a", "b").unionByName(large).distinct()
+        more, links = materialize_counted(found_links, "links", at_most=n_shared)
+        used += [pairs, more]
+        if links:
+            labels = joined(labels, more, n)
 
     owned = copies.select("fp1", "fp2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("class_id"))
     sizes = owned.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    owned = materialize(owned.join(sizes, "class_id").select("fp1", "fp2", "class_id", "class_size"), "classes")
+    owned = materialize(owned.join(sizes, "class_id").select("fp1", "fp2", "class_id", "class_size"), "classes", at_most=n)
+    discard(*used)
     return found.select("id", "fp1", "fp2").join(owned, ["fp1", "fp2"]).select("id", "class_id", "class_size")
 
 

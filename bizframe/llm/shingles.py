@@ -111,3 +111,36 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     low = np.concatenate([[0], np.cumsum(wa)])[upto] + only_a  # where b_j / a_j is no larger, a_j / a_i counts
     high = wb.sum() - np.concatenate([[0], np.cumsum(wb)])[upto] + only_b
     return float((1 / (low / wa + high / wb)).sum())
+
+
+#: Shingles that are looked up together.
+LOOKUPS = 1 << 20
+
+
+def similarities(a: np.ndarray, b: np.ndarray, texts: int, owner: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """probability_jaccard() of the pairs of texts (a, b), of weighted(). Where no shingle repeats in either text it is the
+    shared part of all shingles of both, counted for many pairs at once."""
+    sizes = np.bincount(owner, minlength=texts)
+    first = np.cumsum(sizes) - sizes
+    repeats = np.bincount(owner, weight != 1, texts) > 0
+    out = np.zeros(len(a))
+    rank = np.unique(hashes, return_inverse=True)[1].reshape(-1).astype(np.int64)
+    place = owner * (len(hashes) + 1) + rank  # ascending, as weighted() sorts
+    small = np.where(sizes[a] <= sizes[b], a, b)
+    large = a + b - small
+    plain = np.flatnonzero(~repeats[a] & ~repeats[b] & (sizes[small] > 0))
+    ends = np.cumsum(sizes[small[plain]])
+    cuts = np.flatnonzero(np.diff(ends // LOOKUPS, prepend=-1)) if len(plain) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(plain))):
+        some = plain[lo:hi]
+        n = sizes[small[some]]
+        of = np.repeat(np.arange(len(some)), n)
+        at = np.repeat(first[small[some]] - (np.cumsum(n) - n), n) + np.arange(len(of))
+        wanted = large[some][of] * (len(hashes) + 1) + rank[at]
+        near = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        both = np.bincount(of, place[near] == wanted, len(some))
+        out[some] = both / (n + sizes[large[some]] - both)
+    part = lambda k: (hashes[first[k] : first[k] + sizes[k]], weight[first[k] : first[k] + sizes[k]])
+    for i in np.flatnonzero(repeats[a] | repeats[b] | (sizes[small] == 0)):
+        out[i] = probability_jaccard(part(a[i]), part(b[i]))
+    return out
