@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All stages but the last return the columns of documents.
+
+Defined cases, for every stage: an empty table gives an empty one; a null text counts as empty where a stage reads it,
+and language ID drops it, with empty texts and those without a letter; null sources and languages are values like others;
+repeated rows are judged each for itself, and exact dedup leaves one of them; a text of any length is read whole; extra
+columns of documents go along, and names that begin with two underscores are kept for the stages.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays; of rows that share it, one."""
     return exact_dedup.drop_duplicates(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the smallest doc_id stays."""
+    """Of near-duplicates the smallest doc_id stays; rows without an id stay."""
     return minhash.drop_near_duplicates(docs)
 
 
