@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, licenses, lm, media, minhash, mixing, substrings
-from .common import table
+from . import align, bpe, chat, exact_dedup, filter_audit, langid, licenses, lm, media, minhash, mixing, substrings, toxicity
+from .common import table, whole_text
 
 #: The vocabulary's place is a parameter; it is never copied.
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,23 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED), keep=["doc_id"])
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = filter_audit.text_filters(whole_text())
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    cells = filter_audit.mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), filters, F.col("lang"), flags)
+    return filter_audit.audit(cells, "".join(filters) + filter_audit.COPIES, list(flags))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(5) == 0).alias("held_out"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_bpe": op2_bpe,
@@ -115,8 +133,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_licenses": op9_licenses,
     "op10_substrings": op10_substrings,
+    "op11_align": op11_align,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
+
 def _grams_sql() -> str:
     """The licence templates' k-grams as SQL values."""
     rows = licenses.gram_rows(licenses.PHRASES, licenses.TEMPLATES, licenses.K)
@@ -189,4 +211,26 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_filter_audit": r"""
+        WITH RECURSIVE letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (SELECT f AS o, bit AS used FROM letters UNION ALL SELECT o || f, used + bit FROM orders JOIN letters ON used & bit = 0 WHERE length(o) < 5),
+        steps AS (SELECT o, s, f, bit, coalesce((SELECT sum(b.bit) FROM letters b WHERE instr(substr(o, 1, s - 1), b.f) > 0), 0)::INT AS before
+                  FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders WHERE length(o) = 5) JOIN letters ON substr(o, s, 1) = f),
+        flags AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+        d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+              FROM d LEFT JOIN flags USING (doc_id)),
+        cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+        r AS (SELECT part, o AS filter_order, s AS step, f,
+                     sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+              FROM cells, steps GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r
+    """,
 }
