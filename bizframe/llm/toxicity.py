@@ -231,12 +231,13 @@ def pattern_counts(rows: DataFrame, text_col: str, toxic_col: str, half_col: str
     """(pattern, whole, n, toxic, n1, toxic1): texts that hold a word, or a longer word with that beginning, how many are
     toxic, and both for the texts of half 1."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(\p{L}+)"), 1))
-    pattern = lambda w, whole: F.struct(w.alias("pattern"), F.lit(whole).alias("whole"))
-    begin = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: pattern(F.substring(w, 1, n), False))
-    found = F.array_distinct(F.concat(F.transform(words, lambda w: pattern(w, True)), *[begin(n) for n in BEGINNINGS]))
+    begin = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
+    # as strings, whole words behind an equals sign: structs would be compared each with each
+    found = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), *[begin(n) for n in BEGINNINGS]))
     toxic, half = F.col("__t"), F.col("__h")
-    rows = rows.select(F.inline(found), F.col(toxic_col).cast("long").alias("__t"), F.col(half_col).cast("long").alias("__h"))
-    return rows.groupBy("pattern", "whole").agg(F.count(F.lit(1)).alias("n"), F.sum(toxic).alias("toxic"), F.sum(half).alias("n1"), F.sum(half * toxic).alias("toxic1"))
+    rows = rows.select(F.explode(found).alias("__p"), F.col(toxic_col).cast("long").alias("__t"), F.col(half_col).cast("long").alias("__h"))
+    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.sum(toxic).alias("toxic"), F.sum(half).alias("n1"), F.sum(half * toxic).alias("toxic1"))
+    return counts.select(F.ltrim(F.col("__p"), F.lit("=")).alias("pattern"), F.startswith("__p", F.lit("=")).alias("whole"), "n", "toxic", "n1", "toxic1")
 
 
 def strength(n: int, toxic: int, rate: float) -> int | None:
