@@ -1,17 +1,17 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies stand for the same bytes, by DuckDB in every task.
 
 Two tokenizers read a space and the text. Where a space follows something that is no white space both end a token, so a
-text is a row of words that align each for itself, and a task aligns a word once however often it stands there. The new
+text is a row of words that align each for itself, and a process aligns a word once however often it stands there. The new
 words of a batch become interval tables (start, end, id) of either side, laid one behind the other; DuckDB finds where both
 end (an as-of join), numbers A's groups by a window sum of these cuts, brings B's tokens in by a range join with the
 groups' spans, and pairs the ids of a group with the number of their occurrences.
 
-How many documents hold a pair linked is counted per task, where a document's pairs are distinct, and merged in Spark. A
-second pass reads the texts again and looks a word's pairs up. The counts are broadcast while they are no more than
-`most` rows as counted (the vocabularies bound them, at 12 bytes a row); beyond that a text's pairs are joined with the
-counts in Spark, with frequent pairs dealt over several tasks.
+Every text is written with its distinct pairs. How many documents hold a pair is counted from these per task and merged in
+Spark; then each text's pairs are looked up in the counts, which are broadcast while they are no more than `most` rows as
+counted (the vocabularies bound them, at 17 bytes a row). Beyond that pairs and counts are joined in Spark, with frequent
+pairs dealt over several tasks.
 
-Memory: a batch of texts, the words kept (given up at KEEP words), and DuckDB's tables of a batch's new words. A text
+Memory: a batch of texts, the words that a process keeps from task to task (at KEEP words those seen once go), and DuckDB's tables of a batch's new words. A text
 without a space is one word and meets whole.
 
 Defined cases: a text that is null, empty, or whose tokens of either side do not join to its bytes has no tokens, zeros and
@@ -30,6 +30,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,6 +44,7 @@ HOLD = 1_500_000
 #: Words end where a space follows what is no white space.
 CUT = re.compile(r"(?<=\S)(?= )")
 UNEVEN = re.compile(r"\s ")
+BORDER = re.compile(r"\s | \s|^\s|\s$")
 #: New words that are encoded in one text.
 TOGETHER = 2_000
 
@@ -129,7 +131,7 @@ class Aligner:
         import duckdb
 
         self.sides = a, b
-        self.width = len(b.bytes)
+        self.width, self.top = len(b.bytes), len(a.bytes) * len(b.bytes)
         self.sizes_of = [np.array([len(x) for x in side.bytes]) for side in self.sides]
         # ids as text with what follows them: another of the side, or the end of the side's part of a group
         self.text_of = [[f"{i}{c}".encode() for i in range(len(side.bytes)) for c in (",", end)] for side, end in zip(self.sides, "|;")]
@@ -160,53 +162,60 @@ class Aligner:
         self.number = _Numbers()
         for k in kept.tolist():
             self.number[words[k]]
-        many, at = self._spread(kept)
+        many, at = self.spread(kept)
         self.pair, self.times = self.pair[at], self.times[at]
         self.first = np.append(0, np.cumsum(many))
         self.good, self.sizes, self.seen = self.good[kept], self.sizes[kept], np.zeros(len(kept), np.int64)
         self.ids = [self.ids[k] for k in kept.tolist()]
 
-    def _encoded(self, words: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Side k's ids of all words, how many each has, and whether they join to its bytes.
-
-        Words that stand in one text as they are are encoded together, others each for itself."""
-        side, sizes = self.sides[k], self.sizes_of[k]
-        raw = [b" " + w.encode() for w in words]
-        ids: list[list[int]] = [[]] * len(words)
-        flat, many, good = [], np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        plain = [n for n, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
-        texts = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
-        alone = sorted(set(range(len(words))).difference(plain))
-        for own, got in zip(texts, side.encode([" ".join([words[n] for n in t]) for t in texts])):
-            want = b"".join([raw[n] for n in own])
-            ends = np.cumsum(sizes[got])
-            if b"".join(map(side.bytes.__getitem__, got)) != want:
-                alone += own
+    def _encoded(self, words: list[str], sizes: np.ndarray, runs: list[tuple[int, int, str]], alone: list[int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Side k's ids of all words in order, how many each has, and whether they join to its bytes.
+
+        sizes: bytes of the words with their spaces; runs: first, end and text of words that are encoded as one text; the
+        words in alone are encoded each for itself, as are those of a run that does not join to its bytes."""
+        side, of_id = self.sides[k], self.sizes_of[k]
+        many, good = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        parts: list[tuple[int, np.ndarray]] = []
+        alone = list(alone)
+        for (first, end, text), got in zip(runs, side.encode([t for _, _, t in runs])):
+            if b"".join(map(side.bytes.__getitem__, got)) != b" " + text.encode():
+                alone += range(first, end)
                 continue
-            to = np.searchsorted(ends, np.cumsum([len(raw[n]) for n in own]))
-            many[own] = np.diff(to + 1, prepend=0)
-            good[own] = True
-            flat.append((own[0], np.array(got)))
-        got = side.encode([words[n] for n in alone])
-        for n, own in zip(alone, got):
-            many[n] = len(own)
-            good[n] = b"".join(map(side.bytes.__getitem__, own)) == raw[n]
-            ids[n] = own
-        if not alone:
-            return np.concatenate([x for _, x in flat]) if flat else np.zeros(0, np.int64), many, good
-        out = np.zeros(many.sum(), np.int64)
-        ends = np.cumsum(many)
-        for own, (_, got) in zip([t for t in texts if good[t[0]] and not ids[t[0]]], flat):
-            at = 0
-            for n in own:
-                out[ends[n] - many[n] : ends[n]] = got[at : at + many[n]]
-                at += many[n]
-        for n in alone:
-            out[ends[n] - many[n] : ends[n]] = ids[n]
-        return out, many, good
+            flat = np.array(got)
+            to = np.searchsorted(np.cumsum(of_id[flat]), np.cumsum(sizes[first:end]))
+            many[first:end] = np.diff(to, prepend=-1)
+            good[first:end] = True
+            parts.append((first, flat))
+        for n, got in zip(alone, side.encode([words[n] for n in alone])):
+            many[n], good[n] = len(got), b"".join(map(side.bytes.__getitem__, got)) == b" " + words[n].encode()
+            parts.append((n, np.array(got)))
+        parts.sort(key=lambda x: x[0])
+        return np.concatenate([x for _, x in parts]), many, good
+
+    @staticmethod
+    def _runs(words: list[str]) -> tuple[list[tuple[int, int, str]], list[int]]:
+        """Runs of words that stand in one text as they are, and the words that don't."""
+        runs, alone = [], []
+        for first in range(0, len(words), TOGETHER):
+            own = words[first : first + TOGETHER]
+            text = " ".join(own)
+            if own[0] and own[-1] and not BORDER.search(text):
+                runs.append((first, first + len(own), text))
+                continue
+            start = first
+            for n in range(first, first + len(own) + 1):
+                if n == first + len(own) or not words[n] or words[n][0].isspace() or words[n][-1].isspace():
+                    if n > start:
+                        runs.append((start, n, " ".join(words[start:n])))
+                    if n < first + len(own):
+                        alone.append(n)
+                    start = n + 1
+        return runs, alone
 
     def _align(self, words: list[str]) -> None:
-        (flat_a, many_a, good_a), (flat_b, many_b, good_b) = (self._encoded(words, k) for k in (0, 1))
+        runs, alone = self._runs(words)
+        long = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1
+        (flat_a, many_a, good_a), (flat_b, many_b, good_b) = (self._encoded(words, long, runs, alone, k) for k in (0, 1))
         good = good_a & good_b
         flat_a, flat_b = flat_a[np.repeat(good, many_a)], flat_b[np.repeat(good, many_b)]
         many_a, many_b = many_a * good, many_b * good
@@ -243,16 +252,11 @@ class Aligner:
         ends = np.cumsum(many).tolist()
         return [b"".join(texts[first:end])[:-1] for first, end in zip([0, *ends], ends)]
 
-    def _spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many pairs the words have, and the places of all."""
         many = self.first[numbers + 1] - self.first[numbers]
         return many, np.repeat(self.first[numbers] - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
-    def pairs_of(self, numbers: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs of the words, some of them several times: owner, pair and occurrences."""
-        many, at = self._spread(numbers)
-        return np.repeat(owner, many), self.pair[at], self.times[at]
-
 
 @lru_cache(maxsize=1)
 def aligner_of(a: str, b: str) -> Aligner:
@@ -287,37 +291,52 @@ class Texts:
             out[self.owner[first]] = sha256(b";".join(map(self.aligner.ids.__getitem__, self.numbers[first:end].tolist()))).hexdigest()
         return out
 
-    def distinct_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, word and number of times, of the texts' distinct words."""
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's pairs begin and the last ends, the distinct pairs in order, and their occurrences."""
         size = len(self.aligner.number)
         keys, times = np.unique(self.owner * size + self.numbers, return_counts=True)
-        return keys // size, keys % size, times
+        many, at = self.aligner.spread(keys % max(1, size))
+        owner, pair, n = np.repeat(keys // max(1, size), many), self.aligner.pair[at], self.aligner.times[at] * np.repeat(times, many)
+        order = np.argsort(owner * self.aligner.top + pair)
+        owner, pair, n = owner[order], pair[order], n[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
+        starts = np.flatnonzero(new)
+        return np.searchsorted(owner[starts], np.arange(self.n + 1)), pair[starts], np.add.reduceat(n, starts) if len(starts) else n
+
 
+def align_texts(df: DataFrame, a: str, b: str, text_col: str, keep: list[str]) -> DataFrame:
+    """The columns in keep with n_a, n_b, n_groups, n_links, groups_sha256, and the text's distinct pairs with occurrences."""
+    schema = StructType([*[df.schema[c] for c in keep], *StructType.fromDDL("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, __pairs array<bigint>, __times array<bigint>").fields])
 
-def merged(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(pair, return_inverse=True)
-    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = aligner_of(a, b)
+        for batch in pieces(batches, text_col):
+            texts = Texts(aligner, batch.column(text_col).to_pylist())
+            ends, *lists = texts.pairs()
+            arrays = [pa.ListArray.from_arrays(ends.astype(np.int32), x) for x in lists]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(texts.sums(x)) for x in aligner.sizes.T], pa.array(texts.digests(), pa.string()), *arrays], names=schema.names)
+
+    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), run, schema)
 
 
-def pair_counts(df: DataFrame, a: str, b: str, text_col: str = "text") -> DataFrame:
+def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n): how many rows hold the pair linked; pair is A's id times the size of B's vocabulary plus B's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = aligner_of(a, b)
         held, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in pieces(batches, text_col):
-            texts = Texts(aligner, batch.column(text_col).to_pylist())
-            owner, words, _ = texts.distinct_words()
-            owner, pair, _ = aligner.pairs_of(words, owner)
-            keys, times = np.unique(np.unique(pair * texts.n + owner) // max(1, texts.n), return_counts=True)
-            held, count = merged(np.append(held, keys), np.append(count, times))
+        for batch in batches:
+            keys, times = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            both = np.append(held, keys)
+            held, at = np.unique(both, return_inverse=True)
+            count = np.bincount(at, np.append(count, times), len(held)).astype(np.int64)
             if len(held) > HOLD:
                 yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(count)], names=["pair", "n"])
                 held, count = held[:0], count[:0]
         for at in range(0, len(held), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(held[at : at + (1 << 18)]), pa.array(count[at : at + (1 << 18)])], names=["pair", "n"])
 
-    return map_batches(df.select(text_col), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return map_batches(aligned.select("__pairs"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(df: DataFrame, a: str, b: str, text_col: str = "text", keep: list[str] | None = None, most: int = MOST) -> DataFrame:
@@ -326,59 +345,44 @@ def align(df: DataFrame, a: str, b: str, text_col: str = "text", keep: list[str]
     a: file of a byte-level vocabulary of the tokenizers library; b: a sentencepiece model. Both paths are read by the
     driver and by every machine."""
     keep = df.columns if keep is None else keep
-    new_names(keep, *COLUMNS, "n_best", "count_sum")
-    spark = df.sparkSession
-    counts, n = materialize_counted(pair_counts(df, a, b, text_col), "pair-counts")
+    new_names(keep, *COLUMNS, "n_best", "count_sum", "__pairs", "__times")
+    aligned = materialize(align_texts(df, a, b, text_col, keep), "aligned")
+    counts, n = materialize_counted(pair_counts(aligned), "pair-counts")
+    width = Pieces(b).size
+    out = [*keep, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     if n > most:
-        return _joined(df, a, b, text_col, keep, counts)
+        return _joined(aligned, counts, width).select(*[F.col(f"`{c}`") for c in out])
     table = counts.toArrow().sort_by("pair")
     pair, count = table["pair"].to_numpy(), table["n"].to_numpy()
     discard(counts)
-    side = pair // Pieces(b).size
+    side = pair // width
     starts = np.flatnonzero(np.diff(side, prepend=-1))
     top = np.repeat(np.maximum.reduceat(count, starts), np.diff(np.append(starts, len(side)))) if len(pair) else count
-    known = spark.sparkContext.broadcast((pair, count, count == top))
-    schema = StructType([*[df.schema[c] for c in keep], *StructType.fromDDL("n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string").fields])
+    known = df.sparkSession.sparkContext.broadcast((pair, count, count == top))
+    schema = StructType([*[f for f in aligned.schema if not f.name.startswith("__") or f.name in keep], *StructType.fromDDL("n_best bigint, count_sum bigint").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = aligner_of(a, b)
         pair, count, best = known.value
-        for batch in pieces(batches, text_col):
-            texts = Texts(aligner, batch.column(text_col).to_pylist())
-            at = np.searchsorted(pair, aligner.pair)
-            sum_of = np.append(0, np.cumsum(aligner.times * count[at]))[aligner.first]
-            best_of = np.append(0, np.cumsum(aligner.times * best[at]))[aligner.first]
-            numbers = [texts.sums(x) for x in (*aligner.sizes.T, np.diff(best_of), np.diff(sum_of))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *map(pa.array, numbers), pa.array(texts.digests(), pa.string())], names=schema.names)
+        for batch in batches:
+            pairs, times = batch.column("__pairs"), batch.column("__times").flatten().to_numpy()
+            at = np.searchsorted(pair, pairs.flatten().to_numpy())
+            ends = np.append(0, np.cumsum(pc.list_value_length(pairs).to_numpy(zero_copy_only=False)))
+            sums = [np.diff(np.append(0, np.cumsum(times * x[at]))[ends]) for x in (best, count)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in schema.names[:-2]], *map(pa.array, sums)], names=schema.names)
 
-    return map_batches(df.select(*dict.fromkeys([*keep, text_col])), run, schema)
+    return map_batches(aligned, run, schema).select(*[F.col(f"`{c}`") for c in out])
 
 
-def _joined(df: DataFrame, a: str, b: str, text_col: str, keep: list[str], counts: DataFrame) -> DataFrame:
-    """align() where the counts are too many to broadcast: the pairs of distinct texts meet their counts in Spark."""
-    schema = StructType.fromDDL("__text string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<bigint>")
-    rows = df.withColumn("__text", F.sha2(F.col(text_col), 256))
-    once = rows.select("__text", F.col(text_col).alias("__body")).dropDuplicates(["__text"])
+def _joined(aligned: DataFrame, counts: DataFrame, width: int) -> DataFrame:
+    """The sums where the counts are too many to broadcast: texts' pairs meet their counts in Spark.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = aligner_of(a, b)
-        for batch in pieces(batches, "__body"):
-            texts = Texts(aligner, batch.column("__body").to_pylist())
-            owner, words, times = texts.distinct_words()
-            many = aligner.first[words + 1] - aligner.first[words]
-            owner, pair, n = aligner.pairs_of(words, owner)
-            n = n * np.repeat(times, many)
-            ends = np.searchsorted(owner, np.arange(texts.n + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (pair, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("__text"), *[pa.array(texts.sums(x)) for x in aligner.sizes.T], pa.array(texts.digests(), pa.string()), *lists], names=schema.names)
-
-    links = materialize(map_batches(once, run, schema), "links")
-    top = counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy((F.col("pair") / Pieces(b).size).cast("bigint"))))
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(DEAL)).cast("int")
+    Texts are told apart by their groups: equal groups have equal pairs."""
+    top = counts.withColumn("__best", F.col("n") == F.max("n").over(Window.partitionBy(F.floor(F.col("pair") / width))))
     dealt = top.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    pairs = links.select("__text", deal("__text").alias("__deal"), F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("times").alias("times"))))
-    found = pairs.join(dealt, ["pair", "__deal"]).groupBy("__text").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    numbers = links.drop("pairs", "times").join(found, "__text", "left").withColumnsRenamed({"groups_sha256": "__groups"})
-    out = rows.select(*[F.col(f"`{c}`") for c in keep], "__text").join(numbers, "__text", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return out.select(*[F.col(f"`{c}`") for c in keep], *[zero(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.coalesce("__groups", F.lit("")).alias("groups_sha256"))
+    deal = F.pmod(F.xxhash64("groups_sha256"), F.lit(DEAL)).cast("int").alias("__deal")
+    both = F.arrays_zip(F.col("__pairs").alias("pair"), F.col("__times").alias("times"))
+    once = aligned.select("groups_sha256", "__pairs", "__times").dropDuplicates(["groups_sha256"])
+    found = once.select("groups_sha256", deal, F.inline(both)).join(dealt, ["pair", "__deal"])
+    sums = found.groupBy("groups_sha256").agg(F.sum(F.when(F.col("__best"), F.col("times")).otherwise(F.lit(0))).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return aligned.join(sums, "groups_sha256", "left").withColumns({c: zero(c) for c in ("n_best", "count_sum")})
