@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import idempotency_key
 from ..functions.money import convert_quantity
+from .numbering import number_rows
 
 
 def columns_first_seen(rows: DataFrame, values: str, order: str) -> DataFrame:
     """The keys of all rows' maps, in the order in which they first occur: position, column."""
     keys = rows.select(F.col(order).alias("__o"), F.posexplode(F.map_keys(values)).alias("__p", "column"))
     first = keys.groupBy("column").agg(F.min(F.struct("__o", "__p")).alias("__at"))
-    return first.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__at")) - 1).alias("position"), "column")
+    return number_rows(first, ["__at"], "position").select(F.col("position").cast("int").alias("position"), "column")
 
 
 def merge_bundles(bundles: DataFrame, key: str, ids: str) -> DataFrame:

@@ -10,6 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .contains import contains_join
+from .numbering import get_or_create as get_or_create
+from .sets import set_classes
+
 
 def identity_lookup(df: DataFrame, identity: DataFrame, model: str, key: str, out: str = "target_id") -> DataFrame:
     """df with the target id of a source key, null where the map has none. One active row per key counts, the smallest id."""
@@ -59,10 +63,11 @@ def resolve_many(df: DataFrame, id_col: str, keys: Column, targets: DataFrame, k
 
 
 def set_equality(a: DataFrame, b: DataFrame, a_id: str, b_id: str, members: list[str]) -> DataFrame:
-    """Pairs (a_id, b_id) whose sets of members are the same."""
-    as_set = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*members))).alias("__set"))
-    x, y = as_set(a, a_id), as_set(b, b_id)
-    return x.join(y, "__set").select(a_id, b_id)
+    """Pairs (a_id, b_id) whose sets of members are the same, from classes of equal sets; sets.same_set() has one row an id."""
+    side = lambda df, key, mark: df.select(F.struct(F.lit(mark).alias("side"), F.col(key).alias("key")).alias("__owner"), *members)
+    classes = set_classes(side(a, a_id, 0).unionByName(side(b, b_id, 1)), "__owner", members)
+    of = lambda mark, key: classes.where(F.col("__owner.side") == mark).select("class_id", F.col("__owner.key").alias(key))
+    return of(0, a_id).join(of(1, b_id), "class_id").select(a_id, b_id)
 
 
 def missing_keys(df: DataFrame, targets: DataFrame, key: str, target_key: str, policy: str = "skip") -> tuple[DataFrame, DataFrame]:
@@ -96,17 +101,8 @@ def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, t
 
 
 def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -> DataFrame:
-    """Rows whose text holds an example's needle. Joined by the needle's longest token with a border on both sides in the
-    needle, which stands whole in every such text, then compared; needles without one are compared with every text."""
-    token = r"[\p{L}0-9_]+"
-    found = lambda c, pattern: F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0))
-    inner = found(F.col(needle), rf"(?<=[^\p{{L}}0-9_]){token}(?=[^\p{{L}}0-9_])")
-    longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    keyed = examples.withColumn("__key", longest)
-    holds = F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))
-    words = df.withColumn("__w", F.explode(F.array_distinct(found(F.col(text), token))))
-    by_token = words.join(keyed.where("__key is not null"), (F.col("__w") == F.col("__key")) & holds).drop("__w", "__key")
-    return by_token.union(df.join(keyed.where("__key is null").drop("__key"), holds))
+    """Rows whose text holds an example's needle, beside the example, by an index of grams."""
+    return contains_join(df, text, examples, needle)
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -116,14 +112,6 @@ def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], order: str) ->
     return number(a, "a").join(number(b, "b"), [*keys, "n"], "full_outer").withColumn("sizes_agree", F.coalesce(F.col("a_n") == F.col("b_n"), F.lit(False)))
 
 
-def get_or_create(existing: DataFrame, wanted: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """existing with a row for each wanted key that it lacks, new ids after the largest."""
-    new = wanted.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    numbered = new.crossJoin(top).withColumn(id_col, F.col("__top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)))
-    return existing.select(id_col, *keys).unionByName(numbered.select(id_col, *keys))
-
-
 def either_side(df: DataFrame, model: str, a: str = "source_model", b: str = "target_model") -> DataFrame:
     return df.where((F.col(a) == model) | (F.col(b) == model))
 

@@ -1,18 +1,18 @@
 """Predicates as prefix lists, such as ['|', ['state', '=', 'F'], ['amount', '>', 10]], made into Columns.
 
 Leaves without a connective are joined by 'and'. A dotted field follows registered relations: a many2one adds its
-column by a join, a one2many asks for any row there by a semi join. child_of and parent_of use the closure of a
+column by a join, a one2many asks for any row there by a semi join. child_of and parent_of walk a
 hierarchy. Leaves with an unknown field or operator are an error; `lenient` drops them and their connective.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hierarchy
 from .registry import Registry
 
 #: The operators of the tool interface and of the gateway, and the gateway's longest value list.
@@ -46,29 +46,14 @@ def compare(c: Column, op: str, value, strict_null: bool = False) -> Column:
     }[op]()
 
 
-#: Levels of a hierarchy; a deeper one is an error.
-MAX_DEPTH = 100_000
+def closure(df: DataFrame, id_col: str, parent_col: str, start: list | None = None, down: bool = False) -> DataFrame:
+    """ancestor, id: every row (or those in start) with all rows above it, itself included; down: with all rows below."""
+    return hierarchy.closure(df, id_col, parent_col, None if start is None else _ids(df, id_col, start), down)
 
 
-def closure(df: DataFrame, id_col: str, parent_col: str, start: list | None = None, down: bool = False) -> DataFrame:
-    """ancestor, id: every row (or those in start) with all rows above it, itself included; down: with all rows below.
-    The recursion begins at the asked rows and ends in a cycle where it comes back to a row that it has passed."""
-    spark = df.sparkSession
-    view = f"hierarchy_{uuid.uuid4().hex}"
-    df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).createOrReplaceTempView(view)
-    first = spark.table(view).select("id")
-    first = first if start is None else first.where(F.col("id").isin(*start))
-    first.createOrReplaceTempView(f"{view}_start")
-    step, on = ("h.id", "h.parent = up.here") if down else ("h.parent", "h.id = up.here")
-    pairs = spark.sql(f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {MAX_DEPTH} AS (
-            SELECT id AS root, id AS here, array(id) AS passed FROM {view}_start
-            UNION ALL
-            SELECT up.root, {step}, array_append(passed, {step}) FROM up JOIN {view} h ON {on} WHERE {step} IS NOT NULL AND NOT array_contains(passed, {step})
-        ) SELECT DISTINCT root, here FROM up
-    """)
-    ancestor, here = ("root", "here") if down else ("here", "root")
-    return pairs.select(F.col(ancestor).alias("ancestor"), F.col(here).alias("id"))
+def _ids(df: DataFrame, id_col: str, values: list) -> DataFrame:
+    """The rows' ids that are among the values."""
+    return df.where(F.col(id_col).isin(*values)).select(id_col)
 
 
 def apply(registry: Registry, model: str, domain: list, operators: tuple[str, ...] = TOOL_OPERATORS, lenient: bool = False, strict_null: bool = False) -> DataFrame:
@@ -90,9 +75,9 @@ def apply(registry: Registry, model: str, domain: list, operators: tuple[str, ..
         if op in ("child_of", "parent_of"):
             target, key = (m, m.id) if field == m.id else (registry.models[m.relations[field].model], m.relations[field].key)
             values = list(value) if isinstance(value, (list, tuple)) else [value]
-            pairs = closure(registry.frame(target.name), target.id, target.parent, values, down=op == "child_of")
-            ids = pairs.select(F.col("id" if op == "child_of" else "ancestor").alias("__k")).distinct()
-            return mark(ids, F.col(key))
+            rows = registry.frame(target.name)
+            walk = hierarchy.nearest if op == "child_of" else hierarchy.ancestors
+            return mark(walk(rows, target.id, target.parent, _ids(rows, target.id, values)).select(F.col("id").alias("__k")), F.col(key))
         first, _, rest = field.partition(".")
         if rest:
             r = m.relations[first]

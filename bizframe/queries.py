@@ -1162,3 +1162,6 @@ def extract_purchase_order(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("Purchase Order # PO/"), k, F.lit(" Customer: Buyer "), k, F.lit(" Ltd Order Date 2024-01-05 Delivery 2024-02-06"))
     return X.purchase_order(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t", "p_partkey")
+
+
+from . import queries_rounds  # noqa: E402, F401  (registers its queries here)
