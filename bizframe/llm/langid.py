@@ -3,8 +3,8 @@
 Texts are read as UTF-8 bytes, cut into spans of SPAN bytes that share no state. Two gated recurrent layers, one from
 either end, label every byte of every span; a document's probabilities are the means over all its bytes. Training runs
 backpropagation through time with Adam on a bounded, documented sample: for each label the `per_label` documents with
-text that come first by a seeded hash of the id (fewer where there are so many labels that they would be more than `most`
-documents, one at least). Of a sampled document three pieces of `piece` characters are learned from, its start, middle
+text that come first by a seeded hash of id and text (fewer where there are so many labels that they would be more than
+`most` documents, one at least, whatever ids and texts repeat). Of a sampled document three pieces of `piece` characters are learned from, its start, middle
 and end, since the sample is gathered on the driver and a text may have any length; training draws spans of SPAN bytes
 from them. Every label is learned. Prediction reads whole texts, a batch at a time, and shuffles nothing.
 
@@ -209,13 +209,16 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     if not often:
         return None
     per_label = max(1, min(per_label, most // len(often)))
-    # the first by hash lie below this mark but for a chance beyond any count, so a label's task sorts as few rows at any size
+    # the first by hash lie below this mark but for a chance that repeated rows raise, so a label's task sorts few rows at any size
     below = {r["lang"]: (3 * per_label + 100) / r["count"] * 2.0**64 - 2.0**63 for r in often}
     mark = F.create_map(*[F.lit(x) for pair in below.items() for x in pair])[F.col("lang")]
-    rows = labelled.select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("order"), parts.alias("text"))
+    rows = labelled.select(F.col(label_col).alias("lang"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("order"), parts.alias("text"))
     first = Window.partitionBy("lang").orderBy("order", "text")
     sample = rows.where(F.col("order") <= mark).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_label)
-    found = sorted((r["lang"], r["order"], r["text"]) for r in sample.collect())
+    picked = sample.collect()
+    if lost := sorted(below.keys() - {r["lang"] for r in picked}):  # labels whose rows are copies of few, all above the mark
+        picked += rows.where(F.col("lang").isin(lost)).groupBy("lang").agg(F.min("order").alias("order"), F.min_by("text", F.struct("order", "text")).alias("text")).collect()
+    found = sorted((r["lang"], r["order"], r["text"]) for r in picked)
     return train([t for _, _, t in found], [x for x, _, _ in found], seed=seed)
 
 

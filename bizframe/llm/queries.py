@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import align, bpe, chat, exact_dedup, filter_audit, langid, licenses, lm, media, minhash, mixing, substrings, toxicity
@@ -73,10 +73,17 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
-    turns = table(spark, sf_dir, "conversations")
-    side = turns.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("chosen", F.col("conv_id") % 2 == 0)
-    out = chat.format_preferences(side, "pair_id", "chosen")
+    """Every conversation is chosen; what is rejected begins with its first conv_id % (turns + 1) turns and goes on as the
+    next conversation does from there, so that prefixes have all lengths from none to all of a side."""
+    own = Window.partitionBy("conv_id")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "role", "text", F.row_number().over(own.orderBy("turn", "role", "text")).alias("n"), (F.col("conv_id") % (F.count(F.lit(1)).over(own) + 1)).alias("k")
+    )
+    cuts = turns.where("n = 1").select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") + 1).alias("conv_id"), "k")
+    chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit(True).alias("chosen"), F.col("n").alias("turn"), "role", "text")
+    begins = turns.where("n <= k").select(F.col("conv_id").alias("pair_id"), F.lit(False).alias("chosen"), F.col("n").alias("turn"), "role", "text")
+    ends = turns.drop("k").join(cuts, "conv_id").where("n > k").select("pair_id", F.lit(False).alias("chosen"), F.col("n").alias("turn"), "role", "text")
+    out = chat.format_preferences(chosen.unionByName(begins).unionByName(ends), "pair_id", "chosen")
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
     return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
@@ -187,10 +194,11 @@ ORACLE_SQL = {
                coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM w LEFT JOIN found USING (doc_id)
     """,
     "op6_chat": """
-        WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
-                          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n,
-                          '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body
-                   FROM conversations),
+        WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n,
+                          conv_id % (count(*) OVER (PARTITION BY conv_id) + 1) AS k FROM conversations),
+        u AS (SELECT conv_id AS pair_id, 0 AS side, role, text, n FROM c UNION ALL SELECT conv_id, 1, role, text, n FROM c WHERE n <= k
+              UNION ALL SELECT o.conv_id, 1, c.role, c.text, c.n FROM c JOIN c o ON c.conv_id = o.conv_id + 1 AND o.n = 1 WHERE c.n > o.k),
+        t AS (SELECT pair_id, side, role, text, n, '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || '<|end|>' || chr(10) AS body FROM u),
         sizes AS (SELECT pair_id, coalesce(max(n) FILTER (side = 0), 0) AS c, coalesce(max(n) FILTER (side = 1), 0) AS r FROM t GROUP BY 1),
         differ AS (SELECT a.pair_id, min(a.n) AS n FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.side = 0 AND b.side = 1 AND a.n = b.n
                    WHERE coalesce(a.role, '') <> coalesce(b.role, '') OR coalesce(a.text, '') <> coalesce(b.text, '') GROUP BY 1),

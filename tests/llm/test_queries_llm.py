@@ -118,3 +118,16 @@ def test_intermediate_tables_go(spark, tmp_path):
     discard(out)
     assert not os.path.isdir(path)
     assert minhash.classes(simple(spark, ["a"] * 3)).count() == 3
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_labels_under_one_id_are_learned(spark, same_text):
+    rows = [(1, "gleich" if same_text else f"wort{k} und mehr", "de") for k in range(3000)] + [(k, f"some words {k}", "en") for k in range(2, 52)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, F.lit(True)).labels == ["de", "en"]
+    assert langid.fit(df.where("lang = 'de'").withColumn("lang", F.concat(F.lit("x"), F.pmod(F.hash("text"), F.lit(3)).cast("string"))), F.lit(True), most=1).labels
+
+
+def test_op6_has_prefixes_of_all_lengths(spark):
+    got = queries.op6_chat(spark, "/root/testdata/sf0.01").select("prompt_turns", F.length("chosen").alias("c"), F.length("rejected").alias("r")).collect()
+    assert len({r["prompt_turns"] for r in got}) >= 4 and any(not r["c"] for r in got) and any(r["c"] and r["r"] for r in got)
