@@ -53,6 +53,23 @@ def first_rule(df: DataFrame, rules: DataFrame, on: Column, key: str, out: dict[
     return df.join(picked, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
+def first_scoped_rule(df: DataFrame, rules: DataFrame, ours: list[str], out: dict[str, str], scope: str = "scope", everyone: str = "all", order: tuple[str, ...] = ("sequence", "rule_id")) -> DataFrame:
+    """df with columns of the first active rule by order among those whose scope is `everyone` or equals one of df's columns.
+
+    Each scope's own first rule is found beforehand, so a row meets one rule a column by an equi-join, and none is multiplied."""
+    best = F.min_by(F.struct(*out), F.struct(*order))
+    firsts = rules.where("active").groupBy(F.col(scope).alias("__scope")).agg(F.min(F.struct(*order)).alias("__order"), best.alias("__rule"))
+    found = []
+    for n, c in enumerate([None, *ours]):
+        key = F.lit(everyone) if c is None else F.col(c).cast("string")
+        side = firsts.where(F.col("__scope") == everyone) if c is None else firsts
+        side = side.select(F.col("__scope").alias(f"__s{n}"), F.struct("__order", "__rule").alias(f"__r{n}"))
+        df = df.withColumn(f"__k{n}", key).join(side, F.col(f"__k{n}") == F.col(f"__s{n}"), "left").drop(f"__k{n}", f"__s{n}")
+        found.append(f"__r{n}")
+    first = F.array_min(F.array_compact(F.array(*[F.struct(F.col(f"{r}.__order").alias("o"), F.col(f"{r}.__rule").alias("r")) if len(found) == 1 else F.when(F.col(r).isNotNull(), F.struct(F.col(f"{r}.__order").alias("o"), F.col(f"{r}.__rule").alias("r"))) for r in found])))
+    return df.withColumn("__first", first).withColumns({name: F.col(f"__first.r.{c}") for c, name in out.items()}).drop("__first", *found)
+
+
 def resolve_many(df: DataFrame, id_col: str, keys: Column, targets: DataFrame, key_col: str, target_id: str) -> DataFrame:
     """Each row's list of keys as ids in order, and the keys without a target."""
     exploded = df.select(F.col(id_col), F.posexplode_outer(keys).alias("__pos", "__key"))
@@ -91,13 +108,28 @@ def rate_intervals(rates: DataFrame) -> DataFrame:
     return rates.withColumn("valid_to", following)
 
 
-def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, to: str, on: str, out: str, digits: int = 2) -> DataFrame:
-    """df with the amount in the target currency by the last rate on or before the date; null without one."""
+#: Rates up to which they are broadcast, as counted.
+FEW_RATES = 100_000
+
+
+def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, to: str, on: str, out: str, digits: int = 2, few: int = FEW_RATES) -> DataFrame:
+    """df with the amount in the target currency by the last rate on or before the date; null without one.
+
+    A few currencies carry all rows, so they are no key to shuffle by: up to `few` rates are broadcast, and beyond that rows
+    and rates meet by currency and month, a rate standing in every month of its interval."""
     r = rate_intervals(rates).where(F.col("to_ccy") == to).select("from_ccy", "rate", "valid_from", "valid_to")
     day = F.col(on).cast("date")
     hit = (F.col(currency) == F.col("from_ccy")) & (day >= F.col("valid_from")) & (F.col("valid_to").isNull() | (day < F.col("valid_to")))
+    if r.count() <= few:
+        joined = df.join(F.broadcast(r), hit, "left")
+    else:
+        last = df.agg(F.max(day)).first()[0]
+        month = lambda c: F.trunc(c, "MM")
+        end = F.greatest(F.col("valid_from"), F.coalesce("valid_to", F.lit(last)))
+        r = r.withColumn("__month", F.explode(F.sequence(month(F.col("valid_from")), month(end), F.expr("INTERVAL 1 MONTH"))))
+        joined = df.withColumn("__of", month(day)).join(r, (F.col("__of") == F.col("__month")) & hit, "left").drop("__of", "__month")
     value = F.when(F.col(currency) == to, F.col(amount)).otherwise(F.round(F.col(amount) * F.col("rate"), digits))
-    return df.join(r, hit, "left").withColumn(out, value).drop("from_ccy", "rate", "valid_from", "valid_to")
+    return joined.withColumn(out, value).drop("from_ccy", "rate", "valid_from", "valid_to")
 
 
 def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -> DataFrame:

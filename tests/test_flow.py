@@ -89,3 +89,19 @@ def test_levels(spark):
     seen = []
     n = levels.run_levels(rows.distinct(), leveled, lambda df, at: seen.append((at, [(r["priority"], r["id"]) for r in df.collect()])))
     assert n == max(level.values()) and [at for at, _ in seen] == list(range(1, n + 1)) and all(own == sorted(own) for _, own in seen)
+
+
+def test_scoped_rules_and_rates_by_month(spark):
+    from bizframe.operators import lookup
+
+    rules = spark.createDataFrame([(1, "all", "a0", 20, True), (2, "x", "ax", 30, True), (3, "y", "ay", 10, True), (4, "y", "late", 10, True), (5, "z", "off", 1, False), (6, "1", "one", 5, True)], "rule_id int, scope string, target_key string, sequence int, active boolean")
+    df = spark.createDataFrame([("x", 2), ("y", 1), ("y", 2), ("z", 3), (None, 1), (None, None)], "s string, n int")
+    got = [r["account"] for r in lookup.first_scoped_rule(df, rules, ["s", "n"], {"target_key": "account"}).collect()]
+    assert sorted(got) == sorted(["a0", "one", "ay", "a0", "one", "a0"])
+    assert [r["account"] for r in lookup.first_scoped_rule(df, rules.where("scope <> 'all'"), ["s"], {"target_key": "account"}).where("s = 'z'").collect()] == [None]
+    rng = random.Random(1)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    rates = spark.createDataFrame([(c, "EUR", day(n), 1.0 + n / 1000) for c in ("USD", "GBP") for n in sorted(rng.sample(range(100, 900), 30))], "from_ccy string, to_ccy string, valid_from date, rate double")
+    df = spark.createDataFrame([(k, rng.choice(["USD", "GBP", "EUR", "CHF", None]), 100.0, rng.choice([None, day(rng.randint(0, 1200))])) for k in range(300)], "k int, ccy string, v double, d date")
+    a, b = ({r["k"]: r["out"] for r in lookup.as_of_convert(df, rates, "v", "ccy", "EUR", "d", "out", few=few).collect()} for few in (1000, 0))
+    assert a == b and len(a) == 300 and sum(v is not None for v in a.values()) > 100
