@@ -69,3 +69,63 @@ def work_levels(spark, sf_dir):
     halves = low.where("id > 0 and id not in (997, 998, 999)").select("id", F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("needs")).where("needs < id AND (id = 1 OR needs > 0)")
     high = p.where("id >= 1000").select("id", (k % 900).alias("needs"))
     return V.levels(p, odd.unionByName(halves.where("id > 1")).unionByName(high))
+
+
+# Drivers
+
+ORDER_LINE = ["product", "quantity", "price"]
+
+
+def order_run(spark, sf_dir):
+    """Sale orders as purchase orders: a third have a counterpart with some other lines, a part of the products is unmapped."""
+    from .operators import driver as G
+
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", "o_custkey AS partner", "o_orderpriority AS note", "o_orderstatus AS status")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line_key")).agg(
+        F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("quantity"), F.min("l_extendedprice").alias("price")
+    )
+    built = li.selectExpr("key", "line_key", "part + 1000000 AS product", "quantity", "price", "CASE WHEN part % 97 = 0 THEN 'no_product' END AS error").join(o.select("key"), "key", "left_semi")
+    third = o.where("key % 3 = 0").selectExpr("key", "key + 50 AS counterpart_id", "CASE WHEN key % 12 = 0 THEN 'cancel' ELSE 'draft' END AS state", "partner", "CASE WHEN key % 2 = 0 THEN note ELSE 'old' END AS note")
+    lines = built.where("key % 3 = 0 AND line_key <> 2").selectExpr("key", "line_key", "product", "CASE WHEN line_key = 3 THEN quantity + 1 ELSE quantity END AS quantity", "price")
+    gone = third.selectExpr("key", "99 AS line_key", "CAST(1 AS BIGINT) AS product", "1.0D AS quantity", "1.0D AS price")
+    versions = H.empty(spark.createDataFrame([], "key long, snapshot string"), ["key"])
+    return G.sync(o, built, third, lines.unionByName(gone), versions, ["partner", "note"], ORDER_LINE, F.col("status") != "P", F.lit("2024-01-02").cast("timestamp"), "run1")
+
+
+DRIVER = """o AS (SELECT o_orderkey AS key, o_custkey AS partner, o_orderpriority AS note, o_orderstatus AS status FROM orders),
+  b AS (SELECT l_orderkey AS key, l_linenumber AS line_key, min(l_partkey) AS part, sum(l_quantity) AS quantity, min(l_extendedprice) AS price FROM lineitem WHERE l_orderkey IN (SELECT key FROM o) GROUP BY 1, 2),
+  bad AS (SELECT DISTINCT key FROM b WHERE part % 97 = 0), g AS (SELECT *, key % 3 = 0 AND key % 12 <> 0 AS has FROM o WHERE status <> 'P' AND key NOT IN (SELECT key FROM bad)),
+  n AS (SELECT *, CASE WHEN has THEN key + 50 ELSE (SELECT max(key) + 50 FROM o WHERE key % 3 = 0) + row_number() OVER (PARTITION BY has ORDER BY key) END AS counterpart_id FROM g)"""
+
+
+@query(f"WITH {DRIVER} SELECT key, counterpart_id, CASE WHEN NOT has THEN 'create' WHEN key % 2 = 0 OR note = 'old' THEN 'keep' ELSE 'update' END AS action, partner, note FROM n")
+def order_driver_headers(spark, sf_dir):
+    return order_run(spark, sf_dir).headers
+
+
+@query(f"""WITH {DRIVER} SELECT key, counterpart_id, line_key, CASE WHEN NOT has OR line_key = 2 THEN 'create' WHEN line_key = 3 THEN 'update' ELSE 'keep' END AS action, part + 1000000 AS product, quantity, price FROM n JOIN b USING (key)
+  UNION ALL SELECT key, counterpart_id, 99, 'delete', 1, 1.0, 1.0 FROM n WHERE has""")
+def order_driver_lines(spark, sf_dir):
+    return order_run(spark, sf_dir).lines
+
+
+@query(f"""WITH {DRIVER} SELECT o.key, CASE WHEN o.key IN (SELECT key FROM bad) THEN 'failed' WHEN o.key % 3 = 0 AND o.key % 12 <> 0 THEN 'update' ELSE 'create' END AS kind, CASE WHEN o.key NOT IN (SELECT key FROM bad) THEN 1 END::INT AS version,
+  CASE WHEN o.key IN (SELECT key FROM bad) THEN 'no_product' END AS error, n_lines FROM o LEFT JOIN (SELECT key, counterpart_id FROM n) n USING (key) LEFT JOIN (SELECT key, count(*) AS c FROM b GROUP BY 1) c USING (key),
+  LATERAL (SELECT CASE WHEN n.counterpart_id IS NOT NULL THEN coalesce(c.c, 0) END AS n_lines) WHERE status <> 'P'""")
+def order_driver_events(spark, sf_dir):
+    """What happened to every order, with the lines that its counterpart has."""
+    run = order_run(spark, sf_dir)
+    return run.events.join(run.links.select("key", "n_lines"), "key", "left").select("key", "kind", "version", "error", "n_lines")
+
+
+@query("""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS line_id, min(l_suppkey) % 4 AS company, min(l_partkey) % 6 AS t1, min(l_partkey) % 5 AS t2 FROM lineitem GROUP BY 1),
+  m AS (SELECT company, tax, min_by(target, (sequence * 1000 + target)) AS target FROM (SELECT s_suppkey % 4 AS company, s_suppkey % 5 AS tax, s_suppkey % 3 AS sequence, s_suppkey % 7 AS target FROM supplier) GROUP BY 1, 2)
+  SELECT line_id, coalesce(array_to_string(list_filter([a.target, b.target], lambda x: x IS NOT NULL), ','), '') AS taxes, CASE WHEN a.target IS NULL THEN 'tax ' || t1 WHEN b.target IS NULL THEN 'tax ' || t2 END AS error
+  FROM l LEFT JOIN m a ON a.company = l.company AND a.tax = t1 LEFT JOIN m b ON b.company = l.company AND b.tax = t2""")
+def mapped_taxes(spark, sf_dir):
+    """Two taxes of every line in the other company's, or the first that has none."""
+    from .operators import driver as G
+
+    li = table(spark, sf_dir, "lineitem").groupBy((8 * F.col("l_orderkey") + F.col("l_linenumber")).alias("line_id")).agg((F.min("l_suppkey") % 4).alias("company"), F.array(F.min("l_partkey") % 6, F.min("l_partkey") % 5).alias("taxes"))
+    mapping = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 4 AS company", "s_suppkey % 5 AS tax", "s_suppkey % 3 AS sequence", "s_suppkey % 7 AS target")
+    return G.mapped_taxes(li, mapping).select("line_id", F.array_join(F.transform("taxes", lambda x: x.cast("string")), ",").alias("taxes"), "error")

@@ -105,3 +105,39 @@ def test_scoped_rules_and_rates_by_month(spark):
     df = spark.createDataFrame([(k, rng.choice(["USD", "GBP", "EUR", "CHF", None]), 100.0, rng.choice([None, day(rng.randint(0, 1200))])) for k in range(300)], "k int, ccy string, v double, d date")
     a, b = ({r["k"]: r["out"] for r in lookup.as_of_convert(df, rates, "v", "ccy", "EUR", "d", "out", few=few).collect()} for few in (1000, 0))
     assert a == b and len(a) == 300 and sum(v is not None for v in a.values()) > 100
+
+
+def test_driver_and_its_rerun(spark):
+    """A first run creates, a second over its results keeps all, a third changes what has changed."""
+    from bizframe.operators import driver
+
+    at = lambda n: F.lit(dt.datetime(2024, 1, 1) + dt.timedelta(days=n))
+    src = spark.createDataFrame([(1, "p", "ok"), (2, "q", "ok"), (3, "r", "no"), (4, "s", "ok"), (5, "t", "ok")], "key long, partner string, flag string")
+    line = "key long, line_key int, product int, error string"
+    built = spark.createDataFrame([(1, 1, 10, None), (1, 2, 20, None), (3, 1, 5, None), (4, 1, None, "no_product"), (5, 1, 1, None), (5, 1, 2, None), (9, 1, 1, None)], line)
+    none = spark.createDataFrame([], "key long, counterpart_id long, state string, partner string")
+    versions = history.empty(spark.createDataFrame([], "key long, snapshot string"), ["key"])
+    args = (["partner"], ["product"], F.col("flag") == "ok")
+    one = driver.sync(src, built, none, built.select("key", "line_key", "product").where("false"), versions, *args, at(1), "a")
+    assert sorted((r["key"], r["counterpart_id"], r["action"]) for r in one.headers.collect()) == [(1, 1, "create"), (2, 2, "create")]
+    assert sorted((r["key"], r["line_key"], r["action"], r["product"]) for r in one.lines.collect()) == [(1, 1, "create", 10), (1, 2, "create", 20)]
+    assert sorted((r["key"], r["kind"], r["version"], r["error"]) for r in one.events.collect()) == [(1, "create", 1, None), (2, "create", 1, None), (4, "failed", None, "no_product"), (5, "failed", None, "line_key")]
+    assert {r["key"]: r["n_lines"] for r in one.links.collect()} == {1: 2, 2: 0}
+    existing = one.headers.select("key", "counterpart_id", F.lit("draft").alias("state"), "partner")
+    lines = one.lines.select("key", "line_key", "product")
+    two = driver.sync(src, built, existing, lines, one.history, *args, at(2), "b")
+    assert {r["action"] for r in two.headers.collect()} == {r["action"] for r in two.lines.collect()} == {"keep"}
+    assert {r["kind"] for r in two.events.where("error is null").collect()} == {"unchanged"} and two.history.count() == 2
+    changed = spark.createDataFrame([(1, 2, 21, None), (1, 3, 30, None)], line)
+    three = driver.sync(src, changed, existing, lines, two.history, *args, at(3), "c")
+    assert sorted((r["line_key"], r["action"], r["product"]) for r in three.lines.collect()) == [(1, "delete", 10), (2, "update", 21), (3, "create", 30)]
+    assert sorted((r["key"], r["version"], r["valid_to"] is None) for r in three.history.collect()) == [(1, 1, False), (1, 2, True), (2, 1, True), (4, 1, True), (5, 1, True)]  # which have no bad line any more
+
+
+def test_taxes(spark):
+    from bizframe.operators import driver
+
+    lines = spark.createDataFrame([(1, 7, [2, 1]), (2, 7, [1, 9]), (3, 8, [1]), (4, 7, None), (5, 7, [])], "line_id int, company int, taxes array<int>")
+    mapping = spark.createDataFrame([(7, 1, 5, 100), (7, 1, 2, 101), (7, 2, 1, 200)], "company int, tax int, sequence int, target int")
+    got = {r["line_id"]: (r["taxes"], r["error"]) for r in driver.mapped_taxes(lines, mapping).collect()}
+    assert got == {1: ([200, 101], None), 2: ([101], "tax 9"), 3: ([], "tax 1"), 4: ([], None), 5: ([], None)}
