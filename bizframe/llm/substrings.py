@@ -1,4 +1,7 @@
-"""Removal of repeated byte strings by bucket-pointer refinement of a sparse suffix array.
+"""Removal of repeated byte strings by the anchors of a sparse suffix array, put into buckets and refined by fingerprints.
+
+The dealt bucket-pointer refinement is kept in part only: a bucket is refined by fingerprints of what stands at later
+offsets, made where the text is, and no round writes bucket identifiers back for others to use (the README says why).
 
 Every byte covered by a `LENGTH`-byte string that also starts earlier (a smaller id, or earlier in the same document) is
 removed. Suffixes are sorted into buckets step by step, and only what shares a bucket goes on:
@@ -9,8 +12,8 @@ removed. Suffixes are sorted into buckets step by step, and only what shares a b
 1. Each bucket is refined by the identifier of its whole run of strings. All anchors of a refined bucket but the first
    repeat entirely; anchors alone in their bucket are done. One anchor of every refined bucket of a bucket that has
    several goes on, if its left or its right side still meets another's (a LENGTH-byte repeat reaches over one of them).
-2. Their strings are refined one by one with the bucket identifiers of later offsets, doubling: 25 bytes, then 50 from
-   two pointers to 25, then 100 from two pointers to 50. All of a refined bucket but the first are repeats.
+2. Their strings are refined one by one by fingerprints that are put together from those of their parts, doubling: 25
+   bytes, then 50 of two of 25, then 100 of two of 50. All of a refined bucket but the first are repeats.
 
 Bucket identifiers are 64-bit fingerprints in place of ranks, so buckets of all documents agree without a global
 renaming, and a bucket is always told apart by its gram and its refinement together (128 bits).
