@@ -132,9 +132,17 @@ def as_of_convert(df: DataFrame, rates: DataFrame, amount: str, currency: str, t
     return joined.withColumn(out, value).drop("from_ccy", "rate", "valid_from", "valid_to")
 
 
+#: Parts over which texts are dealt to meet phrases that all of them hold.
+DEAL = 32
+
+
 def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -> DataFrame:
-    """Rows whose text holds an example's needle, beside the example, by an index of grams."""
-    return contains_join(df, text, examples, needle)
+    """Rows whose text holds an example's needle, beside the example, by an index of grams. An empty needle is in every text:
+    those meet by a dealt number, not by their contents."""
+    found = contains_join(df, text, examples, needle)
+    dealt = df.where(F.col(text).isNotNull()).withColumn("__deal", F.pmod(F.xxhash64(text), F.lit(DEAL)))
+    empty = examples.where(F.col(needle) == "").withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).cast("bigint"))
+    return found.unionByName(dealt.join(empty, "__deal").drop("__deal"))
 
 
 def pair_by_position(a: DataFrame, b: DataFrame, keys: list[str], order: str) -> DataFrame:
