@@ -141,7 +141,7 @@ def contains_match(df: DataFrame, text: str, examples: DataFrame, needle: str) -
     those meet by a dealt number, not by their contents."""
     found = contains_join(df, text, examples, needle)
     dealt = df.where(F.col(text).isNotNull()).withColumn("__deal", F.pmod(F.xxhash64(text), F.lit(DEAL)))
-    empty = examples.where(F.col(needle) == "").withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).cast("bigint"))
+    empty = examples.where(F.col(needle) == "").withColumn("__deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEAL - 1).cast("bigint"))))
     return found.unionByName(dealt.join(empty, "__deal").drop("__deal"))
 
 
