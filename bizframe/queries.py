@@ -1166,4 +1166,4 @@ def extract_purchase_order(spark, sf_dir):
     return X.purchase_order(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "t", "p_partkey")
 
 
-from . import queries_config, queries_documents, queries_flow, queries_rounds  # noqa: E402, F401  (they register their queries here)
+from . import queries_config, queries_documents, queries_flow, queries_layout, queries_rounds  # noqa: E402, F401  (they register their queries here)
