@@ -1,95 +1,209 @@
 """Two streams of a page's words, native and recognised, aligned by boxes, by text and by order.
 
-native: keys, n, text, left, top, width, height; words: keys, m, text and the same. keys name a page; n and m are positions in
-reading order, each once a page. A box may be null. First, words whose boxes overlap by at least `least` (intersection over
-union, 0.5 or more) and are each other's best are paired. Such boxes hold each other's centres, so a recognised word is looked
-up by the cell of its centre among the cells that native boxes cover: an equi-join, exact, without pairs of whole pages. What is
-left lies between paired neighbours: there the k-th word of a text is paired with the k-th of that text, and then, where as
-many are left on both sides, the k-th with the k-th. All of this after the join is windows over pages, which are dealt once.
+A row is a page, as layouts come: native: array of (n, text, left, top, width, height), words: array of (m, and the same); n and
+m are positions in reading order. First, words whose boxes overlap by at least `least` (intersection over union, 0.5 or more) and
+are each other's best are paired. Such boxes hold each other's centres, so a recognised word is looked up by the cell of its
+centre among the cells that native boxes cover; a page's cells are as large as two of its mean boxes, so few words share one.
+What is left lies between paired neighbours: there the k-th word of a text is paired with the k-th of that text, and then, where as many are left on both
+sides, the k-th with the k-th.
+
+A page stays where it is: nothing is shuffled (pages_of() gathers words that come as rows). Batches are bounded in bytes and cut
+into runs of about WORDS words, over which numpy works; a page is the least that is read together.
 
 Defined cases: ties in overlap go to the earlier words; pairs that cross (columns read in another order) stay pairs, and a gap
-is named by the native word before it; null texts are paired by boxes and order; rows repeated under one position count once;
-a page without words on one side has the other's alone; empty tables give an empty table.
+is named by the native word before it; a null box is no box; null texts are paired by boxes and order; words repeated under one
+position count once; words without a position are left out; a null or empty side leaves the other alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+#: Words that numpy works on together, and bytes of an Arrow batch where the session sets no bound.
+WORDS, BATCH = 100_000, 4 << 20
+BOX = ("left", "top", "width", "height")
+PAIRED = "n long, native_text string, m long, word_text string, how string, overlap double, gap long"
+HOW = np.array(["box", "text", "order", "native", "recognised"])
+
+
+class Stream:
+    """One side of a run of pages: page, pos, text and box of each word, by page and position."""
+
+    def __init__(self, lists: pa.Array):
+        kind, lists = lists.type, pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        flat = lists.flatten()
+        page = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        pos = flat.field(0)
+        known = pos.is_valid().to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(known)
+        value = pc.fill_null(pos.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        at = at[np.lexsort((value[at], page[at]))]
+        again = np.zeros(len(at), bool)
+        again[1:] = (page[at][1:] == page[at][:-1]) & (value[at][1:] == value[at][:-1])
+        at = at[~again]
+        self.page, self.pos = page[at], value[at]
+        self.text = flat.field(1).take(pa.array(at))
+        names = [kind.value_type.field(i).name for i in range(kind.value_type.num_fields)]
+        self.box = np.stack([flat.field(names.index(c)).cast(pa.float64()).take(pa.array(at)).to_numpy(zero_copy_only=False) for c in BOX]).astype(np.float64)
+        self.boxed = np.isfinite(self.box).all(0) & (self.box[2] > 0) & (self.box[3] > 0)
+        self.mate = np.full(len(at), -1)
+
+    def before(self, natives: np.ndarray) -> np.ndarray:
+        """For every word the native word of the pair before it in its page, else a number below 0 of the page's own."""
+        seen = np.where(self.mate >= 0, np.arange(len(self.mate)), -1)
+        last = np.maximum.accumulate(np.concatenate([[-1], seen[:-1]])) if len(seen) else seen
+        inside = last >= np.searchsorted(self.page, self.page)
+        return np.where(inside, natives[np.maximum(last, 0)], -1 - self.page) if len(seen) else seen
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows repeated count times, and first, first + 1, ... of each."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _by_boxes(a: Stream, b: Stream, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a and of b that are each other's best, and how much they overlap."""
+    ia, ib = np.flatnonzero(a.boxed), np.flatnonzero(b.boxed)
+    if not len(ia) or not len(ib):
+        return np.array([], int), np.array([], int), np.array([])
+    page, n_pages = a.page[ia], int(max(a.page[-1], b.page[-1])) + 1
+    count = np.maximum(np.bincount(page, minlength=n_pages), 1)
+    covered, centres = [], []
+    row, key_a, key_b = np.arange(len(ia)), page, b.page[ib]
+    for at, size in ((0, 2), (1, 3)):
+        lengths = a.box[size, ia]
+        widest = np.zeros(n_pages)
+        np.maximum.at(widest, page, lengths)
+        cell = np.maximum(np.maximum(2 * np.bincount(page, lengths, n_pages) / count, widest / 64), 1e-9)
+        low, high = (np.floor(x / cell[page]) for x in (a.box[at, ia], a.box[at, ia] + lengths))
+        covered.append((low, (high - low + 1).astype(np.int64)))
+        centres.append(np.floor((b.box[at, ib] + b.box[size, ib] / 2) / cell[b.page[ib]]))
+    for (low, n), centre in zip(covered, centres):
+        times, cell = _spread(low[row], n[row])
+        row, key_a = row[times], key_a[times]
+        _, both = np.unique(np.concatenate([cell, centre]), return_inverse=True)
+        # the number of a (key so far, cell)
+        both = np.unique(np.concatenate([key_a, key_b]) * (both.max() + 1) + both, return_inverse=True)[1]
+        key_a, key_b = both[: len(key_a)], both[len(key_a) :]
+    order = np.argsort(key_a, kind="stable")
+    key_a, row = key_a[order], row[order]
+    first = np.searchsorted(key_a, key_b)
+    j, at = _spread(first, np.searchsorted(key_a, key_b, "right") - first)
+    i, j = ia[row[at]], ib[j]
+    x, y = a.box[:, i], b.box[:, j]
+    both = np.ones(len(i))
+    for at, size in ((0, 2), (1, 3)):
+        both *= np.maximum(0, np.minimum(x[at] + x[size], y[at] + y[size]) - np.maximum(x[at], y[at]))
+    overlap = both / (x[2] * x[3] + y[2] * y[3] - both)
+    good = overlap >= least
+    i, j, overlap = i[good], j[good], overlap[good]
+
+    def best(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        by = np.lexsort((other, -overlap, own))
+        out = np.zeros(len(own), bool)
+        out[by[np.flatnonzero(np.diff(own[by], prepend=-1))]] = True
+        return out
+
+    both = best(i, j) & best(j, i)
+    return i[both], j[both], overlap[both]
+
+
+def _by_turn(gaps: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarray], even: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of both sides that are the k-th under one (gap, of); even: only where both sides have as many."""
+    sides = [np.arange(len(g)) for g in gaps]
+    group = np.unique(np.stack([np.concatenate(gaps), np.concatenate(of)]), axis=1, return_inverse=True)[1].reshape(-1) if sum(map(len, sides)) else np.array([], int)
+    size = int(group.max()) + 1 if len(group) else 0
+    own = group[: len(sides[0])], group[len(sides[0]) :]
+    counts = [np.bincount(g, minlength=size) for g in own]
+    orders = [np.argsort(g, kind="stable") for g in own]
+    starts = [np.cumsum(c) - c for c in counts]
+    n = np.where(counts[0] == counts[1], counts[0], 0) if even else np.minimum(*counts)
+    return tuple(orders[k][_spread(starts[k], n)[1]] for k in (0, 1))
+
+
+def aligned_run(native: pa.Array, words: pa.Array, least: float) -> pa.Array:
+    """For each page an array of PAIRED, in the order of the native words, those only recognised behind the pair before them."""
+    a, b = Stream(native), Stream(words)
+    i, j, overlap = _by_boxes(a, b, least)
+    a.mate[i], b.mate[j] = j, i
+    how, shared = np.full(len(a.page), 3), np.full(len(a.page), np.nan)
+    how[i], shared[i] = 0, overlap
+    gaps = a.before(np.arange(len(a.page))), b.before(b.mate)
+    code = pa.concat_arrays([a.text, b.text]).dictionary_encode().indices
+    code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = code[: len(a.page)], code[len(a.page) :]
+    for step in (1, 2):  # by text, then by order
+        open_ = [np.flatnonzero((s.mate < 0) & ((c >= 0) | (step == 2))) for s, c in zip((a, b), codes)]
+        kinds = tuple(c[o] if step == 1 else np.zeros(len(o), np.int64) for c, o in zip(codes, open_))
+        x, y = _by_turn(tuple(g[o] for g, o in zip(gaps, open_)), kinds, step == 2)
+        i, j = open_[0][x], open_[1][y]
+        a.mate[i], b.mate[j], how[i] = j, i, step
+    alone = np.flatnonzero(b.mate < 0)
+    left = np.concatenate([np.arange(len(a.page)), np.full(len(alone), -1)])
+    right = np.concatenate([a.mate, alone])
+    gap = np.concatenate([gaps[0], gaps[1][alone]])
+    page = np.concatenate([a.page, b.page[alone]])
+    order = np.lexsort((right, left < 0, np.where(left < 0, gap, left), page))
+    left, right, gap, page = left[order], right[order], gap[order], page[order]
+    how, shared = (np.concatenate([v, np.full(len(alone), w)])[order] for v, w in ((how, 4), (shared, np.nan)))
+
+    def taken(values: pa.Array, at: np.ndarray) -> pa.Array:
+        return values.take(pa.array(at, mask=at < 0))
+
+    at_gap = pa.array(np.where(gap >= 0, a.pos[np.maximum(gap, 0)], -1) if len(a.pos) else np.full(len(gap), -1), pa.int64())
+    columns = [taken(pa.array(a.pos), left), taken(a.text, left), taken(pa.array(b.pos), right), taken(b.text, right), pa.array(HOW[how], pa.string()), pa.array(shared, mask=np.isnan(shared)), at_gap]
+    flat = pa.StructArray.from_arrays(columns, names=[c.split(" ")[0] for c in PAIRED.split(", ")])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(page, np.arange(len(native) + 1)), pa.int32()), flat)
+
+
+def align(pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """keys, aligned: array of (n, native_text, m, word_text, how, overlap, gap); how is box, text, order, native or recognised, gap the
+    native word of the last pair by boxes before, -1 where there is none."""
+    if least < 0.5:
+        raise ValueError("boxes that overlap by less than a half need not hold each other's centres")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = sum(pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("native", "words"))
+            edges = [*np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS, prepend=-1)).tolist(), b.num_rows]
+            for first, end in zip(edges, edges[1:]):
+                part = b.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], aligned_run(part.column("native"), part.column("words"), least)], names=[*keys, "aligned"])
 
-def _cell(x: Column, size: float) -> Column:
-    return F.floor(x / F.lit(float(size)))
+    conf, key = pages.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH))
+    rows = pages.select(*keys, "native", "words")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2], StructField("aligned", ArrayType(StructType.fromDDL(PAIRED)))]))
 
 
-def _covered(at: str, length: str, size: float) -> Column:
-    return F.explode(F.sequence(_cell(F.col(at), size), _cell(F.col(at) + F.col(length), size)))
+def pages_of(native: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Pages of words that come as rows: keys, native, words."""
+    lists = [s.groupBy(*keys).agg(F.collect_list(F.struct(pos, "text", *BOX)).alias(name)) for s, pos, name in ((native, "n", "native"), (words, "m", "words"))]
+    return lists[0].join(lists[1], keys, "full")
 
 
-def box_pairs(native: DataFrame, words: DataFrame, keys: list[str], least: float = 0.5, cell: tuple[float, float] = (80, 20)) -> DataFrame:
-    """keys, n, m, overlap of the words that are each other's best by their boxes."""
-    if least < 0.5:
-        raise ValueError("boxes that overlap by less than a half need not hold each other's centres")
-    boxed = "left is not null and top is not null and width > 0 and height > 0"
-    ours = [*keys, "n", *[F.col(c).cast("double").alias(f"a_{c}") for c in ("left", "top", "width", "height")]]
-    a = native.where(boxed).select(*ours).withColumn("cx", _covered("a_left", "a_width", cell[0])).withColumn("cy", _covered("a_top", "a_height", cell[1]))
-    b = words.where(boxed).select(*keys, "m", *[F.col(c).cast("double").alias(f"b_{c}") for c in ("left", "top", "width", "height")])
-    b = b.withColumns({"cx": _cell(F.expr("b_left + b_width / 2"), cell[0]), "cy": _cell(F.expr("b_top + b_height / 2"), cell[1])})
-    across = F.expr("greatest(0D, least(a_left + a_width, b_left + b_width) - greatest(a_left, b_left))")
-    down = F.expr("greatest(0D, least(a_top + a_height, b_top + b_height) - greatest(a_top, b_top))")
-    j = a.join(b, [*keys, "cx", "cy"]).withColumn("both", across * down)
-    j = j.select(*keys, "n", "m", (F.col("both") / (F.expr("a_width * a_height + b_width * b_height") - F.col("both"))).alias("overlap")).where(F.col("overlap") >= least)
-    j = j.repartition(*keys)
-    best = lambda own, other: F.row_number().over(Window.partitionBy(*keys, own).orderBy(F.desc("overlap"), other))
-    return j.withColumns({"rn": best("n", "m"), "rm": best("m", "n")}).where("rn = 1 and rm = 1").drop("rn", "rm")
-
-
-def align(native: DataFrame, words: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """keys, n, native_text, m, word_text, how (box, text, order, native, recognised), overlap, gap (the native word before)."""
-    pairs = box_pairs(native, words, keys, least)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("mate", "long"), ("overlap", "double"))]
-    none = F.lit(None).cast("string").alias("text")
-    side = lambda k, pos: [*keys, F.lit(k).alias("side"), F.col(pos).cast("long").alias("pos")]
-    mates = F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(a).cast("long").alias("pos"), F.col(b).cast("long").alias("mate")) for k, a, b in ((0, "n", "m"), (1, "m", "n"))]))
-    rows = native.select(*side(0, "n"), F.col("text").cast("string").alias("text"), *nothing)
-    rows = rows.unionByName(words.select(*side(1, "m"), F.col("text").cast("string").alias("text"), *nothing))
-    rows = rows.unionByName(pairs.select(*keys, "overlap", mates).select(*keys, "side", "pos", none, "mate", "overlap"))
-    s = rows.repartition(*keys).groupBy(*keys, "side", "pos").agg(F.max("text").alias("text"), F.max("mate").alias("mate"), F.max("overlap").alias("overlap"))
-    anchor = F.when(F.col("mate").isNotNull(), F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("mate")))
-    upto = Window.partitionBy(*keys, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"anchor": anchor, "gap": F.coalesce(F.last(anchor, ignorenulls=True).over(upto), F.lit(-1).cast("long"))})
-    # the pairs are put together once more: by the native word where there is one, else by gap, text and occurrence
-    paired = F.col("anchor").isNotNull()
-    nth = F.row_number().over(Window.partitionBy(*keys, "side", "anchor", "gap", "text").orderBy("pos"))
-    s = s.withColumn("k", F.when(~paired, nth))
-    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
-    ends = [of(0, "pos").alias("n"), of(0, "text").alias("native_text"), of(1, "pos").alias("m"), of(1, "text").alias("word_text"), F.max("overlap").alias("overlap")]
-    same = [F.col("anchor"), F.when(~paired, F.col("gap")).alias("between"), F.when(~paired, F.col("text")).alias("by"), F.col("k")]
-    t = s.groupBy(*keys, *same).agg(*ends, F.coalesce(of(0, "gap"), of(1, "gap")).alias("gap"))
-    single = F.col("anchor").isNull() & (F.col("n").isNull() | F.col("m").isNull())
-    t = t.withColumn("open", single)
-    between = Window.partitionBy(*keys, "open", "between")
-    left = [F.count(F.when(F.col("open"), F.col(c))).over(between) for c in ("n", "m")]
-    t = t.withColumn("even", F.col("open") & (left[0] == left[1]))
-    turn = F.row_number().over(Window.partitionBy(*keys, "open", "between", F.col("n").isNull()).orderBy(F.coalesce("n", "m")))
-    t = t.withColumns({"turn": F.when(F.col("even"), turn), "alone": F.when(~F.col("even"), F.struct("n", "m"))})
-    least_of = lambda c: F.max(c).alias(c)
-    got = t.groupBy(*keys, F.when(F.col("even"), F.col("between")).alias("between"), "turn", "alone").agg(
-        *[least_of(c) for c in ("n", "native_text", "m", "word_text", "overlap", "gap")], F.max("even").alias("even"), F.max(F.col("anchor").isNotNull()).alias("by_box")
-    )
-    how = F.when(F.col("by_box"), "box").when(F.col("even"), "order").when(F.col("m").isNull(), "native").when(F.col("n").isNull(), "recognised").otherwise("text")
-    return got.select(*keys, "n", "native_text", "m", "word_text", how.alias("how"), "overlap", "gap")
-
-
-def merged_text(aligned: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_words, text: the native words, and those that were only recognised behind the native word they follow."""
-    place = F.struct(F.coalesce("n", "gap").alias("at"), F.col("n").isNull().alias("added"), F.col("m").alias("m"), F.coalesce("native_text", "word_text", F.lit("")).alias("text"))
-    words = F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"])
-    return aligned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), F.array_join(words, " ").alias("text"))
+def aligned_rows(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    return aligned.select(*keys, F.inline("aligned"))
+
+
+def merged_text(aligned: DataFrame) -> DataFrame:
+    """With n_words and text: the native words, and those that were only recognised behind the pair that they follow."""
+    text = F.array_join(F.transform("aligned", lambda x: F.coalesce(x["native_text"], x["word_text"], F.lit(""))), " ")
+    return aligned.select("*", F.size("aligned").cast("long").alias("n_words"), text.alias("text")).drop("aligned")
 
 
 def agreement(aligned: DataFrame, keys: list[str]) -> DataFrame:
     """Per key how words were paired, and how many pairs have one text: what recognition got right where native text is known."""
     kinds = ("box", "text", "order", "native", "recognised")
     both = F.col("n").isNotNull() & F.col("m").isNotNull()
-    return aligned.groupBy(*keys).agg(*[F.count_if(F.col("how") == k).alias(f"n_{k}") for k in kinds], F.count_if(both & F.col("native_text").eqNullSafe(F.col("word_text"))).alias("n_equal"))
+    equal = F.count_if(both & F.col("native_text").eqNullSafe(F.col("word_text"))).alias("n_equal")
+    return aligned_rows(aligned, keys).groupBy(*keys).agg(*[F.count_if(F.col("how") == k).alias(f"n_{k}") for k in kinds], equal)

@@ -19,42 +19,44 @@ WORDS = r"""t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\
           CASE WHEN (n + doc_id) % 2 = 0 THEN translate(word, 'olie', '01l3') ELSE word END AS read FROM u)"""
 
 
-def printed_words(spark, sf_dir) -> DataFrame:
-    """doc_id, page, n, text, its box, and what becomes of the word."""
+def pages(spark, sf_dir) -> DataFrame:
+    """doc_id, page, native, words: the printed words with boxes; and what is left of them, boxes a little off or missing, letters
+    misread, specks read as words of their own."""
     ws = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ws).alias("n", "text"))
-    on = lambda at, k: (F.col("n") % 8 == at) & ((F.col("n") + F.col("doc_id")) % k == 0)
-    box = {"left": F.expr("n % 10 * 90D"), "top": F.expr("n % 500 div 10 * 16D"), "width": F.expr("least(80D, greatest(14D, length(text) * 7D))"), "height": F.lit(12.0)}
-    return w.withColumn("page", F.floor(F.col("n") / 500)).withColumns(box | {"gone": on(6, 5), "unboxed": on(0, 3), "speck": on(3, 4)})
+    last = F.floor((F.size("ws") - 1) / 500).cast("int")
+    cut = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i * 500 + 1, 500)))
+    cut = table(spark, sf_dir, "documents").select("doc_id", ws.alias("ws")).select("doc_id", F.posexplode(cut).alias("page", "ws"))
+    at = lambda i: F.col("page") * 500 + i
+    on = lambda i, of, k: (at(i) % 8 == of) & ((at(i) + F.col("doc_id")) % k == 0)
+    width = lambda w: F.least(F.lit(80.0), F.greatest(F.lit(14.0), F.length(w) * 7.0))
+    left, top = lambda i: i % 10 * 90.0, lambda i: F.floor(i / 10) * 16.0
 
+    def printed(w, i):
+        return F.struct(at(i).cast("long").alias("n"), w.alias("text"), left(i).alias("left"), top(i).alias("top"), width(w).alias("width"), F.lit(12.0).alias("height"))
 
-def recognised_words(printed: DataFrame) -> DataFrame:
-    """m, text and box of what is left: boxes a little off or missing, letters misread, specks read as words of their own."""
-    shift = (F.col("n") + F.col("doc_id")) % 3
-    box = lambda c, value: F.when(~F.col("unboxed"), value).alias(c)
-    text = F.when((F.col("n") + F.col("doc_id")) % 2 == 0, F.translate("text", "olie", "01l3")).otherwise(F.col("text"))
-    word = F.struct((2 * F.col("n")).alias("m"), text.alias("text"), box("left", F.col("left") + shift - 1), box("top", F.col("top") + shift / 2), box("width", F.col("width") + shift), box("height", F.col("height")))
-    speck = F.struct((2 * F.col("n") + 1).alias("m"), F.lit("·").alias("text"), (F.col("left") + 83).alias("left"), F.col("top").alias("top"), F.lit(3.0).alias("width"), F.lit(3.0).alias("height"))
-    made = F.array_compact(F.array(F.when(~F.col("gone"), word), F.when(F.col("speck"), speck)))
-    return printed.select("doc_id", "page", F.inline(made))
+    def recognised(w, i):
+        shift = (at(i) + F.col("doc_id")) % 3
+        box = lambda c, value: F.when(~on(i, 0, 3), value).alias(c)
+        text = F.when((at(i) + F.col("doc_id")) % 2 == 0, F.translate(w, "olie", "01l3")).otherwise(w)
+        word = F.struct((2 * at(i)).cast("long").alias("m"), text.alias("text"), box("left", left(i) + shift - 1), box("top", top(i) + shift / 2), box("width", width(w) + shift), box("height", F.lit(12.0)))
+        speck = F.struct((2 * at(i) + 1).cast("long").alias("m"), F.lit("·").alias("text"), (left(i) + 83).alias("left"), top(i).alias("top"), F.lit(3.0).alias("width"), F.lit(3.0).alias("height"))
+        return F.array(F.when(~on(i, 6, 5), word), F.when(on(i, 3, 4), speck))
 
-
-def aligned(spark, sf_dir) -> DataFrame:
-    printed = printed_words(spark, sf_dir)
-    return W.align(printed, recognised_words(printed), ["doc_id", "page"])
+    words = F.filter(F.flatten(F.transform("ws", recognised)), lambda x: x.isNotNull())
+    return cut.select("doc_id", "page", F.transform("ws", printed).alias("native"), words.alias("words"))
 
 
 @query(f"""WITH {WORDS} SELECT doc_id, page, count(*) FILTER (NOT gone AND NOT unboxed) AS n_box, count(*) FILTER (unboxed AND read = word) AS n_text, count(*) FILTER (unboxed AND read <> word) AS n_order,
   count(*) FILTER (gone) AS n_native, count(*) FILTER (speck) AS n_recognised, count(*) FILTER (NOT gone AND read = word) AS n_equal FROM w GROUP BY 1, 2""")
 def aligned_words(spark, sf_dir):
     """Native and recognised words of every page, by how they were paired."""
-    return W.agreement(aligned(spark, sf_dir), ["doc_id", "page"])
+    return W.agreement(W.align(pages(spark, sf_dir), ["doc_id", "page"]), ["doc_id", "page"])
 
 
 @query(f"""WITH {WORDS} SELECT doc_id, page, count(*) + count(*) FILTER (speck) AS n_words, md5(string_agg(word || CASE WHEN speck THEN ' ·' ELSE '' END, ' ' ORDER BY n)) AS text_md5 FROM w GROUP BY 1, 2""")
 def merged_pages(spark, sf_dir):
     """Every page's text out of both streams."""
-    return W.merged_text(aligned(spark, sf_dir), ["doc_id", "page"]).select("doc_id", "page", "n_words", F.md5("text").alias("text_md5"))
+    return W.merged_text(W.align(pages(spark, sf_dir), ["doc_id", "page"])).select("doc_id", "page", "n_words", F.md5("text").alias("text_md5"))
 
 
 # The catalogue

@@ -10,8 +10,11 @@ from bizframe.sources import catalogue as C
 BOX = "doc int, page int, {} long, text string, left double, top double, width double, height double"
 
 
-def frames(spark, native, words):
-    return spark.createDataFrame(native, BOX.format("n")), spark.createDataFrame(words, BOX.format("m"))
+KEYS = ["doc", "page"]
+
+
+def paged(spark, native, words):
+    return W.pages_of(spark.createDataFrame(native, BOX.format("n")), spark.createDataFrame(words, BOX.format("m")), KEYS)
 
 
 def overlap(a, b):
@@ -33,10 +36,10 @@ def test_box_pairs_against_all_pairs(spark):
         best_b = min((-p, x[2]) for p, x, y in scored if y == b)
         if best_a[1] == b[2] and best_b[1] == a[2]:
             want.add((a[0], a[2], b[2], round(o, 9)))
-    got = W.box_pairs(*frames(spark, native, words), ["doc", "page"]).collect()
+    got = W.aligned_rows(W.align(paged(spark, native, words), KEYS), KEYS).where("how = 'box'").collect()
     assert len(want) > 150 and {(x["doc"], x["n"], x["m"], round(x["overlap"], 9)) for x in got} == want
     with pytest.raises(ValueError):
-        W.box_pairs(*frames(spark, native, words), ["doc", "page"], least=0.3)
+        W.align(paged(spark, native, words), KEYS, least=0.3)
 
 
 def test_align_by_text_and_order(spark):
@@ -50,8 +53,10 @@ def test_align_by_text_and_order(spark):
         (1, 0, 10, "Bi11", *at(0)), (1, 0, 11, "no", *no), (1, 0, 12, "01", *no), (1, 0, 13, "no", *no), (1, 0, 14, "end", *at(4)), (1, 0, 15, "y", *no),
         (3, 0, 7, "only", *at(0)), (4, 0, 0, "a", *at(1)), (4, 0, 1, "b", *at(0)), (4, 0, 2, "zz", *no),
     ]
-    a, b = frames(spark, native, words)
-    got = W.align(a.unionByName(a.where("n = 0")), b, ["doc", "page"])  # a row that is there twice
+    native += [x for x in native if x[2] == 0] + [(1, 0, None, "no position", *no)]  # words that are there twice
+    pages = paged(spark, native, words)
+    found = W.align(pages, KEYS)
+    got = W.aligned_rows(found, KEYS)
     assert {(r["doc"], r["n"], r["m"], r["how"]) for r in got.collect()} == {
         (1, 0, 10, "box"), (1, 1, 11, "text"), (1, 2, 13, "text"), (1, 3, 12, "order"), (1, 4, 14, "box"), (1, 5, None, "native"), (1, 6, None, "native"), (1, None, 15, "recognised"),
         (2, 0, None, "native"), (3, None, 7, "recognised"),
@@ -59,17 +64,16 @@ def test_align_by_text_and_order(spark):
         (4, 0, 1, "box"), (4, 1, 0, "box"), (4, 2, None, "native"), (4, None, 2, "recognised"),
     }
     assert got.count() == 14
-    texts = {r["doc"]: (r["n_words"], r["text"]) for r in W.merged_text(got, ["doc"]).collect()}
+    texts = {r["doc"]: (r["n_words"], r["text"]) for r in W.merged_text(found).collect()}
     assert texts[1] == (8, "Bill no no O1 end y  x") and texts[3] == (1, "only")
-    sums = {r["doc"]: r for r in W.agreement(got, ["doc"]).collect()}
+    sums = {r["doc"]: r for r in W.agreement(found, ["doc"]).collect()}
     assert (sums[1]["n_box"], sums[1]["n_text"], sums[1]["n_order"], sums[1]["n_equal"]) == (2, 2, 1, 3)
-    assert W.align(a.where("false"), b.where("false"), ["doc", "page"]).count() == 0
+    assert W.align(pages.where("false"), KEYS).count() == 0
 
 
-def test_a_page_shuffles_once_behind_the_join(spark):
-    native = spark.createDataFrame([(1, 0, 0, "a", 0.0, 0.0, 9.0, 9.0)], BOX.format("n"))
-    plan = W.align(native, native.withColumnRenamed("n", "m"), ["doc", "page"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 4 and "NestedLoop" not in plan and "Cartesian" not in plan
+def test_pages_are_not_shuffled(spark):
+    pages = spark.range(1).selectExpr("1 AS doc", "id AS page", "array(named_struct('n', 1L, 'text', 'a', 'left', 0D, 'top', 0D, 'width', 9D, 'height', 9D)) AS native").selectExpr("*", "native AS words")
+    assert "Exchange" not in W.align(pages, KEYS)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_catalogue(spark, tmp_path):
