@@ -26,24 +26,30 @@ def pages(spark, sf_dir) -> DataFrame:
     last = F.floor((F.size("ws") - 1) / 500).cast("int")
     cut = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("ws", i * 500 + 1, 500)))
     cut = table(spark, sf_dir, "documents").select("doc_id", ws.alias("ws")).select("doc_id", F.posexplode(cut).alias("page", "ws"))
-    at = lambda i: F.col("page") * 500 + i
-    on = lambda i, of, k: (at(i) % 8 == of) & ((at(i) + F.col("doc_id")) % k == 0)
+    cut = cut.withColumns({"first": F.col("page") * 500, "turn": F.col("page") * 500 + F.col("doc_id")})
     width = lambda w: F.least(F.lit(80.0), F.greatest(F.lit(14.0), F.length(w) * 7.0))
     left, top = lambda i: i % 10 * 90.0, lambda i: F.floor(i / 10) * 16.0
 
     def printed(w, i):
-        return F.struct(at(i).cast("long").alias("n"), w.alias("text"), left(i).alias("left"), top(i).alias("top"), width(w).alias("width"), F.lit(12.0).alias("height"))
+        return F.struct((F.col("first") + i).cast("long").alias("n"), w.alias("text"), left(i).alias("left"), top(i).alias("top"), width(w).alias("width"), F.lit(12.0).alias("height"))
 
     def recognised(w, i):
-        shift = (at(i) + F.col("doc_id")) % 3
-        box = lambda c, value: F.when(~on(i, 0, 3), value).alias(c)
-        text = F.when((at(i) + F.col("doc_id")) % 2 == 0, F.translate(w, "olie", "01l3")).otherwise(w)
-        word = F.struct((2 * at(i)).cast("long").alias("m"), text.alias("text"), box("left", left(i) + shift - 1), box("top", top(i) + shift / 2), box("width", width(w) + shift), box("height", F.lit(12.0)))
-        speck = F.struct((2 * at(i) + 1).cast("long").alias("m"), F.lit("·").alias("text"), (left(i) + 83).alias("left"), top(i).alias("top"), F.lit(3.0).alias("width"), F.lit(3.0).alias("height"))
-        return F.array(F.when(~on(i, 6, 5), word), F.when(on(i, 3, 4), speck))
+        """A word without a position is gone, one without a left side has no box."""
+        n, turn = F.col("first") + i, F.col("turn") + i
+        shift = turn % 3
+        m = F.when(~((n % 8 == 6) & (turn % 5 == 0)), (2 * n).cast("long"))
+        text = F.when(turn % 2 == 0, F.translate(w, "olie", "01l3")).otherwise(w)
+        side = F.when(~((n % 8 == 0) & (shift == 0)), left(i) + shift - 1)
+        return F.struct(m.alias("m"), text.alias("text"), side.alias("left"), (top(i) + shift / 2).alias("top"), (width(w) + shift).alias("width"), F.lit(12.0).alias("height"))
 
-    words = F.filter(F.flatten(F.transform("ws", recognised)), lambda x: x.isNotNull())
-    return cut.select("doc_id", "page", F.transform("ws", printed).alias("native"), words.alias("words"))
+    def speck(i):
+        n = F.col("first") + i
+        return F.struct((2 * n + 1).cast("long").alias("m"), F.lit("·").alias("text"), (left(i) + 83).alias("left"), top(i).alias("top"), F.lit(3.0).alias("width"), F.lit(3.0).alias("height"))
+
+    # every eighth word, from where n % 8 is 3, in documents where that makes n + doc_id a multiple of four
+    start = (3 + 4 * F.col("page")) % 8
+    places = F.when((F.col("doc_id") % 4 == 1) & (F.size("ws") > start), F.sequence(start, F.size("ws") - 1, F.lit(8))).otherwise(F.array().cast("array<int>"))
+    return cut.select("doc_id", "page", F.transform("ws", printed).alias("native"), F.concat(F.transform("ws", recognised), F.transform(places, speck)).alias("words"))
 
 
 @query(f"""WITH {WORDS} SELECT doc_id, page, count(*) FILTER (NOT gone AND NOT unboxed) AS n_box, count(*) FILTER (unboxed AND read = word) AS n_text, count(*) FILTER (unboxed AND read <> word) AS n_order,
@@ -68,10 +74,10 @@ COLUMNS = "SELECT DISTINCT table_name, column_name, ordinal_position::INT AS pos
 NULLS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, column_name, n_nulls FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) AS '\\0' FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n_nulls)" for t in TABLES)
 
 
-@query(f"""WITH c AS ({COLUMNS}), n AS ({NULLS}) SELECT table_name, column_name, position, data_type, n_rows, CASE WHEN data_type NOT LIKE 'array%' THEN n_nulls END AS n_nulls FROM c JOIN n USING (table_name, column_name)""")
+@query(f"""WITH c AS ({COLUMNS}), n AS ({NULLS}) SELECT table_name, column_name, position, data_type, n_rows, n_nulls FROM c JOIN n USING (table_name, column_name)""")
 def catalogue_columns(spark, sf_dir):
-    """Every column of every table with its type, rows and nulls, from footers alone."""
-    return catalogue.columns(catalogue.scan(spark, sf_dir, TABLES)).drop("n_files")
+    """Every column of every table with its type, rows and nulls."""
+    return catalogue.of_frames({t: table(spark, sf_dir, t) for t in TABLES})
 
 
 WANTED = [(m.name, m.table, c) for m in MODELS for c in dict.fromkeys((m.id, m.label, m.amount, m.date, m.state, m.company, m.parent, *[r.key for r in m.relations.values() if r.kind == "many2one"])) if c]
@@ -80,7 +86,7 @@ WANTED = [(m.name, m.table, c) for m in MODELS for c in dict.fromkeys((m.id, m.l
 @query(f"""WITH c AS ({COLUMNS}), v(model, table_name, column_name) AS (VALUES {", ".join(str(x) for x in WANTED)})
   SELECT v.*, table_name IN (SELECT table_name FROM c) AS table_found, (table_name, column_name) IN (SELECT (table_name, column_name) FROM c) AS column_found FROM v""")
 def catalogue_checked(spark, sf_dir):
-    """The columns that models name, against those that there are; only the models' tables are opened."""
-    names = sorted({t for _, t, _ in WANTED})
+    """The columns that models name, against those that there are."""
+    have = {m.table for m in MODELS} & set(TABLES)
     wanted = spark.createDataFrame(WANTED, "model string, table_name string, column_name string")
-    return catalogue.missing(catalogue.scan(spark, sf_dir, names), wanted)
+    return catalogue.missing(catalogue.of_frames({t: table(spark, sf_dir, t) for t in sorted(have)}), wanted)

@@ -1,21 +1,24 @@
-"""The catalogue of a folder of tables as a table that can be filtered and joined: format("catalogue").
-
-A row for each table, column and run of files, from the footers of its Parquet files; no data page is read. Options tables (a
-JSON list of names) and prefix prune the scan: other tables' footers are not opened. These are options and no pushed filters,
-because Spark 4.1 keeps one reader for a DataFrame of a Python source: of two filters on one DataFrame, in one plan or one after
-the other, both read what one of them asked for (tried: a union of 6 and 3 rows came out as 6 or 12). Files are dealt in runs to
-tasks, so that a table of a million files is read by many; columns() adds the runs up. A column that has two types in a
-table's files has two rows. Option path: a folder with `<table>.parquet` files or folders, local or of any store whose address
-pyarrow knows (file, hdfs, s3, gs).
-
-Defined cases: files and folders whose names begin with '_' or '.' are no tables and no parts of one; a table without files has no row; nulls are
-unknown (null) for nested columns and where a file keeps no statistics; an empty file adds no rows but its columns.
+"""The catalogue of tables as a table that can be filtered and joined: of_frames() for whatever Spark reads, and
+format("catalogue") for a folder of Parquet tables.
+
+of_frames() counts rows and nulls by reading the columns. The format has a row for each table, column and run of files, from
+footers alone. Its options tables (a JSON list of names) and prefix prune the scan: other tables' footers are not opened. These
+are options and no pushed filters, because Spark 4.1 keeps one reader for a DataFrame of a Python source: of two filters on one
+DataFrame, in one plan or one after the other, both read what one of them asked for (tried: a union of 6 and 3 rows came out as
+6 or 12). Files are dealt in runs to tasks, so that a table of a million files is read by many; columns() adds the runs up. A
+column that has two types in a table's files has two rows. Option path: a folder with `<table>.parquet` files or folders, local
+or of a store whose address pyarrow knows (file, hdfs, s3, gs).
+
+Defined cases of the format: files and folders whose names begin with '_' or '.' are no tables and no parts of one; a table
+without files has no row; nulls are unknown (null) for nested columns and where a file keeps no statistics; an empty file adds
+no rows but its columns. An empty frame has zeros.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -111,6 +114,17 @@ def scan(spark: SparkSession, path: str, tables: Sequence[str] | None = None, pr
     return spark.read.format("catalogue").options(**options).load()
 
 
+def of_frames(frames: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, position, data_type, n_rows, n_nulls of every column of the frames, of which there is at least one."""
+    parts = []
+    for name, df in frames.items():
+        rows = F.count(F.lit(1))
+        about = lambda at, f: [F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(at).alias("position"), F.lit(f.dataType.simpleString()).alias("data_type")]  # noqa: E731, B023
+        each = [F.struct(*about(at, f), rows.alias("n_rows"), (rows - F.count(df[f"`{f.name}`"])).alias("n_nulls")) for at, f in enumerate(df.schema, 1)]
+        parts.append(df.agg(F.array(*each).alias("each")).select(F.inline("each")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def columns(rows: DataFrame) -> DataFrame:
     """One row for each table, column and type, over all files."""
     known = F.when(F.count_if(F.col("n_nulls").isNull()) == 0, F.sum("n_nulls"))

@@ -106,3 +106,10 @@ def test_catalogue(spark, tmp_path):
     wanted = spark.createDataFrame([("one", "a"), ("one", "q"), ("gone", "a")], "table_name string, column_name string")
     found = C.missing(C.scan(spark, str(tmp_path), ["one"]), wanted).collect()
     assert sorted(tuple(r) for r in found) == [("gone", "a", False, False), ("one", "a", True, True), ("one", "q", True, False)]
+
+
+def test_footers_tell_what_the_columns_hold(spark, sf):
+    names = ["orders", "documents", "embeddings", "nation", "events"]
+    read = C.of_frames({t: spark.read.parquet(f"{sf}/{t}.parquet") for t in names}).where("data_type NOT LIKE 'array%'")
+    footers = C.columns(C.scan(spark, sf, names)).where("data_type NOT LIKE 'array%'").select(*read.columns)
+    assert read.count() == footers.count() and read.exceptAll(footers).isEmpty()
