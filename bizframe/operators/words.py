@@ -44,7 +44,8 @@ class Stream:
         known = pos.is_valid().to_numpy(zero_copy_only=False)
         at = np.flatnonzero(known)
         value = pc.fill_null(pos.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
-        at = at[np.lexsort((value[at], page[at]))]
+        if len(at) and not np.all((np.diff(page[at]) > 0) | (np.diff(value[at]) >= 0)):  # lists are mostly in order
+            at = at[np.lexsort((value[at], page[at]))]
         again = np.zeros(len(at), bool)
         again[1:] = (page[at][1:] == page[at][:-1]) & (value[at][1:] == value[at][:-1])
         at = at[~again]
@@ -89,9 +90,14 @@ def _by_boxes(a: Stream, b: Stream, least: float) -> tuple[np.ndarray, np.ndarra
     for (low, n), centre in zip(covered, centres):
         times, cell = _spread(low[row], n[row])
         row, key_a = row[times], key_a[times]
-        _, both = np.unique(np.concatenate([cell, centre]), return_inverse=True)
-        # the number of a (key so far, cell)
-        both = np.unique(np.concatenate([key_a, key_b]) * (both.max() + 1) + both, return_inverse=True)[1]
+        # the number of a (key so far, cell), by its place in the grid, or by rank where the grid is too large to count
+        cell, so_far = np.concatenate([cell, centre]), np.concatenate([key_a, key_b])
+        low, span = cell.min(), cell.max() - cell.min() + 1
+        if (so_far.max() + 1) * span < 2.0**62:
+            both = so_far * int(span) + (cell - low).astype(np.int64)
+        else:
+            ranks = np.unique(cell, return_inverse=True)[1]
+            both = np.unique(so_far * (ranks.max() + 1) + ranks, return_inverse=True)[1]
         key_a, key_b = both[: len(key_a)], both[len(key_a) :]
     order = np.argsort(key_a, kind="stable")
     key_a, row = key_a[order], row[order]
@@ -106,6 +112,9 @@ def _by_boxes(a: Stream, b: Stream, least: float) -> tuple[np.ndarray, np.ndarra
     good = overlap >= least
     i, j, overlap = i[good], j[good], overlap[good]
 
+    if len(i) and np.bincount(i).max() == 1 == np.bincount(j).max():  # no word has a choice
+        return i, j, overlap
+
     def best(own: np.ndarray, other: np.ndarray) -> np.ndarray:
         by = np.lexsort((other, -overlap, own))
         out = np.zeros(len(own), bool)

@@ -26,6 +26,7 @@ def test_box_pairs_against_all_pairs(spark):
     r = random.Random(5)
     box = lambda: (r.uniform(-50, 900), r.uniform(-20, 700), r.uniform(1, 260), r.uniform(1, 70))
     native = [(d, 0, n, "x", *box()) for d in range(3) for n in range(120)]
+    native += [(1, 0, 900 + n, "x", 10.0**x, -(10.0**x), 20.0, 8.0) for n, x in enumerate((12, 15, 18, 20))]  # far beyond any page
     near = lambda a: tuple(v + r.uniform(-0.2, 0.2) * s for v, s in zip(a[4:], (a[6], a[7], a[6], a[7])))
     words = [(a[0], 0, m, "x", *near(a)) for m, a in enumerate(native)] + [(0, 0, 500 + m, "x", *box()) for m in range(60)]
     want = set()
