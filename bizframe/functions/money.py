@@ -21,6 +21,11 @@ def convert_quantity(quantity: Column, from_ratio: Column, to_ratio: Column, dig
     return F.round(quantity * from_ratio / to_ratio, digits)
 
 
+def signed_round(c: Column, digits: int = 0) -> Column:
+    """Half away from zero, as a double; a negative value that becomes zero keeps its sign, as its text does."""
+    return F.when(c < 0, -F.round(-c, digits)).otherwise(F.round(c, digits))
+
+
 def conversion_date(strategy: str, invoice: Column, accounting: Column, source: Column, today: Column) -> Column:
     return {
         "invoice_date": F.coalesce(invoice, accounting, today),

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import signed_round
+
 #: Fixed weights of the overall score and grade limits.
 WEIGHTS = {"liquidity": 0.20, "growth": 0.20, "execution": 0.20, "pipeline": 0.15, "fulfillment": 0.15, "receivable": 0.10}
 GRADES = [(90, "A"), (75, "B"), (60, "C"), (45, "D")]
@@ -153,7 +155,7 @@ def quartile_band(value: Column, p25: Column, median: Column, p75: Column) -> Co
 def compare_benchmark(values: DataFrame, benchmark: DataFrame, keys: list[str], value: str) -> DataFrame:
     """values with gap_pct to the median, band and a line of text."""
     j = values.join(benchmark, keys, "left")
-    gap = F.round((F.col(value) - F.col("median")) / F.abs("median") * 100, 1)
+    gap = signed_round((F.col(value) - F.col("median")) / F.abs("median") * 100, 1)
     side = F.when(F.col("gap_pct") >= 0, "above").otherwise("below")
     return j.withColumn("gap_pct", gap).withColumn("band", quartile_band(F.col(value), F.col("p25"), F.col("median"), F.col("p75"))).withColumn("gap_text", F.format_string("%+.1f%% %s", "gap_pct", side))
 

@@ -952,7 +952,7 @@ def record_union(spark, sf_dir):
 
 @query("SELECT s_suppkey, printf('%s: %+.1f%% %s', s_name, round(s_acctbal / 100) / 2, CASE WHEN round(s_acctbal / 100) >= 0 THEN 'above' ELSE 'below' END) AS text FROM supplier")
 def gap_texts(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", W.gap_text(F.col("s_name"), F.round(F.col("s_acctbal") / 100) / 2).alias("text"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", W.gap_text(F.col("s_name"), M.signed_round(F.col("s_acctbal") / 100) / 2).alias("text"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),

@@ -73,3 +73,11 @@ def test_line_amount(spark):
 def test_money(spark):
     r = spark.range(1).select(M.convert_quantity(F.lit(5.0), F.lit(1.0), F.lit(12.0)).alias("a"), M.within(F.lit(1.0), F.lit(1.4), 0.5).alias("b")).first()
     assert r == (0.42, True)
+
+
+def test_rounded_zero_keeps_its_sign(spark):
+    from bizframe.operators.mirror import gap_text
+
+    df = spark.createDataFrame([(-0.4,), (-0.5,), (0.5,), (0.4,), (None,)], "v double")
+    got = [r[0] for r in df.select(gap_text(F.lit("s"), M.signed_round(F.col("v")) / 2)).collect()]
+    assert got == ["s: -0.0% above", "s: -0.5% below", "s: +0.5% above", "s: +0.0% above", got[-1]]
