@@ -73,3 +73,26 @@ def test_accuracy_of_varied_documents(spark, sf):
 
     r = D.varied_checks(spark, sf).groupBy("o_orderkey").agg(F.avg(F.col("ok").cast("double")).alias("a")).agg(F.avg("a"), F.avg((F.col("a") == 1).cast("double"))).first()
     assert r[0] >= 0.96 and r[1] >= 0.90
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bills_are_written_and_read_once(spark, sf):
+    from bizframe import queries_documents as D
+
+    assert plan_of(D.varied_accuracy(spark, sf)).count("l_shipdate") == 2  # the lines of the bills, and of the truth
+    assert plan_of(D.varied_heads(spark, sf)).count("l_shipdate") == 1
+
+
+def test_items_are_not_worked_out_again_for_a_filter(spark):
+    df = spark.createDataFrame([("Items:\nBolt 4 1.50 6.00",)], "t string")
+    for found in (G.items(df.repartition(2), "t", G.LINE_ITEMS, []), X.line_items(df.repartition(2), "t", "t")):
+        assert not [x for x in plan_of(found).split("\n") if "Filter" in x and "size(" in x]
+
+
+def test_few_keys_are_read_by_many_tasks(spark, sf):
+    from bizframe import queries as Q
+
+    assert Q.invoices(spark, sf).rdd.getNumPartitions() > 1
