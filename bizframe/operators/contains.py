@@ -32,43 +32,46 @@ def _hash(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def candidates(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, q: int = Q, judged: int = JUDGED) -> DataFrame:
-    """(__text, __phrase): hashes of folded texts and phrases that share the phrase's key; those of short phrases are matches."""
-    folded = texts.select(F.lower(text).alias("__t")).where("length(__t) > 0")
-    wanted, _ = interim.write(phrases.select(F.lower(phrase).alias("__p")).where("length(__p) > 0").distinct(), "phrases")
+def candidates(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, q: int = Q, judged: int = JUDGED, same: tuple[str, ...] = ()) -> DataFrame:
+    """(__text, __phrase, same): hashes of folded texts and phrases that share the phrase's key and are equal in the columns `same`;
+    those of short phrases are matches."""
+    folded = texts.select(F.lower(text).alias("__t"), *same).where("length(__t) > 0")
+    wanted, _ = interim.write(phrases.select(F.lower(phrase).alias("__p"), *same).where("length(__p) > 0").distinct(), "phrases")
     wanted = wanted.withColumn("__n", F.least(F.length("__p"), F.lit(q)))
     lengths = sorted(r[0] for r in wanted.select("__n").distinct().collect())  # q of them at most
     found = []
     for n in lengths:
         own = wanted.where(F.col("__n") == n)
         if n < q:
-            keyed = own.select(_hash(F.col("__p")).alias("__phrase"), F.col("__p").alias("__gram"))
+            keyed = own.select(_hash(F.col("__p")).alias("__phrase"), *same, F.col("__p").alias("__gram"))
         else:
-            of_phrase = own.select(_hash(F.col("__p")).alias("__phrase"), F.explode(grams(F.col("__p"), q)).alias("__gram"))
+            of_phrase = own.select(_hash(F.col("__p")).alias("__phrase"), *same, F.explode(grams(F.col("__p"), q)).alias("__gram"))
             rows = folded.count()
             few = folded.where(F.rand(seed=11) < min(1.0, judged / max(1, rows))) if rows > judged else folded
             often = few.select(F.explode(grams(F.col("__t"), q)).alias("__gram")).join(of_phrase.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__often"))
             rank = F.struct(F.coalesce("__often", F.lit(0)), "__gram")
-            keyed = of_phrase.join(often, "__gram", "left").groupBy("__phrase").agg(F.min_by("__gram", rank).alias("__gram"))
+            keyed = of_phrase.join(often, "__gram", "left").groupBy("__phrase", *same).agg(F.min_by("__gram", rank).alias("__gram"))
         keyed, counts = interim.write(keyed, "keys")
         side = F.broadcast(keyed) if counts["n"] <= BROADCAST else keyed
-        held = folded.select(_hash(F.col("__t")).alias("__text"), F.explode(grams(F.col("__t"), n)).alias("__gram"))
-        found.append(held.join(side, "__gram").select("__text", "__phrase"))
+        # outer: Spark filters before a plain explode, by the grams worked out once more
+        held = folded.select(_hash(F.col("__t")).alias("__text"), *same, F.explode_outer(grams(F.col("__t"), n)).alias("__gram"))
+        found.append(held.join(side, ["__gram", *same]).select("__text", "__phrase", *same))
     if not found:
-        return folded.select(_hash(F.col("__t")).alias("__text"), F.lit(None).cast("binary").alias("__phrase")).where("false")
+        return folded.select(_hash(F.col("__t")).alias("__text"), F.lit(None).cast("binary").alias("__phrase"), *same).where("false")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
 
 
-def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, q: int = Q, judged: int = JUDGED) -> DataFrame:
-    """Rows of df beside the rows of phrases whose phrase stands in the text; columns of both, names apart."""
-    pairs, counts = interim.write(candidates(df, text, phrases, phrase, q, judged), "candidates")
+def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, q: int = Q, judged: int = JUDGED, same: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of df beside the rows of phrases whose phrase stands in the text; columns of both, names apart. same: columns of
+    both, kept once, in which they must be equal and not null; what differs in them is no candidate."""
+    pairs, counts = interim.write(candidates(df, text, phrases, phrase, q, judged, same), "candidates")
     left = df.withColumn("__text", _hash(F.lower(text)))
     right = phrases.withColumn("__phrase", _hash(F.lower(phrase)))
     pairs = F.broadcast(pairs) if counts["n"] <= BROADCAST else pairs
-    return left.join(pairs, "__text").join(right, "__phrase").where(F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))).drop("__text", "__phrase")
+    return left.join(pairs, ["__text", *same]).join(right, ["__phrase", *same]).where(F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))).drop("__text", "__phrase")
 
 
 @dataclass(frozen=True)

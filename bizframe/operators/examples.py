@@ -1,9 +1,11 @@
 """The best past examples of every document, without scoring every document against every example.
 
 Points: 10 for an example of the document's type, 10 for its provider, 15 for its language, 40 and 20 for a partner name and
-a reference that stand in the document's text. What stands in a text is found by the index of grams. Without such a find an
-example's points are known from type, company, provider and language alone, so of each such class only its first `limit`
-examples by use can be among a document's best; those and the finds are scored exactly and ranked.
+a reference that stand in the document's text. What stands in a text is found by the index of grams, among the phrases of the
+document's type alone. Without such a find an example's points are known from type, company, provider and language, so of
+each such class only its first `limit` examples by use can be among a document's best. The same holds among the examples
+of one reference that was found, and among those of one partner name and reference; so a find brings a bounded number of
+examples, not all that have the phrase. What is left is scored exactly and ranked.
 
 Defined cases: a document without text or type has no examples; an example of another company does not count, one without
 a company counts for all; a document's own example does not count; null or empty languages and phrases give no points;
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import interim
 from .contains import contains_join
 
 #: Fixed points.
@@ -35,28 +38,37 @@ def best_examples(docs: DataFrame, examples: DataFrame, limit: int = 3) -> DataF
         _norm(F.col("partner_name")).alias("partner"), _norm(F.col("reference_text")).alias("reference"),
     )
     slim = d.select("doc_id", "type", "company", "provider", "language")
-    twice = slim.withColumn("e_company", F.explode(F.array("company", F.lit(None).cast(d.schema["company"].dataType)))).distinct()
-    found = None
-    for fields in ([], ["provider"], ["language"], ["provider", "language"]):
-        keys = ["e_type", "e_company", *[f"e_{f}" for f in fields]]
-        first = Window.partitionBy(*keys).orderBy(F.desc("use_count"), "example_id")
-        # one more, since one may be the document's own
-        top = e.select(*keys, "example_id", "use_count", F.row_number().over(first).alias("n")).where(F.col("n") <= limit + 1).drop("n", "use_count")
-        on = (twice["type"] == top["e_type"]) & twice["e_company"].eqNullSafe(top["e_company"])
-        for f in fields:
-            on = on & (twice[f] == top[f"e_{f}"])
-        pairs = twice.join(top, on).select("doc_id", "example_id")
-        found = pairs if found is None else found.unionByName(pairs)
-    marks = []
-    for phrase in ("partner", "reference"):
-        hits = contains_join(d.select("doc_id", "text"), "text", e.select(phrase).distinct(), phrase).select("doc_id", phrase)
-        hits = hits.join(e.select("example_id", phrase), phrase).select("doc_id", "example_id").distinct()
-        found = found.unionByName(hits)
-        marks.append(hits.withColumn(f"has_{phrase}", F.lit(True)))
-    cand = found.distinct().join(slim, "doc_id").join(e.drop("partner", "reference"), "example_id")
+
+    def firsts(asked: DataFrame, by: list[str], of: list[str]) -> DataFrame:
+        """doc_id, example_id: of each class of examples that fits an asked row, and agrees in `of` with what was found, the
+        first by use within `by`."""
+        twice = asked.withColumn("e_company", F.explode(F.array("company", F.lit(None).cast(d.schema["company"].dataType)))).distinct()
+        found = None
+        for fields in ([], ["provider"], ["language"], ["provider", "language"]):
+            keys = [*by, "e_type", "e_company", *[f"e_{f}" for f in fields]]
+            first = Window.partitionBy(*keys).orderBy(F.desc("use_count"), "example_id")
+            # one more, since one may be the document's own
+            top = e.select(*keys, "example_id", "use_count", F.row_number().over(first).alias("n")).where(F.col("n") <= limit + 1).drop("n", "use_count")
+            on = (twice["type"] == top["e_type"]) & twice["e_company"].eqNullSafe(top["e_company"])
+            for f in of:
+                on = on & (twice[f] == top[f])
+            for f in fields:
+                on = on & (twice[f] == top[f"e_{f}"])
+            pairs = twice.join(top, on).select("doc_id", "example_id")
+            found = pairs if found is None else found.unionByName(pairs)
+        return found
+
+    found, marks = firsts(slim, [], []), []
+    for phrase, by in (("partner", ["partner", "reference"]), ("reference", ["reference"])):
+        wanted = e.select(phrase, F.col("e_type").alias("type")).distinct()
+        hits = contains_join(d, "text", wanted, phrase, same=("type",)).select("doc_id", "type", "company", "provider", "language", phrase)
+        hits, _ = interim.write(hits.distinct(), "hits")
+        found = found.unionByName(firsts(hits, by, [phrase]))
+        marks.append((phrase, hits.select("doc_id", phrase).distinct().withColumn(f"has_{phrase}", F.lit(True))))
+    cand = found.distinct().join(slim, "doc_id").join(e, "example_id")
     cand = cand.where((F.col("type") == F.col("e_type")) & ~F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("e_company").isNull() | (F.col("e_company") == F.col("company"))))
-    for m in marks:
-        cand = cand.join(m, ["doc_id", "example_id"], "left")
+    for phrase, m in marks:
+        cand = cand.join(m, ["doc_id", phrase], "left")
     points = lambda on, n: F.when(on, n).otherwise(0)
     score = F.lit(BASE) + points(F.col("provider") == F.col("e_provider"), PROVIDER) + points(F.col("language") == F.col("e_language"), LANGUAGE) + points(F.col("has_partner"), PARTNER) + points(F.col("has_reference"), REFERENCE)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("use_count"), "example_id"))

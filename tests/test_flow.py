@@ -10,6 +10,14 @@ DOCS = "doc_id int, type string, company int, provider int, language string, tex
 EXAMPLES = "example_id int, doc_id int, type string, company int, provider int, language string, partner_name string, reference_text string, use_count int, active boolean"
 
 
+def test_phrases_of_other_types_are_no_candidates(spark):
+    from bizframe.operators.contains import candidates
+
+    texts = spark.createDataFrame([("a", "one two three"), ("b", "one two three")], "type string, text string")
+    phrases = spark.createDataFrame([("a", "two"), ("b", "three"), ("c", "one")], "type string, phrase string")
+    assert sorted(r["type"] for r in candidates(texts, "text", phrases, "phrase", same=("type",)).collect()) == ["a", "b"]
+
+
 def test_best_examples_are_those_of_all_pairs(spark):
     rng = random.Random(6)
     words = ["acme", "Beta", "tools", "R-1", "R-22", "x"]
