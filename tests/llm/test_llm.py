@@ -158,6 +158,22 @@ def test_lm_spelling_is_a_distribution():
     assert m.spell([b"the"])[0] > m.spell([b"xqz"])[0]
 
 
+def test_lm_learns_from_every_word(spark):
+    words = sorted({bytes(random.Random(k).choices(b"abcdefgh", k=1 + k % 9)) for k in range(500)})
+    table = spark.createDataFrame([(bytearray(w),) for w in words], "word binary").repartition(5)
+    counts = lm.slot_counts(table)
+    weights, refine = lm.begun()
+    shared = spark.sparkContext.broadcast(counts)
+    several = lm.lessons(table, shared, weights, refine, 7)
+    _, used, tried, won = np.split(several, np.cumsum([weights.size, lm.GATES, len(refine)]))
+    bits = 8 * sum(len(w) + 1 for w in words)
+    assert used.sum() == bits and tried.sum() == bits
+    assert won.sum() == sum(int(c).bit_count() for w in words for c in w + b" ")
+    assert (several == lm.lessons(table.repartition(2), shared, weights, refine, 7)).all()
+    m = lm.learned(table, *counts, len(words), together=100)
+    assert (m.weights != weights).any(1)[used > 0].mean() > 0.9
+
+
 # Mixing
 
 
