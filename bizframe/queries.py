@@ -24,6 +24,7 @@ from .operators import quality as Q
 from .operators import recon as R
 from .operators import sync as S
 from .plans.registry import Policy, role_of
+from .sources import interim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -495,7 +496,8 @@ ALLOCATED = """SELECT l_orderkey, l_linenumber, open, round(greatest(0, least(op
 
 
 def allocations(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("open"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    li = interim.spread(li, li.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("open"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("target"))
     return R.allocate(li.join(o, "l_orderkey"), ["l_orderkey"], "open", "target", ["l_linenumber"])
 

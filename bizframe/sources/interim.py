@@ -28,6 +28,16 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows that a task sorts or aggregates together.
+ROWS_A_TASK = 200_000
+
+
+def spread(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """df dealt by the columns to as many tasks as about so many rows need. Spark joins partitions of an exchange of its own up
+    to a size in compressed bytes, which may be millions of narrow rows; a number that is given stands."""
+    return df.repartition(1 + rows // ROWS_A_TASK, *cols)
+
+
 def write(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """The table, written and read back, and how many of its rows meet each condition (`n`: all), seen while writing."""
     spark = df.sparkSession

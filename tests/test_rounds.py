@@ -275,3 +275,16 @@ def test_retry_actions_by_hand(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r["key"], (r["at"] - at(0)).seconds // 60, r["action"], r["attempt"]) for r in retries.retry_actions(df, "key", "ts", "kind", "id", most=2, minutes=10, factor=2, late_minutes=0).collect())
     assert got == [("a", 10, "retry", 1), ("a", 40, "retry", 2), ("a", 50, "give_up", 3), ("a", 70, "closed", 4), ("b", 12, "closed", 1)]
+
+
+# Rows of a task
+
+
+def test_tasks_follow_rows(spark, sf, monkeypatch):
+    from bizframe import queries
+    from bizframe.sources import interim
+
+    monkeypatch.setattr(interim, "ROWS_A_TASK", 1000)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert interim.spread(spark.range(10), 5000, "id").rdd.getNumPartitions() == 6
+    assert queries.allocations(spark, sf).rdd.getNumPartitions() == 1 + rows // 1000
