@@ -119,8 +119,9 @@ def set_classes(spark, sf_dir):
 def same_set(spark, sf_dir):
     """Each order's first open order of the same families."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a_id"), (F.col("l_partkey") % 40).alias("family"))
+    rows = 2 * li.count()  # at most
     still_open = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("a_id"))
-    return sets.same_set(li, li.join(still_open, "a_id", "left_semi").withColumnRenamed("a_id", "b_id"), "a_id", "b_id", ["family"])
+    return sets.same_set(li, li.join(still_open, "a_id", "left_semi").withColumnRenamed("a_id", "b_id"), "a_id", "b_id", ["family"], rows)
 
 
 # Numbers

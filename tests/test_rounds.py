@@ -288,3 +288,24 @@ def test_tasks_follow_rows(spark, sf, monkeypatch):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert interim.spread(spark.range(10), 5000, "id").rdd.getNumPartitions() == 6
     assert queries.allocations(spark, sf).rdd.getNumPartitions() == 1 + rows // 1000
+
+
+def test_set_tasks_follow_rows(spark, monkeypatch):
+    from bizframe.sources import interim
+
+    monkeypatch.setattr(interim, "ROWS_A_TASK", 100)
+    tasks = {}
+    write = interim.write
+    monkeypatch.setattr(interim, "write", lambda df, name, **counts: (tasks.__setitem__(name, df.rdd.getNumPartitions()), write(df, name, **counts))[1])
+    df = spark.range(1000).selectExpr("id % 250 AS id", "id % 8 AS m")
+    got = {tuple(r) for r in sets.set_classes(df, "id", ["m"]).collect()}
+    want = {k: frozenset(i % 8 for i in range(1000) if i % 250 == k) for k in range(250)}
+    first = {}
+    for k in range(250):
+        first.setdefault(want[k], k)
+    assert got == {(k, first[s], sum(x == s for x in want.values()), len(s)) for k, s in want.items()}
+    assert tasks["members"] == 11
+    some = spark.sql("SELECT * FROM VALUES (CAST(null AS BIGINT), 1), (1, 1), (2, 2), (2, 1), (3, 2), (3, 1) AS t(id, m)")
+    want = {(None, 1, 2, 1), (1, 1, 2, 1), (2, 2, 2, 2), (3, 2, 2, 2)}
+    assert {tuple(r) for r in sets.set_classes(some, "id", ["m"]).collect()} == want
+    assert {tuple(r) for r in sets.set_classes(some, "id", ["m"], lambda members, seed: F.lit(0).cast("bigint")).collect()} == want
