@@ -1,7 +1,7 @@
 """Hierarchies of any size and depth: a table of ids and parents, walked in written rounds.
 
-A few rounds go level by level from the asked rows, so that a small subtree of a large table costs scans and small joins.
-What is left after them is walked by pointer doubling: every row that has rows below keeps a pointer to its ancestor 2^k
+Rows that no other names as its parent are joined to their parents in the end; only the others, the inner ones, are walked.
+A few rounds go level by level from the asked rows. What is left after them is walked by pointer doubling: every row that has rows below keeps a pointer to its ancestor 2^k
 steps up, and a round joins the pointers with themselves, so that a chain of 200,000 rows takes 18 rounds; rows with none
 below are joined to their parents in the end. A round reads and writes narrow rows by equi-joins whose right side is
 unique, which Spark splits where many rows share a parent.
@@ -30,6 +30,28 @@ def _edges(df: DataFrame, id_col: str, parent_col: str) -> tuple[DataFrame, int]
     return found, counts["n"]
 
 
+def _parted(df: DataFrame, id_col: str, parent_col: str, marks: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """(id, parent, inner, marked) of every row, and (id, parent, marked) of the inner ones, which other rows name as parents: all
+    that is walked. Also their number. marks: None: rows without a parent that is a row."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")).where("id is not null")
+    own = rows.groupBy("id").agg(F.min("parent").alias("parent"), F.lit(True).alias("own"))
+    named = rows.where("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
+    both = own.join(named, "id", "full_outer")
+    if marks is not None:
+        both = both.join(marks.select(F.col(marks.columns[0]).alias("id")).distinct().withColumn("marked", F.lit(True)), "id", "left")
+    else:
+        both = both.withColumn("marked", F.col("parent").isNull())
+    both = both.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("own", "inner", "marked")})
+    written, counts = interim.write(both, "edges", lost=~F.col("own"))
+    edges = written.where("own").drop("own")
+    if counts["lost"]:  # parents that are no rows
+        lost = written.where("not own").select(F.col("id").alias("parent"), F.lit(True).alias("lost"))
+        edges = edges.join(lost, "parent", "left").select("id", F.when(F.col("lost").isNull(), F.col("parent")).alias("parent"), "inner", (F.col("marked") | F.col("lost").isNotNull() if marks is None else F.col("marked")).alias("marked"))
+        edges, _ = interim.write(edges, "edges")
+    inner, counts = interim.write(edges.where("inner").drop("inner"), "inner")
+    return edges, inner, counts["n"]
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -38,42 +60,35 @@ def nearest(df: DataFrame, id_col: str, parent_col: str, marks: DataFrame | None
     """id, near, distance: of every row at or below a mark the nearest one and the steps up to it.
 
     marks: one column of ids; None: the rows without a parent, so that near is the root and distance the depth."""
-    edges, n = _edges(df, id_col, parent_col)
-    if marks is None:
-        top = edges.join(edges.select(F.col("id").alias("parent")), "parent", "left_anti").select("id")
-    else:
-        top = marks.select(F.col(marks.columns[0]).alias("id")).distinct().join(edges, "id", "left_semi")
-    top, found = interim.write(top.select("id", F.col("id").alias("near"), F.lit(0).cast("bigint").alias("distance")), "marks")
-    solved, frontier, level = [top], top, 0
+    edges, inner, n = _parted(df, id_col, parent_col, marks)
+    mark = lambda rows: rows.where("marked").select("id", F.col("id").alias("near"), F.lit(0).cast("bigint").alias("distance"))
+    walked = inner.where("not marked and parent is not null").select("id", "parent")
+    frontier, level, found = mark(inner), 0, {"n": n}
+    solved = [frontier]
     while found["n"] and level < LEVELS:
         level += 1
-        step = edges.join(frontier.select(F.col("id").alias("parent"), "near"), "parent").select("id", "near", F.lit(level).cast("bigint").alias("distance"))
-        frontier, found = interim.write(step.join(top.select("id"), "id", "left_anti"), "level")
+        step = walked.join(frontier.select(F.col("id").alias("parent"), "near"), "parent").select("id", "near", F.lit(level).cast("bigint").alias("distance"))
+        frontier, found = interim.write(step, "level")
         solved.append(frontier)
-    if not found["n"]:
-        interim.drop(edges)
-        return _union(solved)
-    above, _ = interim.write(edges.select(F.col("parent").alias("id")).where("id is not null").distinct(), "parents")
-    rest, _ = interim.write(edges.join(_union(solved).select("id"), "id", "left_anti").where("parent is not null"), "rest")
-    inner = rest.join(above, "id", "left_semi")
-    pointers, counts = interim.write(inner.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("steps")), "pointers")
-    known, _ = interim.write(_union(solved).join(above, "id", "left_semi"), "known")
-    targets, length = [known], 1
-    none = F.lit(None).cast(edges.schema["id"].dataType)
-    while counts["n"] and length <= n:
-        length *= 2
-        there = _union([
-            *[s.select(F.col("id").alias("jump"), "near", F.col("distance").alias("far"), none.alias("next")) for s in targets],
-            pointers.select(F.col("id").alias("jump"), none.alias("near"), F.col("steps").alias("far"), F.col("jump").alias("next")),
-        ])
-        moved = pointers.join(there, "jump").select("id", "near", F.col("next").alias("jump"), (F.col("steps") + F.col("far")).alias("steps"))
-        moved, counts = interim.write(moved, "pointers", open=F.col("near").isNull())
-        targets.append(moved.where("near is not null").select("id", "near", F.col("steps").alias("distance")))
-        pointers, counts = moved.where("near is null").select("id", "jump", "steps"), {"n": counts["open"]}
-    outer = rest.join(above, "id", "left_anti")
-    over = _union(targets).select(F.col("id").alias("parent"), "near", (F.col("distance") + 1).alias("distance"))
-    interim.drop(edges)
-    return _union([*solved, *targets[1:], outer.join(over, "parent").select("id", "near", "distance")])
+    targets = [_union(solved)]
+    if found["n"]:
+        pointers = walked.join(targets[0].select("id"), "id", "left_anti").select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("steps"))
+        pointers, counts = interim.write(pointers, "pointers")
+        length, none = 1, F.lit(None).cast(edges.schema["id"].dataType)
+        while counts["n"] and length <= n:
+            length *= 2
+            there = _union([
+                *[s.select(F.col("id").alias("jump"), "near", F.col("distance").alias("far"), none.alias("next")) for s in targets],
+                pointers.select(F.col("id").alias("jump"), none.alias("near"), F.col("steps").alias("far"), F.col("jump").alias("next")),
+            ])
+            moved = pointers.join(there, "jump").select("id", "near", F.col("next").alias("jump"), (F.col("steps") + F.col("far")).alias("steps"))
+            moved, counts = interim.write(moved, "pointers", open=F.col("near").isNull())
+            targets.append(moved.where("near is not null").select("id", "near", F.col("steps").alias("distance")))
+            pointers, counts = moved.where("near is null").select("id", "jump", "steps"), {"n": counts["open"]}
+    reached = _union(targets)
+    outer = edges.where("not inner")
+    below = outer.where("not marked and parent is not null").select("id", "parent").join(reached.select(F.col("id").alias("parent"), "near", "distance"), "parent")
+    return _union([reached, mark(outer), below.select("id", "near", (F.col("distance") + 1).alias("distance"))])
 
 
 def _doubled(edges: DataFrame, n: int):
@@ -92,25 +107,24 @@ def _doubled(edges: DataFrame, n: int):
 
 def ancestors(df: DataFrame, id_col: str, parent_col: str, starts: DataFrame) -> DataFrame:
     """id: all rows at or above the starts (one column of ids)."""
-    edges, n = _edges(df, id_col, parent_col)
-    known, found = interim.write(starts.select(F.col(starts.columns[0]).alias("id")).distinct().join(edges, "id", "left_semi").select("id"), "known")
-    reached, frontier, level = [known], known, 0
-    while found["n"] and level < max(1, LEVELS):
+    edges, inner, n = _parted(df, id_col, parent_col, starts)
+    known = edges.where("marked and not inner").select("id")
+    frontier, found = inner.where("marked").select("id", "parent"), {"n": n}
+    above = edges.where("marked and parent is not null").select(F.col("parent").alias("id")).distinct()
+    seen, level = frontier.select("id"), 0
+    while found["n"] and level < max(2, LEVELS):
         level += 1
-        up = edges.join(frontier, "id", "left_semi").select(F.col("parent").alias("id")).distinct().join(edges, "id", "left_semi").select("id")
-        frontier, found = interim.write(up.join(_union(reached), "id", "left_anti"), "level")
-        reached.append(frontier)
-    if not found["n"]:
-        interim.drop(edges)
-        return _union(reached)
-    seen = _union(reached)
-    for ups in _doubled(edges, n):
-        # what is seen holds all ancestors up to 2^k steps away, so these pointers double its reach
-        above = ups.join(seen, "id", "left_semi").select(F.col("up").alias("id")).distinct()
-        new, found = interim.write(above.join(seen, "id", "left_anti"), "above")
-        seen = seen.unionByName(new)
-    interim.drop(edges)
-    return seen
+        step = inner.select("id", "parent").join(above, "id", "left_semi").join(seen, "id", "left_anti")
+        frontier, found = interim.write(step, "level")
+        seen = seen.unionByName(frontier.select("id"))
+        above = frontier.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    if found["n"]:
+        for ups in _doubled(inner.select("id", "parent"), n):
+            # what is seen holds all ancestors up to 2^k steps away, so these pointers double its reach
+            higher = ups.join(seen, "id", "left_semi").select(F.col("up").alias("id")).distinct()
+            new, found = interim.write(higher.join(seen, "id", "left_anti"), "above")
+            seen = seen.unionByName(new)
+    return known.unionByName(seen)
 
 
 def closure(df: DataFrame, id_col: str, parent_col: str, starts: DataFrame | None = None, down: bool = False) -> DataFrame:
@@ -130,14 +144,15 @@ def closure(df: DataFrame, id_col: str, parent_col: str, starts: DataFrame | Non
     # rows with none below have their parents' pairs
     first = inner.select("id").union(outer.select("parent")).distinct().join(edges, "id", "left_semi").select("id")
     pairs, _ = interim.write(first.select("id", F.col("id").alias("ancestor")), "pairs")
-    length = 1
+    length, cyclic = 1, False
     for ups in _doubled(edges, n):
         if length > n:  # only cycles come so far: their pairs are there already
+            cyclic = True
             break
         higher = pairs.join(ups.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("id", F.col("up").alias("ancestor"))
         pairs, _ = interim.write(pairs.unionByName(higher), "pairs")
         length *= 2
     own = pairs if starts is None else pairs.join(inner.select("id"), "id", "left_semi")
     by_parent = outer.select(F.col("id").alias("own"), F.col("parent").alias("id")).join(pairs, "id").select(F.col("own").alias("id"), "ancestor")
-    # the ways round a cycle give pairs again
-    return _union([own, by_parent, outer.select("id", F.col("id").alias("ancestor"))]).distinct().select("ancestor", "id")
+    found = _union([own, by_parent, outer.select("id", F.col("id").alias("ancestor"))]).select("ancestor", "id")
+    return found.distinct() if cyclic else found  # the ways round a cycle give pairs again

@@ -309,3 +309,13 @@ def test_set_tasks_follow_rows(spark, monkeypatch):
     want = {(None, 1, 2, 1), (1, 1, 2, 1), (2, 2, 2, 2), (3, 2, 2, 2)}
     assert {tuple(r) for r in sets.set_classes(some, "id", ["m"]).collect()} == want
     assert {tuple(r) for r in sets.set_classes(some, "id", ["m"], lambda members, seed: F.lit(0).cast("bigint")).collect()} == want
+
+
+def test_only_rows_with_rows_below_are_walked(spark, monkeypatch):
+    from bizframe.sources import interim
+
+    sizes, write = {}, interim.write
+    monkeypatch.setattr(interim, "write", lambda df, name, **counts: (out := write(df, name, **counts), sizes.setdefault(name, out[1]["n"]))[0])
+    df = spark.range(100).selectExpr("id", "CASE WHEN id > 1 THEN id % 2 WHEN id = 1 THEN -5 END AS parent")
+    assert {tuple(r) for r in hierarchy.nearest(df, "id", "parent").collect()} == {(i, i % 2, int(i > 1)) for i in range(100)}
+    assert sizes["inner"] == 2
