@@ -74,6 +74,11 @@ def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, q:
     return left.join(pairs, ["__text", *same]).join(right, ["__phrase", *same]).where(F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))).drop("__text", "__phrase")
 
 
+def _several(c: str) -> Column:
+    """__n: 2 where there are several values, else 1; sums before a shuffle, unlike a count of distinct ones."""
+    return F.when(F.min(c) < F.max(c), 2).otherwise(1).alias("__n")
+
+
 @dataclass(frozen=True)
 class Step:
     """One way to find an entity: rows of candidates whose column `theirs` equals the row's value `ours` (trimmed, case folded),
@@ -98,7 +103,7 @@ def entity_cascade(df: DataFrame, key: str, steps: list[Step], id_col: str, out:
         asked = open_rows.select("__key", ours.alias("__ours")).where("length(__ours) > 0")
         theirs = s.candidates.select(F.col(id_col).alias("__id"), F.col(s.theirs).cast("string").alias("__theirs")).where("__id is not null")
         if s.how == "equal":
-            side = theirs.groupBy(F.lower(F.trim("__theirs")).alias("__k")).agg(F.min("__id").alias("__id"), F.count_distinct("__id").alias("__n"))
+            side = theirs.groupBy(F.lower(F.trim("__theirs")).alias("__k")).agg(F.min("__id").alias("__id"), _several("__id"))
             hits = asked.join(side, F.lower("__ours") == F.col("__k")).groupBy("__key").agg(F.min("__id").alias("__id"), F.max("__n").alias("__n"))
         else:
             values = asked.select("__ours").distinct()
@@ -108,7 +113,7 @@ def entity_cascade(df: DataFrame, key: str, steps: list[Step], id_col: str, out:
                 pairs = contains_join(values, "__ours", theirs, "__theirs")
             else:
                 raise ValueError(f"unknown step {s.how!r}")
-            by_value = pairs.groupBy("__ours").agg(F.min("__id").alias("__id"), F.count_distinct("__id").alias("__n"))
+            by_value = pairs.groupBy("__ours").agg(F.min("__id").alias("__id"), _several("__id"))
             hits = asked.join(by_value, "__ours").groupBy("__key").agg(F.min("__id").alias("__id"), F.max("__n").alias("__n"))
         several = (F.col("__n") > 1) if s.several == "error" else F.lit(False)
         answer = hits.select("__key", F.when(~several, F.col("__id")).alias(out), F.lit(n).alias("matched_by"), F.when(several, "several").alias("match_error"))
