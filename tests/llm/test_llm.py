@@ -530,3 +530,24 @@ def test_pipeline(spark, tmp_path):
     for r in out[:20]:
         ids_ = v.encode([by_id[r["doc_id"]]])[0]
         assert r["n_tokens"] * 4 == len(ids_) and r["ids_sha256"] == hashlib.sha256(ids_).hexdigest()
+
+
+def test_lm_lessons_look_up_what_a_slot_says_without_the_words_own_count():
+    rng = np.random.default_rng(4)
+    words = sorted({bytes(rng.integers(97, 103, rng.integers(1, 7)).astype(np.uint8)) for _ in range(300)} | {b"\n", "é".encode()})
+    bits = lm.Bits(words)
+    zeros, ones = np.zeros((2, int(lm.FIRST[-1])), np.float32)
+    for b in range(8):
+        for s in bits.slots(b):
+            np.add.at(zeros, s[bits.bit(b) == 0], 1)
+            np.add.at(ones, s[bits.bit(b) == 1], 1)
+    stretched, level = lm.apart(zeros, ones)
+    for b in range(8):
+        bit = bits.bit(b)
+        for s in bits.slots(b):
+            z, o = zeros[s] - (1 - bit), ones[s] - bit
+            assert np.array_equal(stretched[2 * s + bit], lm.stretch(z, o))
+            assert np.array_equal(level[s], np.digitize(z + o, lm.LEVELS))
+    m = lm.Mixer(None, None, *lm.begun())
+    used, tried, won = lm.taught(m, stretched, level, words, 800, 0.02)
+    assert used.sum() == tried.sum() == 8 * len(bits.byte) and won.sum() == sum(bits.bit(b).sum() for b in range(8))
