@@ -17,14 +17,14 @@ position count once; words without a position are left out; a null or empty side
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Words that numpy works on together, and bytes of an Arrow batch where the session sets no bound.
 WORDS, BATCH = 100_000, 4 << 20
@@ -138,8 +138,8 @@ def _by_turn(gaps: tuple[np.ndarray, np.ndarray], of: tuple[np.ndarray, np.ndarr
     return tuple(orders[k][_spread(starts[k], n)[1]] for k in (0, 1))
 
 
-def aligned_run(native: pa.Array, words: pa.Array, least: float) -> pa.Array:
-    """For each page an array of PAIRED, in the order of the native words, those only recognised behind the pair before them."""
+def paired_run(native: pa.Array, words: pa.Array, least: float):
+    """Both streams with their mates, how each native word was paired, its overlap, gaps and codes of both sides' texts (null: -1)."""
     a, b = Stream(native), Stream(words)
     i, j, overlap = _by_boxes(a, b, least)
     a.mate[i], b.mate[j] = j, i
@@ -155,14 +155,25 @@ def aligned_run(native: pa.Array, words: pa.Array, least: float) -> pa.Array:
         x, y = _by_turn(tuple(g[o] for g, o in zip(gaps, open_)), kinds, step == 2)
         i, j = open_[0][x], open_[1][y]
         a.mate[i], b.mate[j], how[i] = j, i, step
+    return a, b, how, shared, gaps, codes
+
+
+def ordered(a: Stream, b: Stream, gaps: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left and right (rows of both sides, -1 for none), gap and page: native words in order, those only recognised behind the pair before them."""
     alone = np.flatnonzero(b.mate < 0)
     left = np.concatenate([np.arange(len(a.page)), np.full(len(alone), -1)])
     right = np.concatenate([a.mate, alone])
     gap = np.concatenate([gaps[0], gaps[1][alone]])
     page = np.concatenate([a.page, b.page[alone]])
     order = np.lexsort((right, left < 0, np.where(left < 0, gap, left), page))
-    left, right, gap, page = left[order], right[order], gap[order], page[order]
-    how, shared = (np.concatenate([v, np.full(len(alone), w)])[order] for v, w in ((how, 4), (shared, np.nan)))
+    return left[order], right[order], gap[order], page[order]
+
+
+def aligned_run(native: pa.Array, words: pa.Array, least: float) -> pa.Array:
+    """For each page an array of PAIRED."""
+    a, b, how, shared, gaps, _ = paired_run(native, words, least)
+    left, right, gap, page = ordered(a, b, gaps)
+    how, shared = (np.append(v, w)[left] for v, w in ((how, 4), (shared, np.nan)))
 
     def taken(values: pa.Array, at: np.ndarray) -> pa.Array:
         return values.take(pa.array(at, mask=at < 0))
@@ -173,25 +184,66 @@ def aligned_run(native: pa.Array, words: pa.Array, least: float) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(page, np.arange(len(native) + 1)), pa.int32()), flat)
 
 
-def align(pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """keys, aligned: array of (n, native_text, m, word_text, how, overlap, gap); how is box, text, order, native or recognised, gap the
-    native word of the last pair by boxes before, -1 where there is none."""
+def merged_run(native: pa.Array, words: pa.Array, least: float) -> tuple[pa.Array, pa.Array]:
+    """For each page what merged_text() makes of its alignment: n_words and text."""
+    a, b, _, _, gaps, _ = paired_run(native, words, least)
+    left, right, _, page = ordered(a, b, gaps)
+    read = (left < 0) | (a.text.is_null().to_numpy(zero_copy_only=False)[left] if len(a.page) else False)
+    at = np.where(read, np.where(right < 0, -1, right + len(a.page)), left)
+    text = pc.fill_null(pa.concat_arrays([a.text, b.text]).take(pa.array(at, mask=at < 0)), "")
+    edges = np.searchsorted(page, np.arange(len(native) + 1))
+    return pa.array(np.diff(edges)), pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), text), " ")
+
+
+def counted_run(native: pa.Array, words: pa.Array, least: float) -> list[pa.Array]:
+    """For each page how many words were paired in each way of HOW, and how many pairs have one text."""
+    a, b, how, _, _, (mine, theirs) = paired_run(native, words, least)
+    n = len(native)
+    kinds = np.bincount(a.page * 5 + how, minlength=5 * n).reshape(n, 5)
+    kinds[:, 4] = np.bincount(b.page[b.mate < 0], minlength=n)
+    both = np.flatnonzero(a.mate >= 0)
+    equal = both[mine[both] == theirs[a.mate[both]]]
+    return [*map(pa.array, kinds.T), pa.array(np.bincount(a.page[equal], minlength=n))]
+
+
+def _by_runs(pages: DataFrame, keys: list[str], least: float, make: Callable[[pa.Array, pa.Array, float], Sequence[pa.Array]], fields: list[StructField]) -> DataFrame:
+    """keys and what make() gives of runs of pages."""
     if least < 0.5:
         raise ValueError("boxes that overlap by less than a half need not hold each other's centres")
 
+    names = [f.name for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = sum(pc.fill_null(pc.list_value_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("native", "words"))
             edges = [*np.flatnonzero(np.diff(np.cumsum(sizes) // WORDS, prepend=-1)).tolist(), b.num_rows]
             for first, end in zip(edges, edges[1:]):
                 part = b.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], aligned_run(part.column("native"), part.column("words"), least)], names=[*keys, "aligned"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *make(part.column("native"), part.column("words"), least)], names=[*keys, *names])
 
     conf, key = pages.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) is None:
         conf.set(key, str(BATCH))
     rows = pages.select(*keys, "native", "words")
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2], StructField("aligned", ArrayType(StructType.fromDDL(PAIRED)))]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-2], *fields]))
+
+
+def align(pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """keys, aligned: array of (n, native_text, m, word_text, how, overlap, gap); how is box, text, order, native or recognised, gap the
+    native word of the last pair by boxes before, -1 where there is none."""
+    return _by_runs(pages, keys, least, lambda a, b, x: [aligned_run(a, b, x)], [StructField("aligned", ArrayType(StructType.fromDDL(PAIRED)))])
+
+
+def page_texts(pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """merged_text() of the pages aligned, without their words as rows: keys, n_words, text."""
+    return _by_runs(pages, keys, least, merged_run, [StructField("n_words", LongType()), StructField("text", StringType())])
+
+
+def page_agreement(pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
+    """agreement() of the pages aligned, counted where they are."""
+    counts = [f"n_{k}" for k in (*HOW, "equal")]
+    each = _by_runs(pages, keys, least, counted_run, [StructField(c, LongType()) for c in counts])
+    return each.where(" + ".join(counts[:5]) + " > 0").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def pages_of(native: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:

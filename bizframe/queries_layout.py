@@ -56,13 +56,13 @@ def pages(spark, sf_dir) -> DataFrame:
   count(*) FILTER (gone) AS n_native, count(*) FILTER (speck) AS n_recognised, count(*) FILTER (NOT gone AND read = word) AS n_equal FROM w GROUP BY 1, 2""")
 def aligned_words(spark, sf_dir):
     """Native and recognised words of every page, by how they were paired."""
-    return W.agreement(W.align(pages(spark, sf_dir), ["doc_id", "page"]), ["doc_id", "page"])
+    return W.page_agreement(pages(spark, sf_dir), ["doc_id", "page"])
 
 
 @query(f"""WITH {WORDS} SELECT doc_id, page, count(*) + count(*) FILTER (speck) AS n_words, md5(string_agg(word || CASE WHEN speck THEN ' ·' ELSE '' END, ' ' ORDER BY n)) AS text_md5 FROM w GROUP BY 1, 2""")
 def merged_pages(spark, sf_dir):
     """Every page's text out of both streams."""
-    return W.merged_text(W.align(pages(spark, sf_dir), ["doc_id", "page"])).select("doc_id", "page", "n_words", F.md5("text").alias("text_md5"))
+    return W.page_texts(pages(spark, sf_dir), ["doc_id", "page"]).select("doc_id", "page", "n_words", F.md5("text").alias("text_md5"))
 
 
 # The catalogue

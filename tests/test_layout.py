@@ -72,6 +72,20 @@ def test_align_by_text_and_order(spark):
     assert W.align(pages.where("false"), KEYS).count() == 0
 
 
+def test_pages_counted_and_merged_in_place_equal_their_aligned_words(spark):
+    r = random.Random(9)
+    spot = lambda i: (i % 5 * 60.0 + r.uniform(-3, 3), i // 5 * 20.0, 50.0, 10.0) if r.random() < 0.6 else (None,) * 4
+    side = lambda docs: [(d, d % 2, n, r.choice(["a", "b", "c", "", None]), *spot(n)) for d in docs for n in range(r.randrange(1, 25)) if r.random() < 0.8]
+    pages = paged(spark, side(range(30)), side(range(5, 40))).union(spark.sql("SELECT 90, 0, array(), null")).coalesce(1)
+    pages = pages.union(pages.where("doc = 7"))  # a page that stands twice
+    found = W.align(pages, KEYS)
+    got = W.page_agreement(pages, KEYS)
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no word becomes a row
+    assert sorted(got.collect()) == sorted(W.agreement(found, KEYS).collect()) and got.where("n_order > 0 and n_recognised > 0").count() > 3
+    assert sorted(W.page_texts(pages, KEYS).collect()) == sorted(W.merged_text(found).collect())
+    assert W.page_agreement(pages.where("false"), KEYS).count() == W.page_texts(pages.where("false"), KEYS).count() == 0
+
+
 def test_pages_are_not_shuffled(spark):
     pages = spark.range(1).selectExpr("1 AS doc", "id AS page", "array(named_struct('n', 1L, 'text', 'a', 'left', 0D, 'top', 0D, 'width', 9D, 'height', 9D)) AS native").selectExpr("*", "native AS words")
     assert "Exchange" not in W.align(pages, KEYS)._jdf.queryExecution().executedPlan().toString()
