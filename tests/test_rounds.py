@@ -213,6 +213,25 @@ def test_append_in_order(spark, seed):
     assert sorted(r["id"] for r in lost) == sorted(r[0] for r in batch if r not in want) and {r["constraint"] for r in lost} <= {"a", "b", "c"}
 
 
+def test_append_of_single_claims_takes_one_pass(spark, monkeypatch):
+    rng = random.Random(6)
+    row = lambda k: (k, rng.choice([None, *range(15)]), rng.choice([None, *range(6)]), rng.choice([None, "a", "b", "free"]))
+    existing, batch = [row(-k) for k in range(20)], [row(k) for k in range(200)] + [(300, 14, 5, "b")] * 2
+    rules = [constraints.Unique("a", ("x",), "kind = 'a'"), constraints.Unique("b", ("x", "y"), "kind = 'b'")]
+    claim = lambda r: ("a", r[1]) if r[3] == "a" and r[1] is not None else ("b", *r[1:3]) if r[3] == "b" and None not in r[1:3] else None
+    held, want, lost = {claim(r) for r in existing} - {None}, [], []
+    for r in batch:
+        (lost if claim(r) in held else want).append(r if claim(r) not in held else (*r, claim(r)[0]))
+        held |= {claim(r)} - {None}
+    names, write = [], constraints.interim.write
+    monkeypatch.setattr(constraints.interim, "write", lambda df, name, **counts: (names.append(name), write(df, name, **counts))[1])
+    schema = "id long, x int, y int, kind string"
+    ok, refused = constraints.append_unique(spark.createDataFrame(existing, schema), spark.createDataFrame(batch, schema).repartition(3), rules, ["id"])
+    assert sorted(map(tuple, ok.collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, refused.collect()), key=str) == sorted(lost, key=str) and len(lost) > 50
+    assert names.count("won") == 1 and "claims" not in names and "lost" not in names
+
+
 def test_append_of_hot_and_repeated_rows(spark):
     schema = "id long, x int, y int, z int, kind string"
     hot = spark.createDataFrame([(k, 1, k, k, "bound") for k in range(300)], schema)
