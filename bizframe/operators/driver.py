@@ -37,9 +37,15 @@ class Run:
 def sync(sources: DataFrame, built: DataFrame, existing: DataFrame, existing_lines: DataFrame, versions: DataFrame, header: list[str], content: list[str], eligible: Column, at: Column, run: str) -> Run:
     """sources: key and header columns. built: key, line_key, error and content columns. existing: key, counterpart_id, state
     and header columns. existing_lines: key, line_key and content columns. versions: a history by key of one column `snapshot`."""
-    twice = built.groupBy("key", "line_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit("line_key").alias("error"))
-    errors = built.select("key", "error").where("error is not null").unionByName(twice)
-    decided, _ = interim.write(sync_documents(sources, existing, errors, "key", eligible), "decided")
+    built, found = interim.write(built.select("key", "line_key", "error", *content), "built")
+
+    def dealt(df: DataFrame, *more: str) -> DataFrame:
+        """By key to tasks for the built lines' number, so that a task's rows do not grow with the tables."""
+        return interim.spread(df, found["n"], "key", *more)
+
+    both = F.array_compact(F.array(F.min("error"), F.when(F.count(F.lit(1)) > 1, "line_key")))
+    errors = dealt(built.select("key", "line_key", "error")).groupBy("key", "line_key").agg(both.alias("each")).select("key", F.explode("each").alias("error"))
+    decided, _ = interim.write(sync_documents(dealt(sources), dealt(existing), errors, "key", eligible), "decided")
     good = decided.where("outcome = 'success'")
     top = existing.agg(F.coalesce(F.max("counterpart_id"), F.lit(0))).first()[0]
     new = number_rows(good.where("action = 'create'").select("key"), ["key"], "__new", int(top) + 1)
@@ -48,16 +54,16 @@ def sync(sources: DataFrame, built: DataFrame, existing: DataFrame, existing_lin
     old_head = existing.select("counterpart_id", F.struct(*header).alias("__old"))
     heads = sources.select("key", *header).join(numbered, "key").join(old_head, "counterpart_id", "left")
     heads = heads.withColumn("action", F.when(F.col("action") == "create", "create").when(F.struct(*header).eqNullSafe(F.col("__old")), "keep").otherwise("update"))
-    own = built.select("key", "line_key", F.struct(*content).alias("__new")).join(numbered.select("key", "action"), "key")
-    live = numbered.where("action = 'update'").select("key")
-    there = existing_lines.join(live, "key", "left_semi").select("key", "line_key", F.struct(*content).alias("__old"))
-    both = own.join(there, ["key", "line_key"], "full_outer")
+    own = dealt(built).join(dealt(numbered), "key").select("key", "line_key", "counterpart_id", F.struct(*content).alias("__new"))
+    live = numbered.where("action = 'update'").select("key", F.col("counterpart_id").alias("__live"))
+    there = dealt(existing_lines).join(dealt(live), "key").select("key", "line_key", "__live", F.struct(*content).alias("__old"))
+    both = dealt(own, "line_key").join(dealt(there, "line_key"), ["key", "line_key"], "full_outer")
     change = F.when(F.col("__old").isNull(), "create").when(F.col("__new").isNull(), "delete").when(F.col("__new").eqNullSafe(F.col("__old")), "keep").otherwise("update")
-    lines = both.withColumn("action", change).join(numbered.select("key", "counterpart_id"), "key")
+    lines = both.withColumn("action", change).withColumn("counterpart_id", F.coalesce("counterpart_id", "__live"))
     lines, _ = interim.write(lines.select("key", "counterpart_id", "line_key", "action", F.coalesce("__new", "__old").alias("__c")).select("key", "counterpart_id", "line_key", "action", "__c.*"), "lines")
     links = numbered.select("key", "counterpart_id").join(lines.where("action <> 'delete'").groupBy("key").agg(F.count(F.lit(1)).alias("n_lines")), "key", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
     order = F.array_sort(F.collect_list(F.struct("line_key", *content)))
-    snapshots = lines.where("action <> 'delete'").groupBy("key").agg(order.alias("lines"))
+    snapshots = dealt(lines.where("action <> 'delete'")).groupBy("key").agg(order.alias("lines"))
     snapshots = heads.select("key", F.struct(*header).alias("header")).join(snapshots, "key", "left").select("key", F.sha2(F.to_json(F.struct("header", "lines")), 256).alias("snapshot"))
     after, _ = interim.write(H.finalise(versions, snapshots, ["key"], at, run), "history")
     changed = after.where(F.col("run") == run).select("key", "version")

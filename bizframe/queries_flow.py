@@ -9,6 +9,7 @@ from .operators import examples as E
 from .operators import history as H
 from .operators import levels as V
 from .queries import query
+from .sources import interim
 
 EXAMPLES = """doc_id AS example_id, doc_id, source AS type, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 4 END AS company, doc_id % 5 AS provider, lang AS language,
   split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS partner_name, split_part(text, ' ', 5) AS reference_text, doc_id % 7 AS use_count, doc_id % 11 <> 0 AS active"""
@@ -81,10 +82,10 @@ def order_run(spark, sf_dir):
     from .operators import driver as G
 
     o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS key", "o_custkey AS partner", "o_orderpriority AS note", "o_orderstatus AS status")
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line_key")).agg(
-        F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("quantity"), F.min("l_extendedprice").alias("price")
-    )
-    built = li.selectExpr("key", "line_key", "part + 1000000 AS product", "quantity", "price", "CASE WHEN part % 97 = 0 THEN 'no_product' END AS error").join(o.select("key"), "key", "left_semi")
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS key", "l_linenumber AS line_key", "l_partkey", "l_quantity", "l_extendedprice")
+    rows = li.count()
+    li = interim.spread(li, rows, "key").groupBy("key", "line_key").agg(F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("quantity"), F.min("l_extendedprice").alias("price"))
+    built = li.selectExpr("key", "line_key", "part + 1000000 AS product", "quantity", "price", "CASE WHEN part % 97 = 0 THEN 'no_product' END AS error").join(interim.spread(o.select("key"), rows, "key"), "key", "left_semi")
     third = o.where("key % 3 = 0").selectExpr("key", "key + 50 AS counterpart_id", "CASE WHEN key % 12 = 0 THEN 'cancel' ELSE 'draft' END AS state", "partner", "CASE WHEN key % 2 = 0 THEN note ELSE 'old' END AS note")
     lines = built.where("key % 3 = 0 AND line_key <> 2").selectExpr("key", "line_key", "product", "CASE WHEN line_key = 3 THEN quantity + 1 ELSE quantity END AS quantity", "price")
     gone = third.selectExpr("key", "99 AS line_key", "CAST(1 AS BIGINT) AS product", "1.0D AS quantity", "1.0D AS price")

@@ -115,6 +115,30 @@ def test_scoped_rules_and_rates_by_month(spark):
     assert a == b and len(a) == 300 and sum(v is not None for v in a.values()) > 100
 
 
+def test_driver_deals_lines_to_tasks_by_their_number(spark, monkeypatch):
+    from bizframe.operators import driver
+
+    monkeypatch.setattr(driver.interim, "ROWS_A_TASK", 100)
+    write, largest = driver.interim.write, []
+
+    def noted(df, name, **counts):
+        out = write(df, name, **counts)
+        if name == "lines":
+            largest.extend(r["count"] for r in out[0].groupBy(F.input_file_name()).count().collect())
+        return out
+
+    monkeypatch.setattr(driver.interim, "write", noted)
+    src = spark.range(400).selectExpr("id AS key", "'p' AS partner")
+    built = src.selectExpr("key", "explode(sequence(1, 5)) AS line_key", "CAST(key % 7 AS int) AS product", "CAST(null AS string) AS error")
+    existing = src.where("key % 2 = 0").selectExpr("key", "key + 1000 AS counterpart_id", "'draft' AS state", "partner")
+    there = built.where("key % 2 = 0 AND line_key > 1").selectExpr("key", "line_key + 1 AS line_key", "product")
+    versions = history.empty(spark.createDataFrame([], "key long, snapshot string"), ["key"])
+    run = driver.sync(src, built, existing, there, versions, ["partner"], ["product"], F.lit(True), F.lit(dt.datetime(2024, 1, 1)), "a")
+    got = {(r["action"], r["n"]): r["c"] for r in run.lines.groupBy("action", (F.col("counterpart_id") - F.col("key") == 1000).alias("n")).agg(F.count("key").alias("c")).collect()}
+    assert sum(c for (a, _), c in got.items() if a == "create") == 1000 + 400 and got["keep", True] == 600 and got["delete", True] == 200
+    assert len(largest) > 15 and max(largest) < 250  # about 100 each
+
+
 def test_driver_and_its_rerun(spark):
     """A first run creates, a second over its results keeps all, a third changes what has changed."""
     from bizframe.operators import driver
