@@ -106,7 +106,7 @@ def entity_cascade(df: DataFrame, key: str, steps: list[Step], id_col: str, out:
             side = theirs.groupBy(F.lower(F.trim("__theirs")).alias("__k")).agg(F.min("__id").alias("__id"), _several("__id"))
             hits = asked.join(side, F.lower("__ours") == F.col("__k")).groupBy("__key").agg(F.min("__id").alias("__id"), F.max("__n").alias("__n"))
         else:
-            values = asked.select("__ours").distinct()
+            values, _ = interim.write(asked.select("__ours").distinct(), "values")  # read for keys, candidates and the comparison
             if s.how == "contains":
                 pairs = contains_join(theirs, "__theirs", values, "__ours")
             elif s.how == "within":
