@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,82 @@ def contains_join(df: DataFrame, text: str, phrases: DataFrame, phrase: str, q:
     return left.join(pairs, ["__text", *same]).join(right, ["__phrase", *same]).where(F.contains(F.lower(F.col(text)), F.lower(F.col(phrase)))).drop("__text", "__phrase")
 
 
+class Phrases:
+    """Phrases that are looked for in a task, all in one pass over a run of texts (both in UTF-8). Up to 8 bytes are read as a
+    number, which tells the phrase; longer phrases begin where their first 8 bytes stand, and a hash of the rest of their length
+    names one to be compared."""
+
+    ODD, SLOTS = 0x9E3779B97F4A7C15, 18
+
+    def __init__(self, phrases: list[bytes]):
+        self.phrases, self.lengths = phrases, {}
+        sizes = np.array([len(p) for p in phrases], np.int64)
+        self.heads = np.zeros(1 << self.SLOTS, bool)
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            which = np.flatnonzero(sizes == size)
+            flat = np.frombuffer(b"".join([phrases[k] for k in which]), np.uint8).reshape(-1, size)
+            head = np.zeros(len(which), np.uint64)
+            for k in range(min(size, 8)):
+                head = head << np.uint64(8) | flat[:, k]
+            table = np.zeros(1 << self.SLOTS, bool)
+            table[self._slot(head)] = True
+            if size > 8:
+                self.heads |= table
+                head = (flat * self._powers(size)).sum(1, dtype=np.uint64)
+            order = np.argsort(head)
+            head, which = head[order], which[order]
+            repeats = np.bincount(np.unique(head, return_inverse=True)[1]).max()
+            self.lengths[size] = table, head, which, int(repeats)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint64(self.ODD)) >> np.uint64(64 - self.SLOTS)
+
+    def _powers(self, n: int, of: int = ODD) -> np.ndarray:
+        out = np.full(n, of, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out)
+
+    def within(self, texts: list[bytes]) -> np.ndarray:
+        """For each text, which phrases stand in it; one column more, which is never true. An empty phrase is in no text."""
+        seen = np.zeros((len(texts), len(self.phrases) + 1), bool)
+        blob = b"".join(texts)
+        flat = np.frombuffer(blob, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        left = np.cumsum(sizes)[of] - np.arange(len(flat))
+        code = np.zeros(len(flat), np.uint64)
+        longest = max(self.lengths, default=0)
+        for size in range(1, min(longest, 8) + 1):
+            code = code << np.uint64(8)
+            code[: max(0, len(flat) - size + 1)] |= flat[size - 1 :]
+            if size in self.lengths or size == 8:
+                slot = self._slot(code)
+            if size in self.lengths:
+                table, keys, which, _ = self.lengths[size]
+                at = np.flatnonzero(table[slot])
+                at = at[left[at] >= size]
+                k = np.minimum(np.searchsorted(keys, code[at]), len(keys) - 1)
+                hit = keys[k] == code[at]
+                seen[of[at[hit]], which[k[hit]]] = True
+        if longest > 8:
+            begins = np.flatnonzero(self.heads[slot])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat * self._powers(len(flat)), dtype=np.uint64)])
+            back = self._powers(len(flat), pow(self.ODD, -1, 1 << 64))
+            for size in self.lengths:
+                if size > 8:
+                    table, keys, which, repeats = self.lengths[size]
+                    at = begins[table[slot[begins]] & (left[begins] >= size)]
+                    h = (sums[at + size] - sums[at]) * back[at]
+                    first = np.searchsorted(keys, h)
+                    for more in range(repeats):
+                        k = np.minimum(first + more, len(keys) - 1)
+                        hit = keys[k] == h
+                        for p, t, w in zip(at[hit].tolist(), of[at[hit]].tolist(), which[k[hit]].tolist()):
+                            if not seen[t, w] and blob[p : p + size] == self.phrases[w]:
+                                seen[t, w] = True
+        return seen
+
+
 def _several(c: str) -> Column:
     """__n: 2 where there are several values, else 1; sums before a shuffle, unlike a count of distinct ones."""
     return F.when(F.min(c) < F.max(c), 2).otherwise(1).alias("__n")

@@ -25,9 +25,10 @@ EXAMPLES = """doc_id AS example_id, doc_id, source AS type, CASE WHEN doc_id % 3
 def best_examples(spark, sf_dir):
     """The three best examples of every document among the good ones of its source."""
     docs = table(spark, sf_dir, "documents")
-    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    # phrases are taken before the join, which moves no texts then
+    good = docs.selectExpr(*[x.strip() for x in _split(EXAMPLES)]).join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     asked = docs.selectExpr("doc_id", "source AS type", "doc_id % 4 AS company", "doc_id % 5 AS provider", "lang AS language", "text")
-    return E.best_examples(asked, good.selectExpr(*[x.strip() for x in _split(EXAMPLES)]), 3)
+    return E.best_examples(asked, good, 3)
 
 
 def _split(sql: str) -> list[str]:

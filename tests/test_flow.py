@@ -41,6 +41,49 @@ def test_best_examples_are_those_of_all_pairs(spark):
     assert examples.best_examples(spark.createDataFrame([], DOCS), spark.createDataFrame(ex, EXAMPLES)).count() == 0
 
 
+def test_best_examples_write_no_rows_of_phrases_found(spark, monkeypatch):
+    """Many phrases stand in every text, blocks are small, and some documents have several examples of their own."""
+    monkeypatch.setattr(examples, "TEXTS", 4000)
+    monkeypatch.setattr(examples, "EXAMPLES", 50)
+    monkeypatch.setattr(examples, "TOGETHER", 900)
+    written = []
+    write = examples.interim.write
+    monkeypatch.setattr(examples.interim, "write", lambda *a, **k: (got := write(*a, **k), written.append(got[1]["n"]))[0])
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abü", k=rng.randint(1, 12))) for _ in range(80)]
+    docs = [(k, rng.choice(["bill", "order"]), rng.randint(0, 1), rng.randint(0, 1), rng.choice(["de", "en"]), " ".join(rng.choices(words, k=60))) for k in range(60)]
+    ex = [(100 + k, rng.randint(0, 9), rng.choice(["bill", "order"]), rng.choice([None, 0, 1]), rng.randint(0, 1), rng.choice(["de", "en"]), " ".join(rng.choices(words, k=2)), rng.choice(words), rng.randint(0, 3), True) for k in range(300)]
+    want = []
+    for d in docs:
+        scored = [
+            (-10 - 10 * (d[3] == e[4]) - 15 * (d[4] == e[5]) - 40 * (e[6] in d[5]) - 20 * (e[7] in d[5]), -e[8], e[0])
+            for e in ex if e[2] == d[1] and e[1] != d[0] and e[3] in (None, d[2])
+        ]
+        want += [(d[0], r, e, -s) for r, (s, _, e) in enumerate(sorted(scored)[:3], 1)]
+    got = examples.best_examples(spark.createDataFrame(docs, DOCS), spark.createDataFrame(ex, EXAMPLES), 3)
+    assert sorted((r["doc_id"], r["rank"], r["example_id"], r["score"]) for r in got.collect()) == sorted(want)
+    assert sum(written) <= len(docs)
+
+
+def test_a_documents_own_examples_leave_room_for_others(spark):
+    docs = [(1, "bill", 1, 1, "de", "some text")]
+    ex = [(k, 1 if k < 10 else 2, "bill", None, 1, "de", None, None, 20 - k, True) for k in range(14)]
+    got = examples.best_examples(spark.createDataFrame(docs, DOCS), spark.createDataFrame(ex, EXAMPLES), 3)
+    assert sorted(r["example_id"] for r in got.collect()) == [10, 11, 12]
+
+
+def test_phrases_in_texts():
+    from bizframe.operators.contains import Phrases
+
+    rng = random.Random(1)
+    for letters, longest in (("ab", 20), ("abcü ", 14), ("abcdefghij", 5)):
+        for _ in range(30):
+            phrases = list({"".join(rng.choices(letters, k=rng.randint(0, longest))).encode() for _ in range(60)})
+            texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 5, 30, 200]))).encode() for _ in range(rng.choice([0, 1, 20]))]
+            got = Phrases(phrases).within(texts)
+            assert got[:, :-1].tolist() == [[bool(p) and p in t for p in phrases] for t in texts] and not got[:, -1].any()
+
+
 def test_feedback(spark):
     docs = spark.createDataFrame([(1, True, "t1", "{}"), (2, True, "", "{}"), (3, False, "t3", "{}"), (4, True, "t4", None), (5, True, "t5", "{5}")], "doc_id int, reviewed boolean, text string, data string")
     old = spark.createDataFrame([(5, 7, "old", "{}"), (9, 2, "t9", "{}")], "doc_id int, use_count int, text string, data string")
