@@ -46,3 +46,32 @@ def test_links(spark):
     assert rows(D.parent_of(lines, spark.createDataFrame([(1, 6), (1, 4)], "line int, tx int"), "direct", "line", "tx").select("line", "parent")) == [(1, 4), (2, 8)]
     p = spark.createDataFrame([(1, 3, None), (1, 1, "line_note")], "o int, day int, kind string")
     assert rows(D.planned_min(p, "o", "day", "kind")) == [(1, 3)]
+
+
+def test_bills_are_made_by_methods_that_java_compiles(spark, sf):
+    """HotSpot leaves methods of more than 8000 bytes to its interpreter, which takes several times as long."""
+    from bizframe.queries_documents import bills
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = bills(spark, sf)._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+        assert max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_words_of_odd_texts(spark):
+    from bizframe.functions import text as T
+    from bizframe.operators import grammar as G
+
+    far = "Invoice No:" + " : " * 10 + "INV-7 " + "x" * 300 + " end"
+    late = "Invoice " + "word " * 13 + "No. -nr. # " + "-" * 300 + "AB-1 INV-8"
+    df = spark.createDataFrame([(" a\t\n b®﻿  c \r\nd  ",), (far,), (late,), ("Total: # EUR -\t12 % USD 7,50 rest",), ("Total 19\t%\t5,00\t",), (None,)], "t string")
+    c = F.col("t")
+    got = df.select(T.normalize_whitespace(c), T.reference_after(c, ["Invoice"]), T.amount_after(c, ["Total"])).collect()
+    assert got[0][0] == "a b c d" and got[5][0] == ""
+    assert [r[1] for r in got] == [None, "INV-7", None, None, None, None]
+    assert [r[2] for r in got] == [None, None, None, "7,50", "5,00", None]
+    numbers = spark.createDataFrame([("1.234,56",), ("1,2,3",), ("5.",), ("-.5",), ("5-",), ("-",), ("",), (None,), ("EUR 1.234",)], "t string")
+    assert [r[0] for r in numbers.select(G.amount(c)).collect()] == [1234.56, 12.3, 5.0, -0.5, None, None, None, None, 1234.0]
