@@ -551,3 +551,10 @@ def test_lm_lessons_look_up_what_a_slot_says_without_the_words_own_count():
     m = lm.Mixer(None, None, *lm.begun())
     used, tried, won = lm.taught(m, stretched, level, words, 800, 0.02)
     assert used.sum() == tried.sum() == 8 * len(bits.byte) and won.sum() == sum(bits.bit(b).sum() for b in range(8))
+
+
+def test_lm_stretches_counts_of_any_type_alike():
+    zeros, ones = np.random.default_rng(1).integers(0, 500, (2, 4096))
+    want = lm.stretch(zeros, ones)
+    assert np.array_equal(want, lm.stretch(zeros.astype(np.float32), ones.astype(np.float32)))
+    assert all(lm.stretch(zeros[k : k + 1], ones[k : k + 1])[0] == want[k] for k in range(0, 4096, 7))
